@@ -15,7 +15,7 @@ from .common import ODD, Words, blocks, hashed, mixed, words
 #: Buckets of the two multinomials: the only thing that is gathered on the driver, whatever the corpus' size.
 BUCKETS = 1 << 15
 #: A document is kept if its mean log-likelihood ratio is this or more.
-THRESHOLD = -0.2
+THRESHOLD = -0.1
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
