@@ -43,7 +43,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in blocks of bounded rows and, but for single long rows, bounded text."""
     for batch in batches:
         if not batch.num_rows:
@@ -53,7 +53,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = int(np.searchsorted(ends, base + BLOCK_BYTES, side="right"))
+            to = int(np.searchsorted(ends, base + most, side="right"))
             to = min(max(to, at + 1), at + BLOCK_ROWS, batch.num_rows)
             yield batch.slice(at, to - at)
             at = to

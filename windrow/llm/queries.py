@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_templates, mixing, packing, quality_rules, simhash
+from . import line_templates, mixing, packing, quality_rules, simhash, suffix_array, suffix_tree
 
 
 def _pipeline(spark, sf_dir):
@@ -16,7 +16,9 @@ def queries() -> dict:
         "op3_line_templates": line_templates.query,
         "op4_source_mixing": mixing.query,
         "op5_quality_rules": quality_rules.query,
+        "op6_suffix_array": suffix_array.query,
         "op7_simhash": simhash.query,
+        "op9_suffix_tree": suffix_tree.query,
         "op10_packing": packing.query,
         "pipeline": _pipeline,
     }
