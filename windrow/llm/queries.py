@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_templates, mixing, packing, quality_rules, simhash, suffix_array, suffix_tree
+from . import factorisation_machine, image_copies, line_templates, mixing, packing, personal_data, quality_rules, simhash, suffix_array, suffix_tree
 
 
 def _pipeline(spark, sf_dir):
@@ -13,11 +13,14 @@ def _pipeline(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_image_copies": image_copies.query,
+        "op2_factorisation_machine": factorisation_machine.query,
         "op3_line_templates": line_templates.query,
         "op4_source_mixing": mixing.query,
         "op5_quality_rules": quality_rules.query,
         "op6_suffix_array": suffix_array.query,
         "op7_simhash": simhash.query,
+        "op8_personal_data": personal_data.query,
         "op9_suffix_tree": suffix_tree.query,
         "op10_packing": packing.query,
         "pipeline": _pipeline,
