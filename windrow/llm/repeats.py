@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ BLOCK = 2_000_000
 COMBINED = 1_000_000
 #: Anchors with more different stretches than this are split by whole windows.
 SPLIT = 4096
+#: Units whose suffixes a task sorts at a time, but for a group that has more by itself.
+SORTED = 1_000_000
 #: A hash's multiplier and its inverse modulo 2^64.
 M = 0x9E3779B97F4A7C15
 M_INVERSE = pow(M, -1, 1 << 64)
@@ -244,8 +247,11 @@ def suffix_ranks(units: np.ndarray, depth: int) -> np.ndarray:
     """The rank of each suffix among all by its first `depth` units, by prefix doubling; equal prefixes rank equally.
 
     Suffixes shorter than depth have the rank of what is there to compare, which callers must not use."""
-    rank = np.unique(units, return_inverse=True)[1].astype(np.int64)
     span = 1
+    if units.dtype == np.uint8 and depth >= 8:  # eight bytes fit one value
+        padded, span = np.concatenate([units, np.zeros(7, np.uint8)]).astype(np.uint64), 8
+        units = np.bitwise_or.reduce([padded[j : j + len(units)] << np.uint64(56 - 8 * j) for j in range(8)])
+    rank = np.unique(units, return_inverse=True)[1].astype(np.int64)
     while span < depth:
         step = min(span, depth - span)
         pair = rank * (int(rank.max(initial=0)) + 2)
@@ -272,6 +278,39 @@ def repeated(rank: np.ndarray, uid: np.ndarray, at: np.ndarray, earlier: bool) -
     return out
 
 
+def _groups(rows: pa.Table, u: Units) -> Iterator[pa.Table]:
+    """Slices of rows, which are in order of key, that hold whole keys and about SORTED units."""
+    key = rows.column("key").to_numpy()
+    length = np.cumsum(pa.compute.binary_length(rows.column("units")).to_numpy().astype(np.int64)) // np.dtype(u.dtype).itemsize
+    edges = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    at = 0
+    while at < len(key):
+        most = (length[at - 1] if at else 0) + SORTED
+        fits = edges[(edges > at) & (length[edges - 1] <= most)]
+        to = int(fits[-1]) if len(fits) else int(edges[np.searchsorted(edges, at, side="right")])
+        yield rows.slice(at, to - at)
+        at = to
+
+
+def _marked(rows: pa.Table, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(uid, lo, n) of the runs of windows in rows' stretches that the suffix order shows to be repeats."""
+    own = rows.column("units").to_pylist()
+    units = np.frombuffer(b"".join(own), u.dtype)
+    length = np.array([len(x) for x in own]) // np.dtype(u.dtype).itemsize
+    starts = np.cumsum(length) - length
+    n = length - u.window + 1
+    row = np.repeat(np.arange(len(n)), n)
+    off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    rank = suffix_ranks(units, u.window)[starts[row] + off]
+    uid, at = rows.column("uid").to_numpy()[row], rows.column("lo").to_numpy()[row] + off
+    hit = np.flatnonzero(repeated(rank, uid, at, u.earlier))
+    if not len(hit):
+        return hit, hit, hit
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)]))
+    last = hit[np.append(new[1:], len(hit)) - 1]
+    return uid[hit[new]], at[hit[new]], last - hit[new]
+
+
 def _sort_suffixes(u: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, single = [], []
@@ -284,24 +323,10 @@ def _sort_suffixes(u: Units):
         done = count == MARK
         _, _, u2, l2, _, mark, _ = _settled(*(x[~done] for x in (key, cls, uid, lo)), u.earlier)
         uids, los, ns = [uid[done], u2[mark]], [lo[done], l2[mark]], [np.zeros(int(done.sum() + mark.sum()), np.int64)]
-        rows = pa.Table.from_batches(texts, schema=CONTEXT) if texts else None
-        if rows is not None and rows.num_rows:
-            own = rows.column("units").to_pylist()
-            units = np.frombuffer(b"".join(own), u.dtype)
-            length = np.array([len(x) for x in own]) // np.dtype(u.dtype).itemsize
-            starts = np.cumsum(length) - length
-            n = length - u.window + 1
-            row = np.repeat(np.arange(len(n)), n)
-            off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            rank = suffix_ranks(units, u.window)[starts[row] + off]
-            uid, at = rows.column("uid").to_numpy()[row], rows.column("lo").to_numpy()[row] + off
-            hit = np.flatnonzero(repeated(rank, uid, at, u.earlier))
-            if len(hit):
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)]))
-                last = hit[np.append(new[1:], len(hit)) - 1]
-                uids.append(uid[hit[new]])
-                los.append(at[hit[new]])
-                ns.append(last - hit[new])
+        rows = pa.Table.from_batches(texts, schema=CONTEXT).combine_chunks().sort_by("key") if texts else None
+        for own in _groups(rows, u) if rows is not None and rows.num_rows else ():
+            for out, x in zip((uids, los, ns), _marked(own, u), strict=True):
+                out.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (uids, los, ns)], ["uid", "lo", "n"])
 
     return run
