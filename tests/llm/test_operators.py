@@ -1,0 +1,292 @@
+"""Each operator against a brute-force version, over odd rows: nulls, empty and long texts, ties, repeated rows."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from windrow.llm import components, factorisation_machine, image_copies, line_templates, mixing, packing, personal_data, quality_rules, queries, repeats, simhash, suffix_array, suffix_tree
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def sha(b: bytes) -> str:
+    return hashlib.sha256(b).hexdigest()
+
+
+def invented(seed: int = 3) -> list[tuple]:
+    r = random.Random(seed)
+    vocab = ["".join(r.choice(("an", "the", "re", "sch", "é", "ñ", "ou")) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    line = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    shared, texts = line(60), [None, "", " \n\t ", "x", "ß 7"]
+    for i in range(40):
+        texts.append("\n".join([line(r.randint(4, 50)) for _ in range(r.randint(1, 4))] + ["All rights reserved 20%02d." % i] * (i % 3 == 0)))
+    texts += [texts[7], texts[7], texts[7].replace("the", "tha", 1), line(20) + " " + shared + " " + line(9), line(5) + " " + shared, "ab " * 120, line(3000)]
+    return [(i, t, "en", None if i % 7 == 0 else f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(invented(), SCHEMA)
+
+
+def split(t):
+    return (t or "").encode().split()
+
+
+def test_suffix_array(spark, docs, monkeypatch):
+    seen, want = set(), {}
+    for i, t, *_ in invented():
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[s : s + 100] = True
+            seen.add(b[s : s + 100])
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        want[i] = (len(b), int(gone.sum()), runs, sha(np.frombuffer(b, np.uint8)[~gone].tobytes()))
+    got = suffix_array.without_earlier_copies(docs)
+    assert {r.doc_id: (r.n_units, r.n_removed, len(r.spans), sha(r.kept)) for r in got.collect()} == want
+    assert suffix_array.without_earlier_copies(docs.limit(0)).count() == 0
+
+
+def test_suffix_order_of_groups():
+    texts = [b"banana-bandana-banana", b"xbanana-band"]
+    units = np.frombuffer(b"".join(texts), np.uint8)
+    for depth in (1, 3, 5, 9, 12):
+        rank = repeats.suffix_ranks(units, depth)
+        whole = units.tobytes()
+        for i in range(len(whole) - depth):
+            for j in range(len(whole) - depth):
+                assert (rank[i] < rank[j]) == (whole[i : i + depth] < whole[j : j + depth])
+
+
+def test_repeated_ids_and_nulls(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, long), (1, long), (None, long), (None, None), (2, "")]
+    got = suffix_array.without_earlier_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (0, len(long)), (1, 0), (1, len(long)), (2, 0)]
+    tree = suffix_tree.without_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in tree) == [(0, 0), (0, 50), (1, 50), (1, 50), (2, 0)]
+
+
+@pytest.mark.parametrize("limit", [4096, 1])
+def test_suffix_tree(spark, docs, monkeypatch, limit):
+    count, want = Counter(), {}
+    for _, t, *_ in invented():
+        w = split(t)
+        count.update(tuple(w[s : s + 35]) for s in range(len(w) - 34))
+    for i, t, *_ in invented():
+        w = split(t)
+        gone = np.zeros(len(w), bool)
+        for s in range(len(w) - 34):
+            if count[tuple(w[s : s + 35])] > 1:
+                gone[s : s + 35] = True
+        want[i] = (len(w), int(gone.sum()), sha(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    got = suffix_tree.without_repeated_passages(docs)
+    assert {r.doc_id: (r.n_units, r.n_removed, sha(r.kept)) for r in got.collect()} == want
+
+
+def fingerprint(t: str | None, size: int = 4) -> int:
+    w = (t or "").encode().lower().split()
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + size]), 42) for i in range(max(1, len(w) - size + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark, docs):
+    rows = [*invented(), (None, "x y z", "en", "s", 5)]
+    prints = {i: fingerprint(t) for i, t, *_ in rows}
+    root = {i: i for i in prints if i is not None}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in root:
+        for j in root:
+            if i < j and (prints[i] ^ prints[j]).bit_count() <= 4:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.fp % (1 << 64) for r in got} == prints
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {i: find(i) for i in root}
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_fingerprint_links_against_all_pairs(spark):
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(20)]
+    fps = {b for b in base} | {b ^ sum(1 << k for k in r.sample(range(64), r.randint(1, 7))) for b in base for _ in range(25)}
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    fps = sorted(fps)
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 4:
+                root[find(a)] = find(b)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    got = simhash.fingerprint_components(spark.createDataFrame([(signed(f), 1) for f in fps], "fp long, n long"))
+    groups, want = defaultdict(set), defaultdict(set)
+    for x in got.collect():
+        groups[x.root].add(x.fp)
+    for f in fps:
+        want[find(f)].add(signed(f))
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(1, 60)] + [(100, 100 + k) for k in range(1, 30)] + [(5, 5), (None, 3)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 130)}
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    rows = [*invented(), (900, "don't <|endoftext|> É́ x ﬁ 12 a\x0bb", "", "", 0), (None, "y", "", "", 0)]
+    pieces = packing.packed(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x, *_ in rows}
+    by = defaultdict(list)
+    for p in pieces:
+        by[p.doc_id].append(p)
+    assert set(by) == set(ids)
+    for i, own in by.items():
+        own.sort(key=lambda p: p.start)
+        assert [p.start for p in own] == [0, *np.cumsum([p.length for p in own])[:-1].tolist()]
+        assert sum(p.length for p in own) == len(ids[i]) and {p.doc_tokens for p in own} == {len(ids[i])}
+        for p in own:
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[i][p.start : p.start + p.length], "<u4").tobytes())
+    sequences, padding = defaultdict(list), 0
+    for p in pieces:
+        sequences[p.sequence_id].append(p)
+    for own in sequences.values():
+        own.sort(key=lambda p: p.offset)
+        size = sum(p.length for p in own)
+        assert [p.offset for p in own] == [0, *np.cumsum([p.length for p in own])[:-1].tolist()] and size <= 2048
+        padding += 0 if size & (size - 1) == 0 else 2048 - size
+    assert padding < 0.01 * sum(map(len, ids.values()))
+    assert packing.packed(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_quality_rules(spark, docs):
+    rows = [(i, "re an the sch on it " * 3 + f"w{i} x{i} y{i} z{i} u{i} v{i} q{i}", "", "", 0) for i in range(60)]
+    rows += [(100 + i, " ".join(f"{c}{i}###" for c in "abcdefghijklmnopqrstuvwxy"), "", "", 0) for i in range(6)]
+    rows += [(200, None, "", "", 0), (201, "a b\na b\n\nc #%", "", "", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in quality_rules.quality(df, spark.createDataFrame([(i,) for i in range(40)], "doc_id long")).collect()}
+    assert (got[201].n_words, got[201].word_chars, got[201].n_symbols, got[201].n_dup_lines) == (6, 7, 2, 1)
+    assert got[200].n_words == 0 and got[200].base_failed and not got[200].kept
+    assert all(got[i].kept == (not got[i].base_failed) for i in range(60)) and not any(got[100 + i].kept for i in range(6))
+    repeat = {}
+    for i, t, *_ in invented():
+        w = split(t)
+        windows = Counter(tuple(w[s : s + 8]) for s in range(len(w) - 7))
+        inside = {k for s in range(len(w) - 7) if windows[tuple(w[s : s + 8])] > 1 for k in range(s, s + 8)}
+        repeat[i] = len(inside)
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules.quality(docs, docs.select("doc_id")).collect()} == repeat
+    kept = quality_rules.accepted(df, spark.createDataFrame([(i,) for i in range(40)], "doc_id long"))
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_twins(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got = queries.queries()[name](spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
+    want = con.sql(queries.oracle_sql()[name]).df().sort_values("doc_id").reset_index(drop=True)
+    assert got.equals(want[got.columns].astype(got.dtypes.to_dict()))
+
+
+def test_mixing_meets_targets(spark):
+    r = random.Random(1)
+    rows = [(i, "w " * r.randint(0, 40), "", r.choice(("a", "b", "b", "b", "c", None)), 0) for i in range(900)]
+    out = mixing.mix(mixing.sizes(spark.createDataFrame([*rows, (950, None, "", "a", 0)], SCHEMA))).collect()
+    taken, target = Counter(), {}
+    for x in out:
+        taken[x.source] += x.copies * x["size"]
+        target[x.source] = (x.target, x.source_size)
+        assert 0 <= x.copies <= 3
+    total = sum(x["size"] for x in out)
+    assert abs(sum(t for t, _ in target.values()) - total) < 1
+    assert all(abs(taken[s] - t) <= 40 and t <= 3 * n + 1e-6 for s, (t, n) in target.items())
+    assert mixing.mix(mixing.sizes(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_line_templates(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = [(i, f"{word()} {word()}\nServed from node {i} at once today friends\n{word()} {word()} {word()}", "", "", 0) for i in range(30)]
+    copy = "\n".join(f"{word()} {word()} {word()}" for _ in range(5))
+    rows += [(100 + i, copy, "", "", 0) for i in range(20)] + [(200, None, "", "", 0), (201, "", "", "", 0)]
+    got = {x.doc_id: x for x in line_templates.without_templates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0].n_dropped == 0 and all(got[i].n_dropped == 1 and "Served" not in got[i].kept_text for i in range(1, 30))
+    assert all(got[100 + i].n_dropped == 0 for i in range(20))  # a copied document is not a template
+    assert got[200].kept_text is None and got[201].kept_text == "" and got[200].n_lines == 0
+
+
+def test_factorisation_machine(spark):
+    r = np.random.default_rng(0)
+    machine = factorisation_machine.Machine(0.3, r.normal(size=20), r.normal(size=(20, 3)))
+    feature, value = np.array([2, 5, 11]), np.array([0.5, 1.0, 2.0])
+    pairs = sum(machine.factors[feature[i]] @ machine.factors[feature[j]] * value[i] * value[j] for i in range(3) for j in range(i))
+    assert np.isclose(machine.margins(np.zeros(3, int), feature, value, 1)[0], 0.3 + machine.linear[feature] @ value + pairs)
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = factorisation_machine.scored(docs, factorisation_machine.fit(docs, labels)).join(labels, "doc_id").where("held_out")
+    assert out.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.93
+    odd = spark.createDataFrame([(None, None), (1, ""), (1, "")], "doc_id long, text string")
+    assert all(0 <= x.score <= 1 for x in factorisation_machine.scored(odd, machine=factorisation_machine.fit(docs.limit(0), labels)).collect())
+
+
+def test_personal_data(spark):
+    text = "mail a.b@c.example.org, 1.2.3.4 999.1.1.1 +1 (555) 010-9999 x 4111 1111 1111 1111 (212) 555-0187 end"
+    rows = [(1, text), (1, text), (2, None), (3, ""), (4, "plain words in 2024 only, about 12.50 each")]
+    got = personal_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    first = next(x for x in got if x.doc_id == 1)
+    cut = lambda spans: [(s.kind, text[s.start : s.end]) for s in spans]
+    assert cut(first.base) == [("email", "a.b@c.example.org"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 010-9999")]
+    assert set(map(tuple, first.base)) <= set(map(tuple, first.spans)) and ("phone", "(212) 555-0187") in cut(first.spans)
+    assert all(not x.spans for x in got if x.doc_id in (2, 3, 4)) and len(got) == 5
+    model = personal_data.SegmentModel.fitted(personal_data.examples())
+    right = total = found = 0
+    for t, truth in personal_data.examples(150, seed=77):
+        own = set(model.spans(t))
+        right, total, found = right + len(own & set(truth)), total + len(truth), found + len(own)
+    assert right / total > 0.9 and right / found > 0.9
+
+
+def test_image_copies(spark):
+    pages = [(i, f"http://h{i}", f"<h1>title {i % 12}</h1>") for i in range(40)]
+    images = image_copies.page_images(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    odd = spark.createDataFrame([(90, b"not an image"), (91, b"not an image"), (92, None), (93, None)], "image_id long, image binary")
+    got = {r.image_id: r.class_id for r in image_copies.copies(images.unionByName(odd)).collect()}
+    assert got == {i: i % 12 for i in range(40)} | {90: 90, 91: 90, 92: 92, 93: 93}
+
+
+def test_png():
+    import struct
+
+    a = (np.arange(30).reshape(5, 6) * 7).astype(np.uint8)
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + b"\0\0\0\0"
+    up = np.vstack([a[:1], a[1:] - a[:-1]])
+    body = b"".join(bytes([2 if y else 0]) + row.tobytes() for y, row in enumerate(up))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 6, 5, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+    assert (image_copies.decode(png) == a).all() and image_copies.decode(b"P5 6 5 255\n" + a.tobytes()).shape == (5, 6)
+    assert image_copies.decode(b"\x89PNG\r\n\x1a\nxx") is None
