@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from windrow.plans import assembled  # noqa: F401  adds its queries
 from windrow.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
