@@ -9,10 +9,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windrow.functions import scalars as S
+from windrow.operators.layers import polygons
 
 # fixed values: accepted column names, in order of preference
 AIR = {
@@ -56,6 +57,121 @@ def air_quality(spark: SparkSession, path: str) -> DataFrame:
     ).dropna(subset=["station", "pollutant", "ts", "value"])
 
 
+def _numbers(df: DataFrame, columns: dict[str, tuple[tuple[str, ...], float | None]]) -> list[Column]:
+    """Lenient doubles by name: (accepted column names, default)."""
+    return [F.coalesce(S.lenient_double(picked(df, names)), F.lit(default).cast("double")).alias(c) for c, (names, default) in columns.items()]
+
+
+def _file() -> Column:
+    return F.element_at(F.split(F.input_file_name(), "/"), -1)
+
+
+# fixed values: accepted column names and defaults
+STATION = ("station_id", "stationId", "station_name")
+METEO = {
+    "temperature": (("temperature_c", "temperature", "Temperature"), None),
+    "humidity": (("humidity_pct", "humidity", "Humidity"), None),
+    "wind_speed": (("wind_speed_ms", "wind_speed", "WindSpeed"), None),
+    "wind_dir": (("wind_dir_deg", "wind_direction", "WindDirection"), None),
+    "precipitation": (("precipitation_mm", "precipitation", "Precipitation"), None),
+}
+CONTEXT = {
+    "building_density": (("building_density", "buildingDensity"), 0.0),
+    "road_density": (("road_density", "roadDensity"), 0.0),
+    "green_ratio": (("green_ratio", "greenRatio"), 0.0),
+    "impervious_ratio": (("impervious_ratio", "imperviousRatio"), 0.0),
+    "mean_elevation": (("mean_elevation", "meanElevation"), 0.0),
+    "slope_mean": (("slope_mean", "slopeMean"), 0.0),
+}
+EVENT = {
+    "lat": (("lat", "center_lat", "centerLat"), 0.0),
+    "lng": (("lng", "center_lng", "centerLng"), 0.0),
+    "radius_km": (("radius_km", "radiusKm"), 10.0),
+    "confidence": (("confidence", "Confidence"), 0.75),
+}
+
+
+def meteo(spark: SparkSession, path: str) -> DataFrame:
+    """Weather by station and time; a number that is missing stays null, rows without station or time go."""
+    df = csv(spark, path)
+    at = S.parsed_timestamp(picked(df, ("timestamp", "Timestamp", "read_time", "ReadTime")))
+    out = df.select(S.slug(picked(df, (*STATION, "Station"))).alias("station"), at.alias("ts"), *_numbers(df, METEO), F.coalesce(picked(df, ("source", "Source")), _file()).alias("source"))
+    return out.dropna(subset=["station", "ts"])
+
+
+def context_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Surroundings of stations by radius (500 m where none is given); missing numbers are 0."""
+    df = csv(spark, path)
+    whole = lambda names, default: F.coalesce(S.lenient_double(picked(df, names)), F.lit(float(default))).cast("int")
+    out = df.select(S.slug(picked(df, STATION)).alias("station"), whole(("radius_m", "radiusM"), 500).alias("radius_m"), *_numbers(df, CONTEXT), whole(("industry_count", "industryCount"), 0).alias("industry_count"))
+    return out.dropna(subset=["station"])
+
+
+def events(spark: SparkSession, path: str) -> DataFrame:
+    """The event catalogue; events without an id are numbered in the file's order. A catalogue is a small table."""
+    df = csv(spark, path).withColumn("_ord", F.monotonically_increasing_id())
+    own = F.concat(F.lit("event-"), F.row_number().over(Window.orderBy("_ord")).cast("string"))
+    day = lambda *names: F.to_date(S.parsed_timestamp(picked(df, names)))
+    out = df.withColumn("event_id", F.coalesce(picked(df, ("event_id", "eventId")), own))
+    return out.select(
+        "event_id",
+        picked(df, ("event_type", "eventType"), "fire").alias("kind"),
+        F.coalesce(picked(df, ("name", "Name")), "event_id").alias("name"),
+        day("start_date", "startDate").alias("start_day"),
+        day("end_date", "endDate").alias("end_day"),
+        *_numbers(df, EVENT),
+        F.coalesce(S.lenient_double(picked(df, ("hotspot_count", "hotspotCount"))), F.lit(0.0)).cast("int").alias("hotspot_count"),
+        F.coalesce(picked(df, ("source", "Source")), _file()).alias("source"),
+        picked(df, ("note", "Note"), "").alias("note"),
+    )
+
+
+MAP = "elements array<struct<type: string, id: long, lat: double, lon: double, geometry: array<struct<lat: double, lon: double>>, tags: map<string, string>>>"
+
+
+def map_elements(spark: SparkSession, path: str) -> DataFrame:
+    """(type, id, lat, lng, path, tags) of a map export in JSON: path is an array of structs (lat, lng)."""
+    e = spark.read.schema(MAP).json(path, multiLine=True).select(F.explode("elements").alias("e"))
+    line = F.transform("e.geometry", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lng")))
+    return e.select("e.type", "e.id", "e.lat", F.col("e.lon").alias("lng"), F.coalesce(line, F.array().cast("array<struct<lat: double, lng: double>>")).alias("path"), "e.tags")
+
+
+def _tag(*names: str, default: str) -> Column:
+    return F.coalesce(*[F.nullif(F.element_at("tags", n), F.lit("")) for n in names], F.lit(default))
+
+
+def roads(elements: DataFrame) -> DataFrame:
+    """Lines of two points or more; the category is the kind of highway."""
+    return elements.where(F.size("path") >= 2).select(F.concat(F.lit("road-"), F.col("id").cast("string")).alias("id"), _tag("highway", default="road").alias("category"), "path")
+
+
+def greens(elements: DataFrame, lat0: float, lng0: float, least_m2: float = 20_000.0) -> DataFrame:
+    """Closed rings of three points or more and enough area."""
+    ends = F.element_at("path", 1) == F.element_at("path", -1)
+    closed = elements.where(F.size("path") >= 3).withColumn("ring", F.when(ends, F.col("path")).otherwise(F.concat("path", F.slice("path", 1, 1))))
+    named = closed.select(F.concat(F.lit("green-"), F.col("id").cast("string")).alias("id"), _tag("leisure", "landuse", "natural", default="green").alias("category"), "ring")
+    return polygons(named, "ring", lat0, lng0).where(F.col("area") >= least_m2)
+
+
+def industries(elements: DataFrame) -> DataFrame:
+    """Points: nodes where they are, lines at the mean of their points."""
+    mean = lambda c: F.aggregate("path", F.lit(0.0), lambda a, p: a + p[c]) / F.nullif(F.size("path"), F.lit(0))
+    node = F.col("type") == "node"
+    out = elements.select(F.concat_ws("-", F.lit("industry"), "type", F.col("id").cast("string")).alias("id"), _tag("landuse", "industrial", "man_made", default="industrial").alias("category"), *[F.when(node, F.col(c)).otherwise(mean(c)).alias(c) for c in ("lat", "lng")])
+    return out.dropna(subset=["lat", "lng"])
+
+
+def sheet_rows(cells: DataFrame) -> DataFrame:
+    """(sheet, row, name, value) of a workbook's cells below the header whose first names are device_id and
+    calculateddatetime; a header further down takes over from there."""
+    heads = cells.groupBy("sheet", "row").agg(F.max(F.when(F.col("column") == "A", F.col("value"))).alias("a"), F.max(F.when(F.col("column") == "B", F.col("value"))).alias("b"))
+    known = heads.where("a = 'device_id' and b = 'calculateddatetime'").select("sheet", "row", F.lit(True).alias("header"))
+    marked = cells.join(known, ["sheet", "row"], "left")
+    above = Window.partitionBy("sheet", "column").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    named = marked.withColumn("name", F.last(F.when(F.col("header"), F.col("value")), True).over(above))
+    return named.where(F.col("header").isNull() & F.col("name").isNotNull()).select("sheet", "row", "name", "value")
+
+
 def json_rows(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
     """A JSON array of objects; an empty table with the schema where no path is given."""
     return spark.read.schema(schema).json(path, multiLine=True) if path else spark.createDataFrame([], schema)
