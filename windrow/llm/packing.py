@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,18 @@ REMEMBERED = 250_000
 #: Sequence ids of the tail start here; those of task p at p * 2^32.
 TAIL = 1 << 60
 
-_known: dict[str, dict[str, np.ndarray]] = {}
+
+@dataclass
+class Memory:
+    """Ids of the words that a Python worker has met: word number k has ids[starts[k]:starts[k + 1]]."""
+
+    tokenizer: object
+    number: dict[str, int]
+    ids: np.ndarray
+    starts: np.ndarray
+
+
+_known: dict[str, Memory] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -34,29 +47,35 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def _ids(vocab: list[str], path: str) -> list[np.ndarray]:
-    """Ids of single words. The tokenizer drops white space and never joins across it, so a text's ids are its words'."""
+def _ids(vocab: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, starts, sizes) of single words. The tokenizer drops white space and never joins across it, so a text's ids
+    are its words'."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if path not in _known:
-        _known[path] = {"": Tokenizer.from_file(path)}
-    known = _known[path]
-    new = [w for w in vocab if w not in known]
-    got = dict(zip(new, (np.array(e.ids, np.uint32) for e in known[""].encode_batch_fast(new, add_special_tokens=False)), strict=True))
-    out = [known[w] if w in known else got[w] for w in vocab]
-    if len(known) < REMEMBERED:
-        known.update(got)
-    return out
+        _known[path] = Memory(Tokenizer.from_file(path), {}, np.zeros(0, np.uint32), np.zeros(1, np.int64))
+    m = _known[path]
+    number = np.fromiter(map(m.number.get, vocab, repeat(-1)), np.int64, len(vocab))
+    ids, starts, unmet = m.ids, m.starts, np.flatnonzero(number < 0)
+    if len(unmet):
+        new = [vocab[i] for i in unmet.tolist()]
+        got = [e.ids for e in m.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        first = len(starts) - 1
+        number[unmet] = first + np.arange(len(new))
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
+        starts = np.concatenate([starts, starts[-1] + np.cumsum(sizes)])
+        if len(m.number) < REMEMBERED:
+            m.number.update(zip(new, range(first, first + len(new)), strict=True))
+            m.ids, m.starts = ids, starts
+    return ids, starts[number], starts[number + 1] - starts[number]
 
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids, starts): ids of all texts, each followed by END; text r owns ids[starts[r]:starts[r + 1]]."""
     w = words(texts)
-    per = _ids(w.vocab.to_pylist(), path)
-    size = np.fromiter(map(len, per), np.int64, len(per))
-    flat = np.concatenate([*per, np.zeros(0, np.uint32)])
-    at = np.cumsum(size) - size
+    flat, at, size = _ids(w.vocab.to_pylist(), path)
     # every text is its words and one more, the end
     n = w.counts
     length = np.ones(len(w.codes) + len(n), np.int64)
