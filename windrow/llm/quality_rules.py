@@ -61,7 +61,8 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
 
     good = trusted.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")).where("doc_id is not null").distinct()
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = ids.join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # texts meet the trusted ids by sort and merge at every size: labels grow with the corpus
+    marked = ids.join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     sums = marked.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(buckets), np.zeros(buckets)
     got = sums.toArrow()  # at most `buckets` rows
