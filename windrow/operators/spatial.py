@@ -99,33 +99,76 @@ def risk(cells: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("score", S.rounded(score)).withColumn("label", S.risk_label("score")).drop("_slope", "_elevation")
 
 
+def _metres(pdf: pd.DataFrame, origin: np.ndarray) -> np.ndarray:
+    return (pdf[["lat", "lng"]].to_numpy(float) - origin) * np.radians(1) * G.EARTH_M * np.array([1, np.cos(np.radians(origin[0]))])
+
+
+def _fitted(d: np.ndarray, v: np.ndarray):
+    """The exponential variogram of stations with values v at distances d from each other, as a function of distance."""
+    n = len(v)
+    pairs = np.sort(d[np.triu_indices(n, 1)])
+    sill, reach = max(v.var(ddof=1) if n > 1 else 0, 1e-6), np.clip(1.75 * pairs[len(pairs) // 2], 1000, max(pairs.max(), 1000)) if len(pairs) else 1000
+    return lambda x: np.where(x > 0, 0.05 * sill + 0.95 * sill * (1 - np.exp(-x / reach)), 0)
+
+
+def _kriged(gamma, d: np.ndarray, to: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Ordinary kriging at points whose distances to the stations are the columns of `to`."""
+    n = len(v)
+    a = np.ones((n + 1, n + 1))
+    a[:n, :n], a[n, n] = gamma(d), 0
+    b = np.ones((n + 1, to.shape[1]))
+    b[:n] = gamma(to)
+    return v @ np.linalg.lstsq(a, b, rcond=None)[0][:n]
+
+
+def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(p[:, None] - q[None], axis=2)
+
+
 def kriging(points: DataFrame, cells: pd.DataFrame, keys: list[str]) -> DataFrame:
     """Ordinary kriging with an exponential variogram, each group's stations solved once for all cells.
 
     cells is a grid of at most a few thousand rows, which goes with the task's code."""
-    at = cells[["lat", "lng"]].to_numpy(float)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        origin = pdf[["lat", "lng"]].mean().to_numpy()
-        scale = np.radians(1) * G.EARTH_M * np.array([1, np.cos(np.radians(origin[0]))])
-        p, q, v = (pdf[["lat", "lng"]].to_numpy(float) - origin) * scale, (at - origin) * scale, pdf["value"].to_numpy(float)
-        d, n = np.linalg.norm(p[:, None] - p[None], axis=2), len(v)
-        pairs = np.sort(d[np.triu_indices(n, 1)])
-        sill, reach = max(v.var(ddof=1) if n > 1 else 0, 1e-6), np.clip(1.75 * pairs[n and len(pairs) // 2], 1000, max(pairs.max(), 1000)) if len(pairs) else 1000
-        gamma = lambda x: np.where(x > 0, 0.05 * sill + 0.95 * sill * (1 - np.exp(-x / reach)), 0)
-        a = np.ones((n + 1, n + 1))
-        a[:n, :n], a[n, n] = gamma(d), 0
-        b = np.ones((n + 1, len(q)))
-        b[:n] = gamma(np.linalg.norm(p[:, None] - q[None], axis=2))
-        w = np.linalg.lstsq(a, b, rcond=None)[0][:n]
+        origin, v = pdf[["lat", "lng"]].mean().to_numpy(), pdf["value"].to_numpy(float)
+        p, q = _metres(pdf, origin), _metres(cells, origin)
+        d = _apart(p, p)
         head = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame({**head, "cell_id": cells["cell_id"].to_numpy(), "value": v @ w})
+        return pd.DataFrame({**head, "cell_id": cells["cell_id"].to_numpy(), "value": _kriged(_fitted(d, v), d, _apart(p, q), v)})
 
     schema = ", ".join([*[f"{k} {dict(points.dtypes)[k]}" for k in keys], "cell_id string", "value double"])
     return points.groupBy(*keys).applyInPandas(solve, schema)
 
 
+def kriging_gate(points: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
+    """(keys, n, idw_rmse, kriging_rmse, supported): whether kriging may be used for a group's stations.
+
+    It may where there are `least` stations or more and, each station left out in turn, kriging errs less than inverse
+    distances do. The variogram is that of all stations. Errors are null where the group is too small or all its stations
+    stand in one place. A group is one network's stations."""
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        n, row = len(pdf), {**{k: pdf[k].iloc[0] for k in keys}, "n": pdf["id"].nunique(), "idw_rmse": None, "kriging_rmse": None, "supported": False}
+        p, v = _metres(pdf, pdf[["lat", "lng"]].mean().to_numpy()), pdf["value"].to_numpy(float)
+        d = _apart(p, p)
+        if row["n"] >= least and d.max() > 0:
+            gamma, errors = _fitted(d, v), np.zeros((2, n))
+            for i in range(n):
+                rest = np.arange(n) != i
+                w = 1 / np.maximum(d[rest, i], 1.0) ** 2
+                errors[0, i] = w @ v[rest] / w.sum() - v[i]
+                errors[1, i] = _kriged(gamma, d[np.ix_(rest, rest)], d[rest, i : i + 1], v[rest])[0] - v[i]
+            idw_rmse, kriging_rmse = np.sqrt((errors**2).mean(1))
+            row |= {"idw_rmse": round(float(idw_rmse), 4), "kriging_rmse": round(float(kriging_rmse), 4), "supported": bool(kriging_rmse < idw_rmse)}
+        return pd.DataFrame([row]).astype({"idw_rmse": float, "kriging_rmse": float})
+
+    schema = ", ".join([*[f"{k} {dict(points.dtypes)[k]}" for k in keys], "n long, idw_rmse double, kriging_rmse double, supported boolean"])
+    return points.groupBy(*keys).applyInPandas(test, schema)
+
+
 def moran_permutation(points: DataFrame, keys: list[str], label: str, rounds: int = 59) -> DataFrame:
     """Moran's I of each group against shuffles of its values, seeded by the group's label: z and pseudo p."""
 

@@ -178,8 +178,10 @@ def json_rows(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
 
 
 def workbook(spark: SparkSession, path: str) -> DataFrame:
-    """(sheet, row, column, value) of every filled cell of XLSX files, one file a task at a time."""
+    """(sheet, row, column, value) of every filled cell of XLSX files, one file a task at a time; a sheet goes by its
+    title, or by its part's name where the workbook gives none."""
     main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -188,13 +190,18 @@ def workbook(spark: SparkSession, path: str) -> DataFrame:
                 shared = []
                 if "xl/sharedStrings.xml" in book.namelist():
                     shared = ["".join(t.text or "" for t in si.iter(f"{main}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+                titles = {}
+                if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(book.namelist()):
+                    parts = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+                    sheets = ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{main}sheet")
+                    titles = {"xl/" + parts[s.get(link)].removeprefix("/xl/"): s.get("name") for s in sheets}
                 for name in sorted(n for n in book.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)):
                     for c in ElementTree.fromstring(book.read(name)).iter(f"{main}c"):
                         v = c.find(f"{main}v")
                         if v is not None and v.text:
                             text = shared[int(v.text)] if c.get("t") == "s" else v.text
                             at = re.fullmatch(r"([A-Z]+)([0-9]+)", c.get("r"))
-                            rows.append((name[14:-4], int(at[2]), at[1], text))
+                            rows.append((titles.get(name, name[14:-4]), int(at[2]), at[1], text))
                 yield pd.DataFrame(rows, columns=["sheet", "row", "column", "value"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
