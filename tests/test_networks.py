@@ -97,5 +97,20 @@ def test_kriging_gate(spark):
         errors.append(sum(a * b for a, b in w) / sum(a for a, _ in w) - pts[i][4])
     assert abs(got["wave"].idw_rmse - math.sqrt(np.mean(np.square(errors)))) < 1e-4
     assert got["wave"].supported == (got["wave"].kriging_rmse < got["wave"].idw_rmse) and got["wave"].supported
-    # every station left out is told by the surface that the others give, but for the variogram, which is all stations'
-    assert points.where(F.col("net") == "wave").count() == got["wave"].n
+    # ordinary kriging of each station from the others, under all stations' variogram
+    apart = sorted(math.dist(p, q) for i, p in enumerate(at) for q in at[:i])
+    sill, reach = np.var([x[4] for x in pts], ddof=1), min(max(1.75 * apart[len(apart) // 2], 1000), max(apart[-1], 1000))
+    gamma = lambda p, q: 0.05 * sill + 0.95 * sill * (1 - math.exp(-math.dist(p, q) / reach)) if p != q else 0.0
+    errors = []
+    for i, p in enumerate(at):
+        rest = [j for j in range(len(at)) if j != i]
+        a = np.array([[gamma(at[j], at[k]) for k in rest] + [1.0] for j in rest] + [[1.0] * len(rest) + [0.0]])
+        w = np.linalg.solve(a, np.array([gamma(at[j], p) for j in rest] + [1.0]))[:-1]
+        errors.append(sum(x * pts[j][4] for x, j in zip(w, rest, strict=True)) - pts[i][4])
+    assert abs(got["wave"].kriging_rmse - math.sqrt(np.mean(np.square(errors)))) < 1e-4
+
+
+def test_sensors(spark):
+    rows = spark.createDataFrame([("a - 1", 40.0, 29.0), ("b", 40.1, 29.1), ("c", 40.2, 29.0), ("d", None, 29.0)], "name string, lat double, lng double")
+    got = networks.sensors(rows, (40.0, 29.0, 40.1, 29.1), F.upper("name")).collect()
+    assert {r.name for r in got} == {"A - 1", "B"}
