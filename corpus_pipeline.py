@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm import line_templates, mixing, packing, quality_rules, simhash
+from windrow.llm import line_templates, mixing, near_copies, packing, quality_rules
 from windrow.llm.common import table, written
 
 #: Near-duplicate stages of a pipeline compare shingles of five words.
@@ -28,8 +28,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.deduplicated(docs, shingle_words=SHINGLE_WORDS)
+    """Of each group of documents linked at Jaccard 0.8 or more the one with the smallest id stays."""
+    return near_copies.deduplicated(docs, shingle_words=SHINGLE_WORDS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages against what each is to do, on the smallest tables."""
 
+import random
+
 import corpus_pipeline
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +20,30 @@ def test_stages(spark):
         docs = spark.createDataFrame(rows, docs.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {p.doc_id for p in packed} == {r.doc_id for r in rows}
+
+
+def test_near_dedup_finds_every_pair_from_similarity_08_on(spark):
+    r, rows = random.Random(5), []
+    for base in range(30):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randint(30, 400))]
+        for copy in range(4):
+            for _ in range(round(copy * r.random() * len(words) / 50)):
+                words[r.randrange(len(words))] = f"v{r.randrange(5000)}"
+            rows.append((len(rows), " ".join(words), "en", f"s{base % 3}", 1))
+    rows += [(len(rows), "a b c", "en", "s0", 1), (len(rows) + 1, "A b  c", "en", "s1", 1), (len(rows) + 2, "a b d", "en", "s1", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    sets = []
+    for _, t, *_ in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root, low = list(range(len(rows))), 0
+    for a in range(len(rows)):
+        for b in range(a):
+            like = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            low += 0.8 <= like < 0.95
+            if like >= 0.8 and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = [x if c == y else c for c in root]
+    assert low > 10
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, schema), SF)
+    assert sorted(x.doc_id for x in got.collect()) == sorted(set(root))

@@ -18,21 +18,32 @@ from .components import connected_components
 BYTES = 8
 
 
-def _fingerprint(text: str | None, size: int, seed: int) -> int:
+def shingles(text: str | None, size: int, seed: int) -> np.ndarray:
+    """XXH64 of every run of `size` words, in order; of all words where there are fewer."""
     w = (text or "").encode().lower().split()
     if not w:
-        return 0
+        return np.zeros(0, ">u8")
     joined, size = b" ".join(w), min(size, len(w))
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends[size - 1 :].tolist(), strict=False)], ">u8")
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends[size - 1 :].tolist(), strict=False)], ">u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashed shingles; 0 without any."""
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h)).view(">u8")[0])
 
 
+def _fingerprint(text: str | None, size: int, seed: int) -> int:
+    return majority(shingles(text, size, seed))
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the 64-bit SimHash of every document, as a signed long.
 
@@ -71,15 +82,20 @@ def position_sets(max_bits: int, key_bytes: int = 3) -> list[tuple[int, ...]]:
     return chosen
 
 
-def _postings(fps: DataFrame, sets: list[tuple[int, ...]], *more: str) -> DataFrame:
-    """The inverted index: a row for each fingerprint and position set, key = set number and its bytes."""
+def index_keys(sets: list[tuple[int, ...]]) -> list:
+    """A column for each position set: its number and its bytes of fp."""
     keys = []
     for k, positions in enumerate(sets):
         key = F.lit(k).cast("long")
         for i in positions:
             key = key * 256 + _byte(i)
         keys.append(key)
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp", *more)
+    return keys
+
+
+def _postings(fps: DataFrame, sets: list[tuple[int, ...]], *more: str) -> DataFrame:
+    """The inverted index: a row for each fingerprint and position set, key = set number and its bytes."""
+    return fps.select(F.explode(F.array(*index_keys(sets))).alias("key"), "fp", *more)
 
 
 def _equal_bytes(a: str, b: str):
