@@ -20,8 +20,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; a document of which nothing else is left goes too."""
-    out = line_templates.without_templates(docs)
+    """Lines of templates that recur in different texts go; a document of which nothing else is left goes too."""
+    out = line_templates.without_templates(docs, surroundings=False)
     left = out.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike(line_templates.TOKEN))
     n_chars = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
     return left.withColumn("n_chars", n_chars).withColumn("text", F.col("kept_text")).select(*docs.columns)

@@ -47,3 +47,20 @@ def test_near_dedup_finds_every_pair_from_similarity_08_on(spark):
     assert low > 10
     got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, schema), SF)
     assert sorted(x.doc_id for x in got.collect()) == sorted(set(root))
+
+
+def test_line_dedup_takes_whole_blocks_and_lines_that_are_also_in_copies(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    block = "Licensed under some terms of old\nYou may not use this at all\nSee the text of these terms first\n"
+    rows = [(i, f"{word()} {word()} {word()}\n{block}{word()} {word()}", "en", "s0", 1) for i in range(20)]
+    rows += [(100 + i, f"shared alone {i % 3}\nHot line in copies and elsewhere too", "en", "s0", 1) for i in range(60)]
+    rows += [(200 + i, f"{word()} {word()} {word()}\nHot line in copies and elsewhere too\n{word()}", "en", "s0", 1) for i in range(12)]
+    copy = "\n".join(f"{word()} {word()} {word()}" for _ in range(4))
+    rows += [(300 + i, copy, "en", "s1", 1) for i in range(20)] + [(400 + i, "one line that is all of it, %s" % ("a" * i), "en", "s1", 1) for i in range(3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = {x.doc_id: x.text for x in corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, schema), SF).collect()}
+    assert all(line in got[0] for line in block.splitlines())
+    assert all(line not in got[i] for i in range(1, 20) for line in block.splitlines())
+    assert sum("Hot line" in t for t in got.values()) == 1
+    assert all(got[300 + i] == copy for i in range(20))  # whole copies count once
