@@ -290,3 +290,16 @@ def test_png():
     png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 6, 5, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
     assert (image_copies.decode(png) == a).all() and image_copies.decode(b"P5 6 5 255\n" + a.tobytes()).shape == (5, 6)
     assert image_copies.decode(b"\x89PNG\r\n\x1a\nxx") is None
+
+
+def test_line_templates_tell_lines_with_equal_bytes_of_hash_apart(spark):
+    byte = lambda w: xxhash.xxh64_intdigest(w.encode(), 42) & 255
+    near = [w for w in (f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(17576)) if byte(w) == byte("gamma")][:5]
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    around = lambda line: f"{word()} {word()}\n{line}\n{word()} {word()} {word()}"
+    rows = [(i, around("node alpha beta gamma delta"), "", "", 0) for i in range(30)]
+    rows += [(100 + i, around(f"node alpha beta {w} other"), "", "", 0) for i, w in enumerate(near)]
+    got = {x.doc_id: x.n_dropped for x in line_templates.without_templates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(near) == 5 and all(got[i] == 1 for i in range(1, 30))
+    assert all(got[100 + i] == 0 for i in range(5))
