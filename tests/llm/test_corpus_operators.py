@@ -303,3 +303,20 @@ def test_line_templates_tell_lines_with_equal_bytes_of_hash_apart(spark):
     got = {x.doc_id: x.n_dropped for x in line_templates.without_templates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len(near) == 5 and all(got[i] == 1 for i in range(1, 30))
     assert all(got[100 + i] == 0 for i in range(5))
+
+
+@pytest.mark.parametrize("before", ['{"key":"' + "abcdefgh," * 6 + '","phone":"', "row;" * 15 + "phone;", "数据记录" * 14 + "电话"])
+def test_personal_data_without_white_space_before(before):
+    model = personal_data.SegmentModel.fitted(personal_data.examples())
+    seen = {}
+    model_spans = model.spans
+
+    class Spy:
+        def spans(self, text):
+            seen[text] = True
+            return model_spans(text)
+
+    number = "(415) 555-1234"
+    spans = personal_data.all_spans(before + number + '" and so on', Spy())[1]
+    assert any(number in t for t in seen)
+    assert any(kind == "phone" and s <= len(before) + 1 and e >= len(before) + len(number) for kind, s, e in spans)

@@ -262,6 +262,15 @@ def examples(n: int = 260, seed: int = 11) -> list[tuple[str, list[tuple[str, in
     return out
 
 
+def _edge(text: str, a: int, trigger: int) -> int:
+    """Where a stretch begins: at the first white space before its trigger, else at the edge of a piece at or before a."""
+    space = next((i for i in range(a, trigger) if text[i].isspace()), None)
+    if space is not None:
+        return space
+    low = max(0, a - AROUND)
+    return next((i for i in range(a, low, -1) if not (text[i - 1].isalnum() and text[i].isalnum())), a)
+
+
 def all_spans(text: str, model: SegmentModel) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
     """(base spans by kind, all spans): the model's spans that touch no base span are added to them."""
     base = base_spans(text)
@@ -273,9 +282,9 @@ def all_spans(text: str, model: SegmentModel) -> tuple[dict[str, list[tuple[int,
         if stretches and a <= stretches[-1][1]:
             stretches[-1][1] = b
         else:
-            stretches.append([a, b])
-    for a, b in stretches:
-        a = a and next((i for i in range(a, b) if text[i].isspace()), a)  # at an edge of a word
+            stretches.append([a, b, m.start()])
+    for a, b, trigger in stretches:
+        a = a and _edge(text, a, trigger)
         for kind, x, y in model.spans(text[a:b]):
             while at < len(taken) and taken[at][1] <= a:
                 at += 1
