@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -40,9 +41,22 @@ def split(t):
     return (t or "").encode().split()
 
 
-def test_suffix_array(spark, docs, monkeypatch):
-    seen, want = set(), {}
-    for i, t, *_ in invented():
+LIMITS = [{}, {"split": 1}, {"piece": 150}, {"split": 1, "piece": 150}]
+
+
+def crowded() -> list[tuple]:
+    """One passage in many documents, with different texts around it: its edges are anchors that very many stretches share."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(50))
+    return [(1000 + i, " ".join([word() for _ in range(30)] + [passage] + [word() for _ in range(30)]), "en", "s", 1) for i in range(60)]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_suffix_array(spark, limits, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 0.01)
+    rows, seen, want = invented() + crowded(), set(), {}
+    for i, t, *_ in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for s in range(len(b) - 99):
@@ -51,16 +65,52 @@ def test_suffix_array(spark, docs, monkeypatch):
             seen.add(b[s : s + 100])
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want[i] = (len(b), int(gone.sum()), runs, sha(np.frombuffer(b, np.uint8)[~gone].tobytes()))
-    got = suffix_array.without_earlier_copies(docs)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = suffix_array.without_earlier_copies(docs, **limits)
     assert {r.doc_id: (r.n_units, r.n_removed, len(r.spans), sha(r.kept)) for r in got.collect()} == want
     assert suffix_array.without_earlier_copies(docs.limit(0)).count() == 0
 
 
+def test_hot_anchors_are_found(spark):
+    docs = spark.createDataFrame(crowded(), SCHEMA).select(F.col("doc_id").alias("uid"), "text")
+    assert len(repeats.hot_anchors(docs, repeats.Units("bytes", 100, 24, True, split=20), 0.001)) > 1
+    assert len(repeats.hot_anchors(docs, repeats.Units("bytes", 100, 24, True, split=10**6), 0.001)) == 0
+
+
+def naive_common(a: bytes, b: bytes, most: int) -> int:
+    return next((i for i in range(most) if a[i : i + 1] != b[i : i + 1] or i >= min(len(a), len(b))), most)
+
+
+@pytest.mark.parametrize("depth", [3, 9, 20, 100])
+def test_factors_and_nodes_against_plain_versions(depth):
+    r = random.Random(depth)
+    text = bytes(r.choice(b"ab") for _ in range(300)) + b"abcabcabd" * 20
+    text += text[40:260]
+    n = len(text) - depth
+    levels = repeats.suffix_ranks(np.frombuffer(text, np.uint8), depth)
+    at = np.arange(n)
+    order = np.lexsort((at, levels[-1][1][:n]))
+    assert [text[i : i + depth] for i in order] == sorted(text[i : i + depth] for i in range(n))
+    lcp = np.zeros(n, np.int64)
+    lcp[1:] = repeats.common_prefixes(levels, order[:-1], order[1:], depth)
+    assert lcp[1:].tolist() == [naive_common(text[a:], text[b:], depth) for a, b in zip(order[:-1], order[1:], strict=True)]
+    factors = suffix_array.longest_previous_factors(order, lcp)
+    assert all(f == max((naive_common(text[i:], text[j:], depth) for j in range(i)), default=0) for i, f in zip(order, factors, strict=True))
+    nodes = suffix_tree.internal_nodes(lcp)
+    want = set()
+    for i in range(1, n):
+        if lcp[i]:
+            a = next(x for x in range(i, -1, -1) if lcp[x] < lcp[i])
+            b = next((x for x in range(i, n) if lcp[x] < lcp[i]), n)
+            want.add((int(lcp[i]), a, b - 1))
+    assert set(zip(nodes.depth.tolist(), nodes.first.tolist(), nodes.last.tolist(), strict=True)) == want
+
+
 def test_suffix_order_of_groups():
     texts = [b"banana-bandana-banana", b"xbanana-band"]
     units = np.frombuffer(b"".join(texts), np.uint8)
     for depth in (1, 3, 5, 9, 12):
-        rank = repeats.suffix_ranks(units, depth)
+        rank = repeats.suffix_ranks(units, depth)[-1][1]
         whole = units.tobytes()
         for i in range(len(whole) - depth):
             for j in range(len(whole) - depth):
@@ -76,23 +126,40 @@ def test_repeated_ids_and_nulls(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in tree) == [(0, 0), (0, 50), (1, 50), (1, 50), (2, 0)]
 
 
-@pytest.mark.parametrize("limit", [4096, 1])
-def test_suffix_tree(spark, docs, monkeypatch, limit):
-    count, want = Counter(), {}
-    for _, t, *_ in invented():
+@pytest.mark.parametrize("limits", LIMITS)
+def test_suffix_tree(spark, limits, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 0.01)
+    rows, count, want = invented() + crowded(), Counter(), {}
+    for _, t, *_ in rows:
         w = split(t)
         count.update(tuple(w[s : s + 35]) for s in range(len(w) - 34))
-    for i, t, *_ in invented():
+    for i, t, *_ in rows:
         w = split(t)
         gone = np.zeros(len(w), bool)
         for s in range(len(w) - 34):
             if count[tuple(w[s : s + 35])] > 1:
                 gone[s : s + 35] = True
         want[i] = (len(w), int(gone.sum()), sha(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)))
-    got = suffix_tree.without_repeated_passages(docs)
+    got = suffix_tree.without_repeated_passages(spark.createDataFrame(rows, SCHEMA), **limits)
     assert {r.doc_id: (r.n_units, r.n_removed, sha(r.kept)) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_texts_of_over_two_to_the_24_units(kind):
+    chance = np.random.default_rng(1)
+    n = (1 << 24) + 5000
+    if kind == "bytes":
+        long, u = chance.integers(97, 123, n, np.uint8).tobytes().decode(), repeats.Units("bytes", 100, 24, True)
+        passage = long[-300:]
+    else:
+        vocab = [f"w{i}" for i in range(3000)]
+        own = chance.integers(0, 3000, n)
+        long, u = " ".join([vocab[i] for i in own.tolist()]), repeats.Units("words", 35, 10, False)
+        passage = " ".join(vocab[i] for i in own[-120:].tolist())
+    row, lo, _, a, _ = repeats.stretches(*u.of(pa.array([long, passage], pa.large_string()))[:2], u)
+    assert set(a[row == 1].tolist()) <= set(a[row == 0].tolist()) and lo[row == 0].max() > 1 << 24
+
+
 def fingerprint(t: str | None, size: int = 4) -> int:
     w = (t or "").encode().lower().split()
     if not w:
