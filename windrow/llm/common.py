@@ -26,21 +26,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. A temporary one serves only where they are one process: elsewhere each
+    executor would write to its own disk, and what is read again would lack the others' rows."""
     found = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.getCheckpointDir() or None)
     if not found:
-        spark.sparkContext.setCheckpointDir(found := f"file://{tempfile.mkdtemp(prefix='windrow-')}")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='windrow-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Writes a table into the shared folder and reads it again, so that its lineage is cut and a lost
-    executor costs no recomputation."""
+    executor costs no recomputation. A table from an earlier call that this one makes useless is deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/windrow-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        for old in {f.rsplit("/", 1)[0] for f in instead_of.inputFiles()}:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until it is none of the taken ones, which Spark tells apart without regard to case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

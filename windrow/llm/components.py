@@ -24,13 +24,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) reach the fixed point in a number of rounds
-    that grows with the logarithm of the graph; each round is written to the shared folder. Nodes meet only in
+    that grows with the logarithm of the graph; each round is written to the shared folder in place of the one before. Nodes meet only in
     joins and sums, so a hub's links are never gathered in one place, and no part of the graph reaches the driver.
     Links with a null end and links of a node to itself are left out; ends need an order (numbers or strings)."""
     links = written(links.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "links")
     seen = None
     for _ in range(max_rounds):
-        links = written(_stars(_stars(links, True), False), "links")
+        links = written(_stars(_stars(links, True), False), "links", instead_of=links)
         state = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             break

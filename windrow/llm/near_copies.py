@@ -46,16 +46,16 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _sketches(docs: DataFrame, shingle_words: int, seed: int) -> DataFrame:
-    """(doc_id, node, size, fp, bands): node names the document's set of shingles, size is how many there are."""
+    """(doc_id, th, node, size, fp, bands): node names the document's set of shingles, size is how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             hashes = [simhash.shingles(t, shingle_words, seed) for t in block.column("text").to_pylist()]
             sets = [_grams(h) for h in hashes]
-            columns = [block.column("doc_id"), _long([n for n, _ in sets]), pa.array([len(g) for _, g in sets], pa.int64()), _long([simhash.majority(h) for h in hashes]), _lists([_bands(g) for _, g in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "fp", "bands"])
+            columns = [block.column("doc_id"), block.column("th"), _long([n for n, _ in sets]), pa.array([len(g) for _, g in sets], pa.int64()), _long([simhash.majority(h) for h in hashes]), _lists([_bands(g) for _, g in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "size", "fp", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, size long, fp long, bands array<long>")
+    return docs.withColumn("th", simhash.text_hash()).mapInArrow(run, "doc_id long, th long, node long, size long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, shingle_words: int, seed: int) -> DataFrame:
@@ -87,7 +87,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle_words
 
 
 def components(docs: DataFrame, shingle_words: int, seed: int = 42) -> DataFrame:
-    """(doc_id, component_id) for every row of docs with an id: documents link at Jaccard NUM / DEN or more.
+    """(doc_id, th, root, component_id) for every row of docs with an id, th hashing its text: documents link at Jaccard
+    NUM / DEN or more; component_id is the smallest id of a component, root what tells components apart.
 
     Documents with equal sets of shingles meet as one node first. Nodes are candidates if they share a MinHash band,
     or a key of SimHash's byte index at MAX_BITS or fewer differing bits; a 64-bit fingerprint alone can't do: at 0.8 it
@@ -121,13 +122,11 @@ def components(docs: DataFrame, shingle_words: int, seed: int = 42) -> DataFrame
     second = connected_components(links).withColumnRenamed("node", "c")
     roots = written(named.join(second, "c", "left").select("node", "low", F.coalesce("component", "c").alias("root")), "roots")
     ids = roots.join(roots.groupBy("root").agg(F.min("low").alias("component_id")), "root")
-    return prints.select("doc_id", "node").join(ids.select("node", "component_id"), "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "th", "node").join(ids.select("node", "root", "component_id"), "node").select("doc_id", "th", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle_words: int) -> DataFrame:
     """The rows of docs that stay: of each component the document with the smallest id; all its columns are kept.
 
-    Rows repeated under that id stay as they are only once; rows without an id are kept."""
-    keep = components(docs, shingle_words).where("doc_id = component_id").select("doc_id").distinct()
-    ided = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi").select(*docs.columns)
-    return ided.unionByName(docs.where("doc_id is null"))
+    Rows that share an id but not a text are separate documents; equal rows stay once; rows without an id are kept."""
+    return simhash.one_of_each(docs, components(docs, shingle_words).select("doc_id", "th", F.col("root").alias("component")))
