@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 #: A histogram splits a range of hash values into this many buckets; LEVELS of them, each inside a bucket of the one before.
 BITS = 12
@@ -56,11 +56,12 @@ def _bucket(level: int) -> Column:
     return F.shiftrightunsigned("h", 48 - BITS * (level + 1))
 
 
-def _met(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, per_source: DataFrame, h: str = "h") -> DataFrame:
     """rows with their source's columns: per_source is repeated under each salt, so that no source's rows share a task."""
+    source, salt = fresh([*rows.columns, *per_source.columns], "_source", "_salt")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
-    salted = per_source.select(key.alias("_source"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), *[c for c in per_source.columns if c != "source"])
-    return rows.withColumn("_source", key).withColumn("_salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")).join(salted, ["_source", "_salt"]).drop("_source", "_salt")
+    salted = per_source.select(key.alias(source), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt), *[c for c in per_source.columns if c != "source"])
+    return rows.withColumn(source, key).withColumn(salt, F.pmod(F.xxhash64(h), F.lit(SALTS)).cast("int")).join(salted, [source, salt]).drop(source, salt)
 
 
 def thresholds(sized: DataFrame, per: DataFrame) -> DataFrame:
@@ -94,20 +95,24 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -
 
     Every row of a source is taken floor(target / size) times, and rows under the source's hash threshold once more; so
     the choice is the same in every run, no row is taken more than `most` times, and a source's taken words miss its
-    target by less than one document (rows of one id share a hash and are taken together). Rows are never sorted. Null
-    sources form a source of their own; null and empty texts have size 0; an empty table gives an empty result."""
-    per = written(targets(sized, weights, most), "targets")
-    return _met(sized, thresholds(sized, per)).withColumn("copies", F.col("whole") + (F.col("h") < F.col("cut")).cast("long")).drop("whole", "cut")
+    target by less than one document (rows of one id share a hash and are taken together). Rows are never sorted. Columns of
+    sized that have a result's name give way to it. Null sources form a source of their own; null and empty texts have size 0; an empty table gives an empty result."""
+    sized = sized.drop("source_size", "target", "copies")
+    whole, cut = fresh([*sized.columns, "source_size", "target", "copies"], "whole", "cut")
+    per = thresholds(sized, written(targets(sized, weights, most), "targets")).withColumnsRenamed({"whole": whole, "cut": cut})
+    return _met(sized, per).withColumn("copies", F.col(whole) + (F.col("h") < F.col(cut)).cast("long")).drop(whole, cut)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The mix itself: rows of docs, repeated as often as they are taken, with their columns.
 
-    The texts stay where they are until they are written: only the table of thresholds comes to them."""
+    The texts stay where they are until they are written: only the table of thresholds comes to them. Columns of any name
+    come through as they are."""
+    h, whole, cut, n = fresh(docs.columns, "h", "whole", "cut", "n")
     own = written(sizes(docs), "sizes")
-    cut = thresholds(own, written(targets(own, weights, most), "targets")).select("source", "whole", "cut")
-    taken = _met(docs.withColumn("h", _hash()), cut).withColumn("_n", F.col("whole") + (F.col("h") < F.col("cut")).cast("long")).where("_n > 0")
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    per = thresholds(own, written(targets(own, weights, most), "targets")).select("source", F.col("whole").alias(whole), F.col("cut").alias(cut))
+    taken = _met(docs.withColumn(h, _hash()), per, h).withColumn(n, F.col(whole) + (F.col(h) < F.col(cut)).cast("long")).where(F.col(n) > 0)
+    return taken.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
