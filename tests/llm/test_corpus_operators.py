@@ -347,6 +347,41 @@ def test_image_copies(spark):
     assert got == {i: i % 12 for i in range(40)} | {90: 90, 91: 90, 92: 92, 93: 93}
 
 
+def edited(a: np.ndarray) -> dict[str, np.ndarray]:
+    """Copies of a picture as they are made in practice."""
+    small = image_copies._scaled(a, 0.75)
+    return {
+        "same": a,
+        "crop": a[10:62, 6:70],
+        "light": np.clip(a * 0.85 + 20, 0, 255),
+        "resized to 0.75": small,
+        "quarter turn": np.rot90(a),
+        "half turn, cropped": np.rot90(a, 2)[4:, 4:],
+        "resized to 0.56": image_copies._scaled(a, 0.5625),
+        "coarse": np.rint(a / 16) * 16,
+    }
+
+
+def pgm(a: np.ndarray) -> bytes:
+    return b"P5 %d %d 255\n" % a.shape[::-1] + np.clip(np.rint(a), 0, 255).astype(np.uint8).tobytes()
+
+
+def test_edited_copies_of_images_against_all_pairs(spark):
+    rows, source = [], []
+    for i in range(25):
+        for kind, a in edited(image_copies.picture(f"picture {i}")).items():
+            rows.append((len(rows), pgm(a)))
+            source.append((i, kind))
+    got = {r.image_id: r.class_id for r in image_copies.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    classes = defaultdict(set)
+    for i, c in got.items():
+        classes[c].add(source[i][0])
+    assert all(len(x) == 1 for x in classes.values())  # different pictures never meet
+    found = [got[i] == got[i - i % 8] for i in range(len(rows)) if i % 8]
+    assert sum(found) / len(found) >= 0.9, Counter(source[i][1] for i in range(len(rows)) if got[i] != got[i - i % 8])
+    assert len({got[8 * i] for i in range(25)}) == 25
+
+
 def test_png():
     import struct
 
