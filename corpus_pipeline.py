@@ -5,7 +5,6 @@ Every stage's rows are written as Parquet into the shared folder and read again
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from windrow.llm import line_templates, mixing, near_copies, packing, quality_rules
 from windrow.llm.common import table, written
@@ -21,10 +20,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur in different texts go; a document of which nothing else is left goes too."""
-    out = line_templates.without_templates(docs, surroundings=False)
-    left = out.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike(line_templates.TOKEN))
-    n_chars = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
-    return left.withColumn("n_chars", n_chars).withColumn("text", F.col("kept_text")).select(*docs.columns)
+    return line_templates.without_template_lines(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +46,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: No SQL: tokenisation and SimHash have none. Tests hold the result against a brute-force version.
+#: No SQL: tokenisation and SimHash have none. tests/llm/test_pipeline.py holds run()'s rows against a brute-force version.
 ORACLE_SQL = None
 
 
