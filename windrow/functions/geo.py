@@ -81,3 +81,17 @@ def in_ring(x, y, ring) -> Column:
         return ((e.p.y > y) != (e.q.y > y)) & (x < (e.q.x - e.p.x) * (y - e.p.y) / rise + e.p.x)
 
     return F.size(F.filter(_edges(col(ring)), crossed)) % 2 == 1
+
+
+def cube(lat, lng, metres: float) -> Column:
+    """The cube of an earth-centred grid that a place lies in, as a struct; places closer than `metres` are in the same one or
+    in neighbours, anywhere on the globe."""
+    lat, lng = F.radians(col(lat)), F.radians(col(lng))
+    at = (F.cos(lat) * F.cos(lng), F.cos(lat) * F.sin(lng), F.sin(lat))
+    return F.struct(*[F.floor(x * EARTH_M / metres).alias(n) for x, n in zip(at, "xyz", strict=True)])
+
+
+def cubes_around(lat, lng, metres: float) -> Column:
+    """The cube of a place and all its neighbours."""
+    own, steps = cube(lat, lng, metres), [F.lit(i).cast("long") for i in (-1, 0, 1)]
+    return F.array(*[F.struct((own.x + i).alias("x"), (own.y + j).alias("y"), (own.z + k).alias("z")) for i in steps for j in steps for k in steps])

@@ -26,15 +26,17 @@ def impact(events: DataFrame, stations: DataFrame, daily: DataFrame, meteo: Data
     other years, and whether the station is exposed. Without wind the transport direction is 180 degrees."""
     e, s = events.alias("e"), stations.alias("s")
     pairs = e.join(s).select("e.event_id", "e.start_day", "e.end_day", "e.radius_km", F.col("s.id").alias("station"), (G.haversine_m("e.lat", "e.lng", "s.lat", "s.lng") / 1000).alias("distance_km"), G.bearing("e.lat", "e.lng", "s.lat", "s.lng").alias("bearing"))
-    wind = meteo.join(events.select("event_id", "start_day", "end_day"), F.col("day").between(F.col("start_day"), F.col("end_day"))).groupBy("event_id", "station").agg(circular_mean("wind_dir").alias("wind"))
-    v, day = F.col("value"), F.col("day")
-    mean = lambda c: F.avg(F.when(c, v))
-    means = daily.join(events.select("event_id", "start_day", "end_day")).groupBy("event_id", "station").agg(
-        mean(day.between(F.date_sub("start_day", 7), F.date_sub("start_day", 1))).alias("before_mean"),
-        mean(day.between(F.col("start_day"), F.col("end_day"))).alias("during_mean"),
-        mean(day.between(F.date_add("end_day", 4), F.date_add("end_day", 14))).alias("after_mean"),
-        mean((F.month(day) == F.month("start_day")) & (F.year(day) != F.year("start_day"))).alias("baseline_mean"),
-    )
+    span = lambda role, first, last: events.select("event_id", F.lit(role).alias("role"), F.explode(F.sequence(first, last)).alias("day"))
+    during = span("during", F.col("start_day"), F.col("end_day"))
+    wind = meteo.join(during, "day").groupBy("event_id", "station").agg(circular_mean("wind_dir").alias("wind"))
+    # events meet the daily values by day, and for the baseline by month: no event is compared with every row
+    windows = during.unionByName(span("before", F.date_sub("start_day", 7), F.date_sub("start_day", 1))).unionByName(span("after", F.date_add("end_day", 4), F.date_add("end_day", 14)))
+    mean = lambda role: F.avg(F.when(F.col("role") == role, F.col("value"))).alias(f"{role}_mean")
+    means = daily.join(windows, "day").groupBy("event_id", "station").agg(*[mean(r) for r in ("before", "during", "after")])
+    monthly = daily.groupBy("station", F.year("day").alias("year"), F.month("day").alias("month")).agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    base = monthly.join(events.select("event_id", F.month("start_day").alias("month"), F.year("start_day").alias("own")), "month").where("year <> own")
+    base = base.groupBy("event_id", "station").agg((F.sum("total") / F.sum("n")).alias("baseline_mean"))
+    means = means.join(base, ["event_id", "station"], "full")
     out = pairs.join(wind, ["event_id", "station"], "left").join(means, ["event_id", "station"], "left")
     towards = F.pmod(F.coalesce("wind", F.lit(0.0)) + 180, F.lit(360.0))
     aligned = F.cos(F.radians(G.angular_difference(towards, F.col("bearing"))))

@@ -67,10 +67,20 @@ def donated(points: DataFrame, references: DataFrame, columns: list[str]) -> Dat
     return pairs.groupBy(F.col("p.id").alias("id")).agg(best).select("id", "best.*")
 
 
+#: Degrees of the squares in which points meet the areas that reach into them.
+SQUARE = 0.05
+
+
 def members(areas: DataFrame, points: DataFrame, ring: str = "ring") -> DataFrame:
-    """(area, members): ids of the points inside each area's ring of structs (x = lng, y = lat), in order."""
-    inside = areas.alias("a").join(points.alias("p"), G.in_ring("p.lng", "p.lat", f"a.{ring}"), "left")
-    return inside.groupBy(F.col("a.area").alias("area")).agg(F.array_sort(F.collect_list("p.id")).alias("members"))
+    """(area, members): ids of the points inside each area's ring of structs (x = lng, y = lat), in order.
+
+    Areas meet points by the squares that their extent covers."""
+    number = lambda x: F.floor(x / SQUARE)
+    covered = [F.sequence(number(F.array_min(F.col(f"{ring}.{c}"))), number(F.array_max(F.col(f"{ring}.{c}")))) for c in "xy"]
+    squares = areas.where(F.size(ring) > 0).select("area", ring, F.explode(covered[0]).alias("u"), covered[1].alias("vs")).select("area", ring, "u", F.explode("vs").alias("v"))
+    at = points.select("id", "lat", "lng", number(F.col("lng")).alias("u"), number(F.col("lat")).alias("v"))
+    inside = squares.join(at, ["u", "v"]).where(G.in_ring("lng", "lat", ring)).groupBy("area").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    return areas.select("area").join(inside, "area", "left").select("area", F.coalesce("members", F.array().cast("array<long>")).alias("members"))
 
 
 def _at(rows: DataFrame, lat0: float, lng0: float, pairs: dict[str, tuple[str, str]]) -> DataFrame:
@@ -134,9 +144,11 @@ def cell_contexts(cells: DataFrame, roads: DataFrame, industries: DataFrame, gre
 def hotspot_component(cells: DataFrame, hotspots: DataFrame, radius_m: float | None = None) -> DataFrame:
     """(cell_id, component): inverse-distance mean of the strengths (z over 2.58, at most 1) of hotspots in reach."""
     hot = hotspots.where("z > 0").select(F.col("lat").alias("hlat"), F.col("lng").alias("hlng"), F.least(F.lit(1.0), F.col("z") / 2.58).alias("strength"))
-    d = F.greatest(G.haversine_m("lat", "lng", "hlat", "hlng"), F.lit(1.0))
-    w = F.when(F.col("d") <= max(radius_m or 0.0, REACH_M), 1 / F.pow("d", F.lit(2)))
-    sums = cells.join(hot).withColumn("d", d).groupBy("cell_id").agg((F.sum(F.col("strength") * w) / F.sum(w)).alias("component"))
+    reach = max(radius_m or 0.0, REACH_M)
+    far = hot.select("*", F.explode(G.cubes_around("hlat", "hlng", reach)).alias("cube"))
+    near = cells.withColumn("cube", G.cube("lat", "lng", reach)).join(far, "cube").withColumn("d", F.greatest(G.haversine_m("lat", "lng", "hlat", "hlng"), F.lit(1.0))).where(F.col("d") <= reach)
+    w = 1 / F.pow("d", F.lit(2))
+    sums = near.groupBy("cell_id").agg((F.sum(F.col("strength") * w) / F.sum(w)).alias("component"))
     return cells.select("cell_id").join(sums, "cell_id", "left").select("cell_id", F.coalesce("component", F.lit(0.0)).alias("component"))
 
 
@@ -160,19 +172,12 @@ def variogram(points: DataFrame, keys: list[str]) -> DataFrame:
     return sill.join(middle, keys).select(*keys, (0.05 * F.col("sill")).alias("nugget"), "sill", F.greatest(F.lit(1000.0), F.least("most", 1.75 * F.col("metres"))).alias("range_m"))
 
 
-def semivariance(metres: str, nugget: str, sill: str, range_m: str) -> Column:
-    rise = F.greatest(F.col(sill) - F.col(nugget), F.lit(1e-6))
-    return F.when(F.col(metres) <= 0, 0.0).otherwise(F.col(nugget) + rise * (1 - F.exp(-F.col(metres) / F.greatest(range_m, F.lit(1.0)))))
-
-
 def buffers(points: DataFrame, features: DataFrame, radii: tuple[int, ...] = (250, 500, 1000)) -> DataFrame:
     """(id, radius, features, area): number and area of the features around each point within each radius."""
-    d = G.haversine_m("p.lat", "p.lng", "f.lat", "f.lng")
-    near = points.alias("p").join(features.alias("f"), d <= max(radii), "left").select(F.col("p.id").alias("id"), d.alias("d"), "f.area")
-    each = near.select("id", "d", "area", F.explode(F.array(*map(F.lit, radii))).alias("radius"))
-    inside = F.col("d") <= F.col("radius")
-    return each.groupBy("id", "radius").agg(F.count_if(inside).alias("features"), F.coalesce(F.sum(F.when(inside, F.col("area"))), F.lit(0.0)).alias("area"))
-
-
-def neighbourhood_radius(points: DataFrame, keys: list[str]) -> DataFrame:
-    return adaptive_radius(points, keys)
+    far = float(max(radii))
+    around = features.select(F.col("lat").alias("flat"), F.col("lng").alias("flng"), "area", F.explode(G.cubes_around("lat", "lng", far)).alias("cube"))
+    near = points.select("id", "lat", "lng", G.cube("lat", "lng", far).alias("cube")).join(around, "cube").withColumn("d", G.haversine_m("lat", "lng", "flat", "flng")).where(F.col("d") <= far)
+    inside = near.withColumn("radius", F.explode(F.array(*map(F.lit, radii)))).where(F.col("d") <= F.col("radius"))
+    sums = inside.groupBy("id", "radius").agg(F.count(F.lit(1)).alias("features"), F.sum("area").alias("area"))
+    each = points.select("id", F.explode(F.array(*map(F.lit, radii))).alias("radius"))
+    return each.join(sums, ["id", "radius"], "left").fillna({"features": 0, "area": 0.0})

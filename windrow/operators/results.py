@@ -104,7 +104,7 @@ def diagnostics(found: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     card = lambda df, name, value, tone: df.select(*keys, F.lit(name).alias("id"), value.alias("value"), tone.alias("tone"))
     rising = lambda c, up, down: F.when(F.col(c) == up, "warning").when(F.col(c) == down, "cool").otherwise("neutral")
     out = card(seasonal, "seasonal-kendall", F.when(F.col("direction") == "stable", "Yatay eğilim").otherwise(F.concat(L.signed("slope_per_year", 2), F.lit(" µg/m3/yıl"))), rising("direction", "increasing", "decreasing"))
-    out = out.unionByName(card(change, "cusum-break", F.date_format("break_at", "yyyy-MM"), rising("direction", "up", "down")))
+    out = out.unionByName(card(change, "cusum-break", F.date_format("break_at", "yyyy-MM"), rising("direction", "upward", "downward")))
     out = out.unionByName(card(runs, "exceedance-episodes", F.concat(F.col("episode_count").cast("string"), F.lit(" epizot")), F.when(F.col("longest") >= 3, "warning").otherwise("accent")))
     share = F.concat(F.lit("%"), F.floor(F.col("background_share") * 100 + 0.5).cast("string"), F.lit(" arka plan"))
     return out.unionByName(card(kz, "kz-decomposition", share, F.when(F.col("residual_share") >= 0.45, "accent").otherwise("cool")))

@@ -169,31 +169,39 @@ def kriging_gate(points: DataFrame, keys: list[str], least: int = 10) -> DataFra
     return points.groupBy(*keys).applyInPandas(test, schema)
 
 
-def moran_permutation(points: DataFrame, keys: list[str], label: str, rounds: int = 59) -> DataFrame:
-    """Moran's I of each group against shuffles of its values, seeded by the group's label: z and pseudo p."""
+def moran_permutation(points: DataFrame, keys: list[str], label: str, rounds: int = 59, least: int = 6) -> DataFrame:
+    """(keys, n, radius, moran_i, z, p_value): Moran's I of each group against cumulative shuffles of its values, seeded by
+    the group's label. A group is one network's stations.
+
+    All are null for fewer than `least` stations or stations in one place, all but the radius if the values don't differ;
+    z is null if the shuffles' results don't. The radius has 2 digits, the others 4."""
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         lat, lng, v = (np.radians(pdf[c].to_numpy(float)) if c != "value" else pdf[c].to_numpy(float) for c in ("lat", "lng", "value"))
+        n, row = len(v), {**{c: pdf[c].iloc[0] for c in keys}, "n": len(v), "radius": None, "moran_i": None, "z": None, "p_value": None}
         h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lng[:, None] - lng) / 2) ** 2
-        d, n = 2 * G.EARTH_M * np.arcsin(np.minimum(1, np.sqrt(h))), len(v)
-        k = min(3, n - 1)
-        band = max((np.sort(r[r > 0])[:k].max(initial=0) for r in d), default=0)
-        w = ((d <= band) & ~np.eye(n, dtype=bool)).astype(float)
-
-        def i(x: np.ndarray) -> float:
-            z = x - x.mean()
-            return float(n / w.sum() * (w * np.outer(z, z)).sum() / (z @ z)) if w.sum() and z @ z else 0.0
-
-        own, values, r, draws = i(v), list(v), random.Random(str(pdf[label].iloc[0])), []
-        for _ in range(rounds):
-            r.shuffle(values)
-            draws.append(i(np.array(values)))
-        sd = float(np.std(draws, ddof=1)) if len(draws) > 1 else 0.0
-        beyond = sum(abs(x) >= abs(own) for x in draws)
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in keys}, "moran_i": own, "z": (own - float(np.mean(draws))) / sd if sd else 0.0, "p_value": (beyond + 1) / (rounds + 1)}])
-
-    schema = ", ".join([*[f"{k} {dict(points.dtypes)[k]}" for k in keys], "moran_i double, z double, p_value double"])
+        d = 2 * G.EARTH_M * np.arcsin(np.minimum(1, np.sqrt(h)))
+        band = max((np.sort(r[r > 0])[: min(3, n - 1)].max(initial=0) for r in d), default=0)
+        if n >= least and band > 0:
+            row["radius"] = round(float(band), 2)
+            w = ((d <= band) & ~np.eye(n, dtype=bool)).astype(float)
+
+            def i(x: np.ndarray) -> float | None:
+                z = x - x.mean()
+                return float(n / w.sum() * (z @ w @ z) / (z @ z)) if z @ z > 0 else None
+
+            if (own := i(v)) is not None:
+                values, r, draws = list(v), random.Random(str(pdf[label].iloc[0])), []
+                for _ in range(rounds):
+                    r.shuffle(values)
+                    draws.append(i(np.array(values)))
+                sd = float(np.std(draws, ddof=1))
+                beyond = sum(abs(x) >= abs(own) for x in draws)
+                row |= {"moran_i": round(own, 4), "z": round((own - float(np.mean(draws))) / sd, 4) if sd > 0 else None, "p_value": round((beyond + 1) / (rounds + 1), 4)}
+        return pd.DataFrame([row]).astype({c: float for c in ("radius", "moran_i", "z", "p_value")})
+
+    schema = ", ".join([*[f"{k} {dict(points.dtypes)[k]}" for k in keys], "n long, radius double, moran_i double, z double, p_value double"])
     return points.groupBy(*keys).applyInPandas(test, schema)
 
 
@@ -216,23 +224,44 @@ def drivers(rows: DataFrame, keys: list[str], target: str, inputs: list[str]) ->
     return rows.groupBy(*keys).applyInPandas(fit, schema)
 
 
-def clusters(hotspots: DataFrame, max_days: int = 3, max_km: float = 20.0, region: str = "region") -> DataFrame:
-    """Fire clusters: in order of time, a hotspot joins the first cluster whose latest member is near in time and place.
+def clusters(hotspots: DataFrame, max_days: int = 3, max_km: float = 20.0) -> DataFrame:
+    """Fire clusters of hotspots (id, ts, lat, lng, confidence in percent): in order of time, a hotspot joins the first
+    cluster whose latest member is at most max_days and max_km away; else it begins one.
+
+    (session, cluster, start, end, lat, lng, radius_km, confidence, hotspots). Order decides, so hotspots are gone through one
+    by one, but only within a session: where no hotspot is seen for more than max_days, all clusters have ended. Sessions
+    come from the list of days with hotspots, one row for each. Clusters are numbered in order within their session; a
+    cluster's radius is 2 km or more."""
+    days = hotspots.select(F.to_date("ts").alias("day")).distinct()
+    by_day = Window.orderBy("day")  # a row for each day
+    new = (F.datediff("day", F.lag("day").over(by_day)) > max_days + 1).cast("int")
+    sessions = days.withColumn("new", F.coalesce(new, F.lit(0))).withColumn("session", F.sum("new").over(by_day)).drop("new")
 
-    Order decides, so each region's hotspots are gone through once, by region."""
+    def away(lat, lng, lats, lngs):
+        h = np.sin(np.radians(lats - lat) / 2) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(lats)) * np.sin(np.radians(lngs - lng) / 2) ** 2
+        return 2 * G.EARTH_M * np.arcsin(np.minimum(1, np.sqrt(h))) / 1000
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, found = pdf.sort_values(["ts", "id"]), []
-        for r in pdf.itertuples():
-            for c in found:
-                last = c[-1]
-                h = np.sin(np.radians(r.lat - last.lat) / 2) ** 2 + np.cos(np.radians(r.lat)) * np.cos(np.radians(last.lat)) * np.sin(np.radians(r.lng - last.lng) / 2) ** 2
-                if (r.ts - last.ts).days <= max_days and 2 * G.EARTH_M * np.arcsin(min(1, np.sqrt(h))) / 1000 <= max_km:
-                    c.append(r)
-                    break
+        pdf = pdf.sort_values(["ts", "id"])
+        ts, lat, lng = pdf["ts"].to_numpy("datetime64[us]"), pdf["lat"].to_numpy(float), pdf["lng"].to_numpy(float)
+        latest, of = np.zeros(0, np.int64), np.zeros(len(pdf), np.int64)  # the latest member of each cluster
+        open_ = np.zeros(0, np.int64)  # clusters that may still grow
+        for i in range(len(pdf)):
+            open_ = open_[ts[i] - ts[latest[open_]] <= np.timedelta64(max_days, "D")]
+            near = open_[away(lat[i], lng[i], lat[latest[open_]], lng[latest[open_]]) <= max_km]
+            if len(near):
+                of[i] = near[0]
+                latest[of[i]] = i
             else:
-                found.append([r])
-        rows = [(getattr(c[0], region), i, c[0].ts, c[-1].ts, float(np.mean([r.lat for r in c])), float(np.mean([r.lng for r in c])), len(c)) for i, c in enumerate(found)]
-        return pd.DataFrame(rows, columns=[region, "cluster", "start", "end", "lat", "lng", "hotspots"])
-
-    return hotspots.groupBy(region).applyInPandas(run, f"{region} {dict(hotspots.dtypes)[region]}, cluster long, start timestamp_ntz, end timestamp_ntz, lat double, lng double, hotspots long")
+                of[i] = len(latest)
+                latest, open_ = np.append(latest, i), np.append(open_, of[i])
+        rows = []
+        for c, own in pdf.groupby(of):
+            mid = own["lat"].mean(), own["lng"].mean()
+            radius = max(2.0, float(away(*mid, own["lat"].to_numpy(), own["lng"].to_numpy()).max()))
+            rows.append((int(own["session"].iloc[0]), int(c), own["ts"].iloc[0], own["ts"].iloc[-1], round(mid[0], 6), round(mid[1], 6), round(radius, 2), round(float(own["confidence"].mean()) / 100, 4), len(own)))
+        return pd.DataFrame(rows, columns=["session", "cluster", "start", "end", "lat", "lng", "radius_km", "confidence", "hotspots"])
+
+    time = dict(hotspots.dtypes)["ts"]
+    joined = hotspots.withColumn("day", F.to_date("ts")).join(F.broadcast(sessions), "day")  # days of a history: some ten thousand at most
+    return joined.groupBy("session").applyInPandas(run, f"session long, cluster long, start {time}, end {time}, lat double, lng double, radius_km double, confidence double, hotspots long")

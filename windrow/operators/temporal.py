@@ -56,18 +56,24 @@ def seasonal_kendall(series: DataFrame, keys: list[str], month: str = "month", v
 
 
 def change_point(series: DataFrame, keys: list[str], month: str = "month", value: str = "value") -> DataFrame:
-    """The first largest CUSUM of residuals from the calendar month's mean, scaled by their standard deviation."""
+    """(keys, break_at, score, mean_shift, direction): the first largest CUSUM of residuals from the calendar month's mean,
+    scaled by their standard deviation.
+
+    Every series has a row. Under 6 months its score is 0; without a break (score under 1, or the break at its start) it is
+    stable without a shift; a shift under 0.1 is stable too."""
     by = Window.partitionBy(*keys)
     clim = series.withColumn("r", F.col(value) - F.avg(value).over(Window.partitionBy(*keys, F.month(month))))
     sigma = F.coalesce(F.nullif(F.stddev_samp("r").over(by), F.lit(0.0)), F.lit(1.0))
     steps = clim.withColumn("step", F.col("r") / sigma).withColumn("i", F.row_number().over(by.orderBy(month)) - 1)
     run = steps.withColumn("c", F.round(F.abs(F.sum("step").over(by.orderBy(month).rowsBetween(Window.unboundedPreceding, 0))), 9))
     best = run.groupBy(*keys).agg(F.max_by(F.struct("i", month), F.struct("c", -F.col("i"))).alias("at"), F.max("c").alias("score"), F.count(F.lit(1)).alias("n"))
-    found = best.where((F.col("n") >= 6) & (F.col("at.i") > 0) & (F.col("score") >= 1))
-    shift = series.join(found.select(*keys, F.col(f"at.{month}").alias("break_at"), "score"), keys)
+    long, broken = F.col("n") >= 6, (F.col("n") >= 6) & (F.col("at.i") > 0) & (F.col("score") >= 1)
+    found = best.select(*keys, F.when(broken, F.col(f"at.{month}")).alias("break_at"), F.when(long, F.floor(F.col("score") * 100 + 0.5) / 100).otherwise(0.0).alias("score"))
+    shift = series.join(found, keys)
     before = F.avg(F.when(F.col(month) < F.col("break_at"), F.col(value)))
     after = F.avg(F.when(F.col(month) >= F.col("break_at"), F.col(value)))
-    return shift.groupBy(*keys, "break_at", "score").agg((after - before).alias("mean_shift")).withColumn("direction", F.when(F.col("mean_shift") > 0, "up").when(F.col("mean_shift") < 0, "down").otherwise("stable"))
+    out = shift.groupBy(*keys, "break_at", "score").agg((after - before).alias("mean_shift"))
+    return out.withColumn("direction", F.when(F.col("mean_shift") >= 0.1, "upward").when(F.col("mean_shift") <= -0.1, "downward").otherwise("stable"))
 
 
 def episodes(daily: DataFrame, keys: list[str], threshold: Column | float, day: str = "day", value: str = "value") -> DataFrame:

@@ -85,9 +85,10 @@ def completeness_overview(spark, sf):
     return Q.completeness_overview(completeness_rows(spark, sf), "pollutant")
 
 
-@query("daily", "select * from (select station, pollutant, round(count(distinct day) / 30.0::double, 4) as ratio from daily group by all) order by ratio, station, pollutant limit 8")
+@query("daily", "select * from (select station, pollutant, round(count(distinct day) / 56.0::double, 4) as ratio from daily group by all order by ratio, station, pollutant limit 8) where ratio < 0.55")
 def weakest_coverage(spark, sf):
-    return completeness_rows(spark, sf).select("station", "pollutant", "ratio").orderBy("ratio", "station", "pollutant").limit(8)
+    rows = Q.completeness(V.daily(spark, sf), ["station", "pollutant"], 56)
+    return rows.select("station", "pollutant", "ratio").orderBy("ratio", "station", "pollutant").limit(8).where("ratio < 0.55")
 
 
 @query("daily", """select station, pollutant, round(avg(value), 6) as mean, round(avg((value > 50)::int::double), 6) as exceedance_ratio, round(least(1.0, count(*) / 14.0::double), 6)::double as completeness
@@ -162,11 +163,10 @@ def seasonal_kendall(spark, sf):
 @query("monthly", """with r as (select *, value - avg(value) over (partition by pollutant, month(month)) as r from monthly),
 s as (select *, r / coalesce(nullif(stddev_samp(r) over (partition by pollutant), 0), 1) as step, row_number() over (partition by pollutant order by month) - 1 as i from r),
 c as (select *, round(abs(sum(step) over (partition by pollutant order by month rows unbounded preceding)), 9) as c from s),
-b as (select pollutant, arg_max(month, (c, -i)) as break_at, arg_max(i, (c, -i)) as i, max(c) as score, count(*) as n from c group by 1),
-f as (select * from b where n >= 6 and i > 0 and score >= 1)
-select f.pollutant, break_at, round(score, 6) as score, round(avg(value) filter (month >= break_at) - avg(value) filter (month < break_at), 6) as mean_shift,
-  case when avg(value) filter (month >= break_at) > avg(value) filter (month < break_at) then 'up' when avg(value) filter (month >= break_at) < avg(value) filter (month < break_at) then 'down' else 'stable' end as direction
-from f join monthly m on f.pollutant = m.pollutant group by f.pollutant, break_at, score""")
+b as (select pollutant, arg_max(month, (c, -i)) as spot, arg_max(i, (c, -i)) as i, max(c) as most, count(*) as n from c group by 1),
+f as (select pollutant, case when n >= 6 and i > 0 and most >= 1 then spot end as break_at, case when n >= 6 then floor(most * 100 + 0.5) / 100 else 0 end::double as score from b),
+m as (select f.pollutant, break_at, score, avg(value) filter (month >= break_at) - avg(value) filter (month < break_at) as shift from f join monthly m on f.pollutant = m.pollutant group by all)
+select pollutant, break_at, round(score, 6) as score, round(shift, 6) as mean_shift, case when shift is null or abs(shift) < 0.1 then 'stable' when shift > 0 then 'upward' else 'downward' end as direction from m""")
 def cusum_change_point(spark, sf):
     return r6(T.change_point(V.monthly(spark, sf), ["pollutant"]))
 
@@ -246,7 +246,7 @@ def event_catalog_merge(spark, sf):
 BEARING = "((degrees(atan2(sin(radians(s.lng) - radians(e.lng)) * cos(radians(s.lat)), cos(radians(e.lat)) * sin(radians(s.lat)) - sin(radians(e.lat)) * cos(radians(s.lat)) * cos(radians(s.lng) - radians(e.lng)))) % 360) + 360) % 360"
 
 
-@query("evt geo daily meteo", f"""with s as (select id, lat, lng from geo where id < 20),
+@query("evt geo daily meteo", f"""with s as (select id, lat, lng from geo),
 d as (select station, day, avg(value) as value from daily group by all),
 w as (select event_id, station, (({CIRCLE}) % 360 + 360) % 360 as wind from meteo join evt on day between start_day and end_day group by all),
 m as (select event_id, station, avg(value) filter (day between start_day - 7 and start_day - 1) as b, avg(value) filter (day between start_day and end_day) as u, avg(value) filter (day between end_day + 4 and end_day + 14) as a,
@@ -258,7 +258,7 @@ select event_id, station, round(km, 6) as distance_km, round(al, 6) as alignment
   round(b, 6) as before_mean, round(u, 6) as during_mean, round(a, 6) as after_mean, round(l, 6) as baseline_mean, round(u - l, 6) as delta from q""")
 def event_impact(spark, sf):
     d = V.daily(spark, sf).groupBy("station", "day").agg(F.avg("value").alias("value"))
-    return r6(E.impact(V.evt(spark), V.geo(spark, sf).where("id < 20").select("id", "lat", "lng"), d, V.meteo(spark, sf)))
+    return r6(E.impact(V.evt(spark), V.geo(spark, sf).select("id", "lat", "lng"), d, V.meteo(spark, sf)))
 
 
 # geometry and surfaces -----------------------------------------------------------------------------------------------
@@ -400,28 +400,28 @@ def driver_regression(spark, sf):
 @query()
 def kriging_surface(spark, sf):
     cells = X.grid(spark, *GRID).toPandas()  # a grid of fixed extent
-    return r6(X.kriging(V.geo(spark, sf).where("id < 60"), cells, ["scope"]))
+    return r6(X.kriging(V.geo(spark, sf), cells, ["scope"]))
 
 
 @query()
 def moran_permutation(spark, sf):
-    return r6(X.moran_permutation(V.geo(spark, sf), ["scope"], "scope"))
+    return X.moran_permutation(V.geo(spark, sf), ["scope"], "scope")
 
 
 @query()
 def fire_clusters(spark, sf):
     a = V.air(spark, sf).where("pollutant = 'error'").join(V.geo(spark, sf).select(F.col("id").alias("station"), "lat", "lng"), "station")
-    return r6(X.clusters(a.select(F.col("event_id").alias("id"), (F.col("station") % 4).alias("region"), "ts", "lat", "lng")))
+    return X.clusters(a.select(F.col("event_id").alias("id"), "ts", "lat", "lng", (F.col("event_id") % 101).cast("double").alias("confidence")))
 
 
 # forecasts -----------------------------------------------------------------------------------------------------------
-FILL = """f as (select c.pollutant, c.day, n.value as v from (select pollutant, unnest(generate_series(min(day), max(day), interval 1 day))::date as day from network_daily where day >= date '1999-01-01' group by pollutant) c left join network_daily n on n.pollutant = c.pollutant and n.day = c.day),
+FILL = """f as (select c.pollutant, c.day, n.value as v from (select pollutant, unnest(generate_series(min(day), max(day), interval 1 day))::date as day from network_daily group by pollutant) c left join network_daily n on n.pollutant = c.pollutant and n.day = c.day),
 b as (select *, last_value(case when v is not null then {'d': day, 'v': v} end ignore nulls) over (partition by pollutant order by day rows unbounded preceding) as p, first_value(case when v is not null then {'d': day, 'v': v} end ignore nulls) over (partition by pollutant order by day rows between current row and unbounded following) as q from f),
 filled as (select pollutant, day, coalesce(v, p.v + (q.v - p.v) * ((day - p.d)::double / nullif(q.d - p.d, 0)), p.v, q.v) as value, v is not null as observed from b)"""
 
 
 def _filled(spark, sf):
-    return P.filled(V.network_daily(spark, sf).where(F.col("day") >= F.lit("1999-01-01").cast("date")), ["pollutant"])
+    return P.filled(V.network_daily(spark, sf), ["pollutant"])
 
 
 @query("network_daily", f"with {FILL} select pollutant, day, round(value, 6) as value, observed from filled")
