@@ -18,8 +18,8 @@ BUCKETS = 1 << 15
 #: The threshold lies under the lower quartile of held-out trusted documents by SPREADS of their interquartile ranges, and
 #: by LEAST at least; scores are counted in steps of STEP up to REACH.
 SPREADS, LEAST, STEP, REACH = 3.0, 0.1, 0.005, 12.0
-#: Trusted ids are sent to every task up to so many (8 bytes each); beyond, texts meet them by sort and merge.
-SENT_IDS = 1_000_000
+#: Trusted ids are sent to every task up to so many (some 150 bytes each in memory); beyond, texts meet them by sort and merge.
+SENT_IDS = 300_000
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
