@@ -95,3 +95,19 @@ def cubes_around(lat, lng, metres: float) -> Column:
     """The cube of a place and all its neighbours."""
     own, steps = cube(lat, lng, metres), [F.lit(i).cast("long") for i in (-1, 0, 1)]
     return F.array(*[F.struct((own.x + i).alias("x"), (own.y + j).alias("y"), (own.z + k).alias("z")) for i in steps for j in steps for k in steps])
+
+
+def largest_ring(rings) -> Column:
+    """Of an array of rings (structs x, y) the one with the largest area, of equal ones the first; null if there is none."""
+    rings = col(rings)
+    ranked = F.transform(rings, lambda r, i: F.struct(ring_area(r).alias("area"), (-i).alias("i")))
+    return F.try_element_at(rings, 1 - F.array_max(ranked)["i"])
+
+
+def vertex_centroid(ring) -> Column:
+    """The mean of a ring's corners, a closing one left out, as a struct (x, y)."""
+    ring = col(ring)
+    n = F.size(ring)
+    open_ = F.when((n > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1)), F.slice(ring, 1, F.greatest(n - 1, F.lit(1)))).otherwise(ring)
+    mean = lambda c: F.try_divide(_total(F.transform(open_, lambda p: p[c])), F.size(open_))
+    return F.struct(mean("x").alias("x"), mean("y").alias("y"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windrow.operators import events as E
 from windrow.operators import forecast as P
+from windrow.operators import layers as Y
+from windrow.operators import results as R
 from windrow.operators import spatial as X
 from windrow.operators.results import numbers
 
@@ -122,6 +127,99 @@ def overlapping_slice(slices: DataFrame, start: str, end: str, wanted: str | Non
     return touching.withColumn("found", is_it).where(~F.col("found") | (F.col("slice_id") == wanted)).drop("found")
 
 
+@dataclass(frozen=True)
+class Request:
+    """What is asked of a package: days, a scope, a method of surfaces, and a slice that goes before the days."""
+
+    start: str
+    end: str
+    scope: str = "physical"
+    method: str = "idw"
+    slice_id: str | None = None
+    version: str | None = None
+
+
+def first_rows(rows: DataFrame, column: str, n: int, ascending: bool = False) -> DataFrame:
+    """The n rows with the greatest (or least) values, ties by id; those without a value are left out."""
+    return rows.where(F.col(column).isNotNull()).orderBy(F.col(column).asc() if ascending else F.col(column).desc(), rows.columns[0]).limit(n)
+
+
+def refused(request: Request, versions: dict[str, str], modeled: bool = False) -> str | None:
+    """Why a request has no result: a modeled station is selected, or manifest or package are of another version."""
+    if modeled:
+        return MODELED
+    if request.version is not None and versions.get("manifest", request.version) != request.version:
+        return "Analiz paketi veri surumu ile uyusmuyor."
+    if request.version is not None and versions.get("package", request.version) != request.version:
+        return "Kirletici paketi guncel veri seti ile uyusmuyor."
+    return None
+
+
+def resolved(package: dict[str, DataFrame], request: Request) -> dict[str, DataFrame]:
+    """The tables that answer a request, from a package's tables: surfaces (slice_id, start_day, end_day, scope, method, cell_id,
+    value, exceedance), stats (.., scope, station, z, p_value), risks (.., scope, cell_id, score, components), drivers
+    (.., scope, driver, coefficient, n, wind), forecasts (scope, supported, ..), contexts and cells by cell_id.
+
+    Slices of the asked scope that touch the days, or the wanted one alone, are merged with weights by days. A method
+    without any such slice gives way to inverse distances. Merged cells come with their context, the 6 highest and lowest
+    and the 6 most often over the limit, the 8 nearest to sources; stations with the 8 hottest and coldest; risks with the 10
+    highest; drivers by weight; forecasts that are supported."""
+
+    def chosen(name: str) -> DataFrame:
+        own = package[name].where(F.col("scope") == request.scope)
+        slices = overlapping_slice(own.select("slice_id", "start_day", "end_day").distinct(), request.start, request.end, request.slice_id)
+        return own.join(slices.select("slice_id"), "slice_id", "left_semi")
+
+    def whole(rows: DataFrame) -> tuple[DataFrame, str, str]:
+        return (rows, "0001-01-01", "9999-12-31") if request.slice_id else (rows, request.start, request.end)
+
+    surfaces = chosen("surfaces")
+    ranked = surfaces.select("method").distinct().select("method", F.when(F.col("method") == request.method, 0).when(F.col("method") == "idw", 1).alias("r")).where("r is not null")
+    method = ranked.orderBy("r").limit(1).select("method")
+    rows, start, end = whole(surfaces.join(F.broadcast(method), "method", "left_semi"))
+    merged = E.day_weighted(rows, ["cell_id"], ["value", "exceedance"], start, end)
+    cells = package["cells"].join(merged, "cell_id", "left").join(package["contexts"], "cell_id", "left")
+    rows, start, end = whole(chosen("stats"))
+    spots = R.merged_stats(rows, ["station"], start, end)
+    rows, start, end = whole(chosen("risks"))
+    components = [c for c in rows.columns if c not in ("slice_id", "start_day", "end_day", "scope", "cell_id", "score")]
+    risks = R.merged_risk(rows, ["cell_id"], components, start, end)
+    rows, start, end = whole(chosen("drivers"))
+    drivers = R.merged_drivers(rows, ["driver"], start, end)
+    return {
+        "method": method,
+        "cells": cells,
+        "top_polluted": first_rows(cells, "value", 6),
+        "cleanest": first_rows(cells, "value", 6, ascending=True),
+        "highest_exceedance": first_rows(cells, "exceedance", 6),
+        "highest_proximity": first_rows(cells, "proximity_index", 8),
+        "stations": spots,
+        "top_hotspots": first_rows(spots.where("z > 0"), "z", 8),
+        "top_coldspots": first_rows(spots.where("z < 0"), "z", 8, ascending=True),
+        "risks": risks,
+        "top_risks": first_rows(risks, "score", 10),
+        "drivers": drivers.orderBy(F.abs("coefficient").desc(), "driver"),
+        "forecasts": package["forecasts"].where((F.col("scope") == request.scope) & F.col("supported")),
+    }
+
+
+DRIVERS = ("road_density", "industry_proximity", "green_ratio", "impervious_ratio", "elevation", "slope", "wind_alignment")
+
+
+def driver_matrix(values: DataFrame, cells: DataFrame, contexts: DataFrame, industries: DataFrame, wind_from: float | None) -> DataFrame:
+    """(values' columns, DRIVERS): for each cell of a surface (cell_id, value, ..) with a context its seven drivers: densities,
+    nearness to industry (0 from 5 km on), relief, and how straight the wind blows from the nearest industry."""
+    wind = Y.wind_alignment(cells.select("cell_id", "lat", "lng"), industries, wind_from).select("cell_id", F.col("alignment").alias("wind_alignment"))
+    near = F.greatest(F.lit(0.0), 1 - F.coalesce("nearest_industry_m", F.lit(0.0)) / 5000).alias("industry_proximity")
+    own = contexts.select("cell_id", near, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in DRIVERS if c not in ("industry_proximity", "wind_alignment")])
+    return values.join(own, "cell_id").join(wind, "cell_id", "left").fillna(0.0, ["wind_alignment"]).select(*values.columns, *DRIVERS)
+
+
+def source_summaries(matrix: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, driver, coefficient, r2, n): standardised coefficients of a matrix's drivers, 4 digits."""
+    return X.drivers(matrix, keys, "value", list(DRIVERS)).withColumns({c: F.round(c, 4) for c in ("coefficient", "r2")})
+
+
 # series --------------------------------------------------------------------------------------------------------------
 def replicated(rows: DataFrame, modeled: DataFrame, station: str = "station") -> DataFrame:
     """rows, and again under each modeled station (id, source_id) those of the station that it stands for."""

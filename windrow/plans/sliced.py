@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from windrow.functions import geo as G
 from windrow.functions import scalars as S
 from windrow.operators import slices as L
 from windrow.operators import spatial as X
+from windrow.plans import assembled as A
 from windrow.plans import catalogue as C
 from windrow.plans import views as V
 from windrow.plans.catalogue import query, r6
@@ -242,3 +244,73 @@ def slice_normalise(spark, sf):
 @query("evt", "select event_id as slice_id, start_day, end_day from evt where event_id = 2")
 def slice_choice(spark, sf):
     return L.overlapping_slice(V.evt(spark).select(F.col("event_id").alias("slice_id"), "start_day", "end_day"), "2024-01-10", "2024-01-16", 2)
+
+
+RANGE = ("1997-01-10", "1997-05-20")
+PACKAGE = "s as (select station, date_trunc('month', day)::date as start_day, last_day(day) as end_day, avg(value) as m from air_long group by all), w as (select *, greatest(least(end_day, date '1997-05-20') - greatest(start_day, date '1997-01-10') + 1, 0) as w from s)"
+
+
+def _package(spark, sf):
+    m = F.trunc("day", "month")
+    s = V.air_long(spark, sf).groupBy("station", m.alias("start_day")).agg(F.avg("value").alias("m"))
+    s = s.select("station", F.date_format("start_day", "yyyy-MM").alias("slice_id"), "start_day", F.last_day("start_day").alias("end_day"), "m", F.lit("physical").alias("scope"))
+    slices = ["slice_id", "start_day", "end_day", "scope"]
+    cell = F.concat(F.lit("c"), F.col("station").cast("string")).alias("cell_id")
+    cells = s.select(cell).distinct()
+    return {
+        "surfaces": s.select(*slices, cell, F.lit("idw").alias("method"), F.col("m").alias("value"), (F.col("m") / 300000).alias("exceedance")),
+        "stats": s.select(*slices, "station", ((F.col("m") - 150000) / 20000).alias("z"), (F.col("m") / 1000000).alias("p_value")),
+        "risks": s.select(*slices, cell, (F.col("m") / 250000).alias("score"), (F.col("m") / 300000).alias("pollution")),
+        "drivers": s.select(*slices, F.col("station").alias("driver"), (F.col("m") / 100000).alias("coefficient"), F.lit(10).alias("n"), F.lit(90.0).alias("wind")),
+        "forecasts": spark.createDataFrame([("physical", True), ("all", False)], "scope string, supported boolean"),
+        "contexts": cells.select("cell_id", (F.length("cell_id") / 4.0).alias("proximity_index")),
+        "cells": cells,
+    }
+
+
+@query("air_long", f"""with {PACKAGE}, c as (select 'c' || station as id, round(sum(m * w) / sum(w), 6) as v, round(sum((m - 150000) / 20000 * w) / sum(w), 6) as z, round(sum(m / 250000 * w) / sum(w), 6) as score from w where w > 0 group by station)
+select * from (select 'top_polluted' as part, id, v as value from c order by v desc, id limit 6) union all select * from (select 'cleanest', id, v from c order by v, id limit 6)
+union all select * from (select 'top_hotspots', id[2:], z from c where z > 0 order by z desc, id limit 8) union all select * from (select 'top_coldspots', id[2:], z from c where z < 0 order by z, id limit 8)
+union all select * from (select 'top_risks', id, score from c order by score desc, id limit 10) union all select * from (select 'highest_proximity', id, (length(id) / 4.0)::double from c order by length(id) desc, id limit 8)""")
+def resolve_range(spark, sf):
+    out = None
+    tables = L.resolved(_package(spark, sf), L.Request(*RANGE, method="kriging"))
+    for part, key, value in (("top_polluted", "cell_id", "value"), ("cleanest", "cell_id", "value"), ("top_hotspots", "station", "z"), ("top_coldspots", "station", "z"), ("top_risks", "cell_id", "score"), ("highest_proximity", "cell_id", "proximity_index")):
+        rows = tables[part].select(F.lit(part).alias("part"), F.col(key).cast("string").alias("id"), S.rounded(value).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("air_long", f"with {PACKAGE} select 'c' || station as cell_id, round(m, 6) as value from s where start_day = date '1997-02-01' order by m desc, cell_id limit 6")
+def resolve_slice(spark, sf):
+    tables = L.resolved(_package(spark, sf), L.Request(*RANGE, slice_id="1997-02"))
+    return tables["top_polluted"].select("cell_id", S.rounded("value").alias("value"))
+
+
+@query("", f"""with c as ({C.ORACLES["cell_context"]}), w as ({C.ORACLES["wind_alignment"]})
+select c.cell_id, (length(c.cell_id) * 1.5)::double as value, road_density, round(greatest(0, 1 - coalesce(nearest_industry_m, 0) / 5000), 6)::double as industry_proximity, green_ratio, impervious_ratio, elevation, slope, alignment as wind_alignment from c join w on c.cell_id = w.cell_id""")
+def driver_matrix(spark, sf):
+    cells = X.grid(spark, *C.GRID)
+    values = cells.select("cell_id", (F.length("cell_id") * 1.5).alias("value"))
+    industries = V.geo(spark, sf).where("scope = 1").select(F.col("id").cast("string").alias("id"), "lat", "lng")
+    return r6(L.driver_matrix(values, cells, A._contexts(spark, sf), industries, 225.0))
+
+
+@query()
+def source_summaries(spark, sf):
+    cells = X.grid(spark, *C.GRID)
+    industries = V.geo(spark, sf).where("scope = 1").select(F.col("id").cast("string").alias("id"), "lat", "lng")
+    return L.source_summaries(L.driver_matrix(X.idw(cells, V.geo(spark, sf), ["scope"]), cells, A._contexts(spark, sf), industries, 225.0), ["scope"])
+
+
+@query("geo", """with r as (select id, unnest(range(0, id % 3 + 1)) as k from geo), a as (select id, k, ((k * 7 + id) % 5 + 1)::double as side from r), m as (select id, arg_max(k, (side, -k)) as k, max(side) as side from a group by id)
+select id, k::bigint as ring, (k + side / 2)::double as x, (side / 2)::double as y from m""")
+def ring_ops(spark, sf):
+    def ring(k):
+        side = ((k * 7 + F.col("id")) % 5 + 1).cast("double")
+        corner = lambda x, y: F.struct((k + x * side).alias("x"), (y * side).alias("y"))
+        return F.array(corner(0.0, 0.0), corner(1.0, 0.0), corner(1.0, 1.0), corner(0.0, 1.0), corner(0.0, 0.0))
+
+    rings = V.geo(spark, sf).select("id", F.transform(F.sequence(F.lit(0).cast("long"), F.col("id") % 3), ring).alias("rings"))
+    out = rings.select("id", G.largest_ring("rings").alias("ring")).select("id", "ring", G.vertex_centroid("ring").alias("c"))
+    return out.select("id", F.element_at("ring", 1)["x"].cast("long").alias("ring"), "c.x", "c.y")
