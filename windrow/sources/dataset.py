@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.operators import slices as L
 from windrow.operators.quality import deduplicated
 from windrow.sources import readers
 
@@ -70,3 +71,41 @@ def write_packages(slices: DataFrame, path: str) -> None:
     """Slices by pollutant and scope, and their manifest."""
     slices.write.mode("overwrite").partitionBy("pollutant", "scope").parquet(f"{path}/packages")
     packages(slices.sparkSession.read.parquet(f"{path}/packages")).coalesce(1).write.mode("overwrite").json(f"{path}/packages-manifest")
+
+
+LAYERS = ("neighborhoods", "roads", "industries", "greens", "elevations")
+
+
+def read_layers(spark: SparkSession, path: str, enabled: set[str], version: str | None = None) -> dict[str, DataFrame]:
+    """The map layers that are asked for and there; nothing is read of the others."""
+    wanted = [n for n in LAYERS if n in enabled]
+    return read(spark, path, wanted, version=version) if wanted else {}
+
+
+def with_layers(tables: dict[str, DataFrame], layers: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """tables with the layers that were read in place of their own."""
+    return tables | {n: df for n, df in layers.items() if n in LAYERS}
+
+
+def read_packages(spark: SparkSession, path: str, pollutant: str, scopes: tuple[str, ...] = L.SCOPES) -> tuple[DataFrame, DataFrame]:
+    """(manifest, slices) of one pollutant: only its folders and those of the scopes are read."""
+    own = (F.col("pollutant") == pollutant) & F.col("scope").isin(*scopes)
+    return spark.read.json(f"{path}/packages-manifest").where(own), spark.read.parquet(f"{path}/packages").where(own)
+
+
+def legacy(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The named arrays of a dataset that is one JSON object, each as a table. Such a file is read by one task; write() deals it."""
+    whole = spark.read.json(path, multiLine=True)
+    return {n: whole.select(F.inline(n)) for n in names if n in whole.columns}
+
+
+def build_packages(daily: DataFrame, stations: DataFrame, slices: DataFrame, path: str) -> None:
+    """The statistics of every pollutant, scope and slice, with their gates, as packages: stations has (id, lat, lng, scope), where a
+    station may be in several scopes; slices has (slice_id, kind, start_day, end_day)."""
+    keys = ["slice_id", "pollutant", "scope"]
+    out = None
+    for scope in L.SCOPES:
+        obs = L.observations(daily, slices, stations.where(F.col("scope") == scope), ["pollutant"]).withColumn("scope", F.lit(scope))
+        own = L.stats(obs, keys, "slice_id")
+        out = own if out is None else out.unionByName(own)
+    write_packages(out.join(slices.select("slice_id", "kind", "start_day", "end_day"), "slice_id"), path)

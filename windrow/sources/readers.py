@@ -209,8 +209,45 @@ def workbook(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unzipped_series(df: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:
-    """One row per position of parallel arrays; shorter ones give nulls."""
-    return df.select(*keys, F.explode(F.arrays_zip(*arrays)).alias("z")).select(*keys, *[F.col(f"z.{a}").alias(a) for a in arrays])
+    """One row per position of parallel arrays; shorter ones, and those that lack, give nulls."""
+    types = dict(df.dtypes)
+    zipped = F.arrays_zip(*[F.coalesce(a, F.array().cast(types[a])).alias(a) for a in arrays])
+    return df.select(*keys, F.explode(zipped).alias("z")).select(*keys, *[F.col(f"z.{a}").alias(a) for a in arrays])
+
+
+# fixed values: a weather archive's fields and what they are called here
+ARCHIVE = {
+    "temperature_2m_mean": "temperature",
+    "relative_humidity_2m_mean": "humidity",
+    "precipitation_sum": "precipitation",
+    "wind_speed_10m_mean": "wind_speed",
+    "wind_direction_10m_dominant": "wind_dir",
+    "surface_pressure_mean": "pressure",
+}
+
+
+def meteo_archive(spark: SparkSession, path: str, stations: DataFrame) -> DataFrame:
+    """(station, day, ARCHIVE's values) of landed answers of a weather archive, one file a station: stations has (id, file), a
+    file's name. A value that lacks is 0, but the pressure null; the wind comes in km/h and goes as m/s."""
+    fields = ", ".join(f"{f}: array<double>" for f in ARCHIVE)
+    files = spark.read.schema(f"daily struct<time: array<date>, {fields}>").json(path, multiLine=True)
+    own = files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "daily.*").join(stations.select(F.col("id").alias("station"), "file"), "file")
+    rows = unzipped_series(own, ["station"], ["time", *ARCHIVE]).where("time is not null").withColumnRenamed("time", "day").withColumnsRenamed(ARCHIVE)
+    zero = {c: 0.0 for c in ARCHIVE.values() if c != "pressure"}
+    return rows.fillna(zero).withColumns({"wind_speed": F.round(F.col("wind_speed") / 3.6, 4), "pressure": F.round("pressure", 2)})
+
+
+def elevations(spark: SparkSession, path: str, points: DataFrame) -> DataFrame:
+    """points (i, ..) with the elevation_m that a landed answer ({"elevation": [..]}) has at their place i."""
+    found = spark.read.schema("elevation array<double>").json(path, multiLine=True).select(F.posexplode("elevation").alias("i", "elevation_m"))
+    return points.join(found, "i", "left")
+
+
+def latest_file(spark: SparkSession, folder: str, canonical: str, pattern: str) -> DataFrame:
+    """(path, name, modified), one row or none: the file of that name in a folder, else the last by name that fits the pattern."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    found = files.select(F.col("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"))
+    return found.orderBy((F.col("name") == canonical).desc(), F.col("name").desc()).limit(1)
 
 
 def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
