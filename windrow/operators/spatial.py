@@ -125,6 +125,22 @@ def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.linalg.norm(p[:, None] - q[None], axis=2)
 
 
+def _left_out(gamma, d: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """What kriging errs at each station left out in turn: from one inverse of the whole system, as the deleted row's residual
+    over its diagonal; one by one where stations in one place make the system singular."""
+    n = len(v)
+    a = np.ones((n + 1, n + 1))
+    a[:n, :n], a[n, n] = gamma(d), 0
+    if np.linalg.matrix_rank(a) == n + 1:
+        inverse = np.linalg.inv(a)
+        return -(inverse[:n, :n] @ v) / np.diag(inverse)[:n]
+    out = np.zeros(n)
+    for i in range(n):
+        rest = np.arange(n) != i
+        out[i] = _kriged(gamma, d[np.ix_(rest, rest)], d[rest, i : i + 1], v[rest])[0] - v[i]
+    return out
+
+
 def kriging(points: DataFrame, cells: pd.DataFrame, keys: list[str]) -> DataFrame:
     """Ordinary kriging with an exponential variogram, each group's stations solved once for all cells.
 
@@ -155,12 +171,9 @@ def kriging_gate(points: DataFrame, keys: list[str], least: int = 10) -> DataFra
         p, v = _metres(pdf, pdf[["lat", "lng"]].mean().to_numpy()), pdf["value"].to_numpy(float)
         d = _apart(p, p)
         if row["n"] >= least and d.max() > 0:
-            gamma, errors = _fitted(d, v), np.zeros((2, n))
-            for i in range(n):
-                rest = np.arange(n) != i
-                w = 1 / np.maximum(d[rest, i], 1.0) ** 2
-                errors[0, i] = w @ v[rest] / w.sum() - v[i]
-                errors[1, i] = _kriged(gamma, d[np.ix_(rest, rest)], d[rest, i : i + 1], v[rest])[0] - v[i]
+            gamma = _fitted(d, v)
+            w = np.where(np.eye(n, dtype=bool), 0.0, 1 / np.maximum(d, 1.0) ** 2)
+            errors = np.stack([w @ v / w.sum(1) - v, _left_out(gamma, d, v)])
             idw_rmse, kriging_rmse = np.sqrt((errors**2).mean(1))
             row |= {"idw_rmse": round(float(idw_rmse), 4), "kriging_rmse": round(float(kriging_rmse), 4), "supported": bool(kriging_rmse < idw_rmse)}
         return pd.DataFrame([row]).astype({"idw_rmse": float, "kriging_rmse": float})
