@@ -19,6 +19,8 @@ NUM, DEN = 4, 5
 #: A band is the least values of ROWS hash functions; a pair at 0.8 shares none of the BANDS with chance (1 - 0.8^4)^20 = 0.00003.
 BANDS, ROWS = 20, 4
 FACTORS = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Turns in which the members outside a list's largest component are compared with one member of it.
+TURNS = 2
 #: Candidates of the byte index: fingerprints within so many bits.
 MAX_BITS = 4
 
@@ -86,6 +88,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle_words
     return both.where((NUM + DEN) * alike >= NUM * (F.size("ga") + F.size("gb"))).select(*pairs.columns)
 
 
+def _labelled(lists: DataFrame, named: DataFrame) -> DataFrame:
+    """Members of lists with their node's component c."""
+    return lists.withColumn("node", F.col("m.node")).join(named.select("node", "c"), "node").drop("node")
+
+
+def _open(lists: DataFrame, turn: int) -> DataFrame:
+    """The members of lists that hold several components, with major: the list's largest component and one member of it, which
+    another turn, and another list, choose differently."""
+    parts = lists.groupBy("key", "banded", "c").agg(F.count(F.lit(1)).alias("size"), F.min_by("m", F.xxhash64("m.node", "key", F.lit(turn))).alias("head"))
+    several = parts.groupBy("key", "banded").agg(F.count(F.lit(1)).alias("parts"), F.max_by(F.struct("c", "head"), F.struct("size", "c")).alias("major"))
+    return lists.join(several.where("parts > 1").drop("parts"), ["key", "banded"])
+
+
 def components(docs: DataFrame, shingle_words: int, seed: int = 42) -> DataFrame:
     """(doc_id, th, root, component_id) for every row of docs with an id, th hashing its text: documents link at Jaccard
     NUM / DEN or more; component_id is the smallest id of a component, root what tells components apart.
@@ -93,8 +108,10 @@ def components(docs: DataFrame, shingle_words: int, seed: int = 42) -> DataFrame
     Documents with equal sets of shingles meet as one node first. Nodes are candidates if they share a MinHash band,
     or a key of SimHash's byte index at MAX_BITS or fewer differing bits; a 64-bit fingerprint alone can't do: at 0.8 it
     differs in about 10 bits and the index is complete up to 7. Every list of candidates links its members to the
-    member with the most documents and to the least; then only pairs between different components are compared, as in
-    simhash.fingerprint_components. Each link is verified on the sets themselves."""
+    member with the most documents and to the least. Near copies differ, so a crowd may not be alike enough to one head: for
+    TURNS turns, members outside a list's largest component are compared with a member of it, a different one in each list.
+    Then only pairs between components that are still different are compared, as in simhash.fingerprint_components. Each
+    link is verified on the sets themselves."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = written(_sketches(docs, shingle_words, seed), "sketches")
     grouped = prints.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.min(F.struct("size", "fp", "bands")).alias("s"))
@@ -109,12 +126,17 @@ def components(docs: DataFrame, shingle_words: int, seed: int = 42) -> DataFrame
     first = written(connected_components(_verified(pairs, docs, nodes, shingle_words, seed)), "near")
 
     named = written(nodes.join(first, "node", "left").select("node", "low", F.coalesce("component", "node").alias("c")), "named")
-    again = written(lists.select("key", "banded", "m", F.col("m.node").alias("node")).join(named.select("node", "c"), "node").drop("node"), "lists")
-    parts = again.groupBy("key", "banded", "c").agg(F.count(F.lit(1)).alias("size"))
-    mixed = parts.groupBy("key", "banded").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("size", "c")).alias("major")).where("parts > 1").drop("parts")
-    within = again.join(mixed, ["key", "banded"])
-    minor = within.where("c <> major").select("key", "banded", F.col("m").alias("x"), F.col("c").alias("ca"))
-    every = within.select("key", "banded", F.col("m").alias("y"), F.col("c").alias("cb"), "major")
+    again = written(_labelled(lists.select("key", "banded", "m"), named), "lists", instead_of=lists)
+    within = written(_open(again, 0), "open", instead_of=again)
+    for turn in range(1, TURNS + 1):
+        heads = within.select("banded", F.col("m").alias("x"), F.col("c").alias("ca"), F.col("major.head").alias("y"), F.col("major.c").alias("cb"))
+        pairs = heads.where("ca <> cb").where(_may("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "ca", "cb").distinct()
+        links = _verified(pairs, docs, nodes, shingle_words, seed).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        found = connected_components(links).withColumnRenamed("node", "c")
+        named = written(named.join(found, "c", "left").select("node", "low", F.coalesce("component", "c").alias("c")), "named", instead_of=named)
+        within = written(_open(_labelled(within.select("key", "banded", "m"), named), turn), "open", instead_of=within)
+    minor = within.where("c <> major.c").select("key", "banded", F.col("m").alias("x"), F.col("c").alias("ca"))
+    every = within.select("key", "banded", F.col("m").alias("y"), F.col("c").alias("cb"), F.col("major.c").alias("major"))
     # both ends outside the major component: the pair is met from either end, one suffices
     differ = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("x.node") < F.col("y.node"))) & _may("x", "y")
     cross = minor.join(every, ["key", "banded"]).where(differ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "ca", "cb").distinct()
