@@ -1,10 +1,12 @@
 """Every operator and stage over odd tables: nulls, empty and long texts, ties, repeated rows, no rows, clashing columns."""
 
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from windrow.llm import factorisation_machine, line_templates, mixing, near_copies, packing, personal_data, quality_rules, simhash, suffix_array, suffix_tree
+from windrow.llm import factorisation_machine, image_copies, line_templates, mixing, near_copies, packing, personal_data, quality_rules, simhash, suffix_array, suffix_tree
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = ("h", "cut", "whole", "n", "_th", "own", "doc", "hash", "dropped", "kept", "lines", "gone", "kept_text", "n_lines", "n_dropped", "uid", "th", "_salt", "_source", "size", "copies", "fp", "node", "component", "good", "held_out", "row", "key")
@@ -83,3 +85,13 @@ def test_columns_of_a_mix_and_of_templates(spark):
     assert mixing.mixed_documents(docs).columns == docs.columns
     out = line_templates.without_templates(docs)
     assert out.columns == [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")] + ["kept_text", "n_lines", "n_dropped"]
+
+
+def test_images_over_odd_rows(spark):
+    image = b"P5 80 80 255\n" + image_copies.picture("some picture").round().clip(0, 255).astype("uint8").tobytes()
+    rows = [(3, image), (3, image), (None, image), (None, None), (5, b""), (6, None), (7, b"P5 2 2 255\n\0\0\0\0")]
+    images = spark.createDataFrame(rows, "image_id long, image binary")
+    images = images.select("*", *[F.lit(f"own {c}").alias(c) for c in ("content", "corners", "id", "low", "root", "key", "p", "c", "n_links", "class_id")])
+    got = Counter((r.image_id, r.class_id) for r in image_copies.copies(images).collect())
+    assert got == Counter([(3, 3), (3, 3), (None, 3), (None, None), (5, 5), (6, 6), (7, 7)])
+    assert image_copies.copies(images.limit(0)).count() == 0

@@ -128,7 +128,8 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """A machine fitted on at most `sample` labelled documents (doc_id, quality) that are not held out.
+    """A machine fitted on at most `sample` labelled documents (doc_id, quality) that are not held out; of rows that share an id
+    the one with the least text.
 
     Features of the sample, not texts, reach the driver: a bounded number of rows. Without any label of either kind every
     score is the share of 1 among the labels (a half if there are none)."""
@@ -144,6 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("int").alias("quality"))), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one text for an id, so the bound holds
     got = rows.mapInArrow(run, "doc_id long, quality int, feature array<int>, value array<float>").toArrow().sort_by("doc_id")
     pairs = [(np.asarray(f, np.int64), np.asarray(v, float)) for f, v in zip(got.column("feature").to_pylist(), got.column("value").to_pylist(), strict=True)]
     return fitted(pairs, got.column("quality").to_numpy().astype(float))
@@ -152,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
-    Only the text is scored, whole. Null and empty texts score by their statistics; repeated rows score alike; a null
+    Only the text is scored, whole, however long. Null and empty texts score by their statistics; repeated rows score alike; a null
     doc_id is not held out; other columns are not read; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
