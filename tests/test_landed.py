@@ -52,3 +52,12 @@ def test_packages(spark, tmp_path):
     assert got["all", "month-2024-03"].status == "ok" and got["all", "month-2024-03"].moran_i is not None
     assert got["physical", "event-1"].status == "insufficient-observations" and got["physical", "event-1"].moran_i is None
     assert {(m.scope, m.months, m.usable_months, m.events) for m in manifest.collect()} == {("all", 1, 1, 1), ("physical", 1, 0, 1)}
+
+
+def test_json_rows_and_csv(spark, tmp_path):
+    (tmp_path / "rows.json").write_text(json.dumps([{"a": 1, "b": "x"}, {"a": 2}]))
+    assert [(r.a, r.b) for r in readers.json_rows(spark, str(tmp_path / "rows.json"), "a long, b string").collect()] == [(1, "x"), (2, None)]
+    assert readers.json_rows(spark, None, "a long, b string").count() == 0
+    readers.write_csv(spark.createDataFrame([(1, 'say "no", twice'), (2, None)], "a long, b string").coalesce(1), str(tmp_path / "csv"))
+    text = next((tmp_path / "csv").glob("*.csv")).read_text()
+    assert text == 'a,b\n1,"say ""no"", twice"\n2,\n'

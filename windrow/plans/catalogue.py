@@ -466,8 +466,8 @@ def merge_surface(spark, sf):
 
 @query("air_long", f"with {_SLICES}, m as (select station, round(sum(mean * w) / sum(w), 6) as mean from w where w > 0 group by station) select station, mean, row_number() over (order by mean desc, station) as rank from m qualify rank <= 6")
 def top_bottom_cells(spark, sf):
-    m = merge_surface(spark, sf).withColumn("all", F.lit(1))
-    return E.top(m, ["all"], "mean", 6, "station").select("station", "mean", F.col("rank").cast("long").alias("rank"))
+    first = merge_surface(spark, sf).where("mean is not null").orderBy(F.col("mean").desc(), "station").limit(6)
+    return first.withColumn("all", F.lit(1)).transform(E.top, ["all"], "mean", 6, "station").select("station", "mean", F.col("rank").cast("long").alias("rank"))
 
 
 # sets and scalars ----------------------------------------------------------------------------------------------------
