@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from windrow.plans import assembled, landed  # noqa: F401  they add their queries
+from windrow.plans import assembled, landed, sliced  # noqa: F401  they add their queries
 from windrow.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -271,7 +271,7 @@ def _package(spark, sf):
 @query("air_long", f"""with {PACKAGE}, c as (select 'c' || station as id, round(sum(m * w) / sum(w), 6) as v, round(sum((m - 150000) / 20000 * w) / sum(w), 6) as z, round(sum(m / 250000 * w) / sum(w), 6) as score from w where w > 0 group by station)
 select * from (select 'top_polluted' as part, id, v as value from c order by v desc, id limit 6) union all select * from (select 'cleanest', id, v from c order by v, id limit 6)
 union all select * from (select 'top_hotspots', id[2:], z from c where z > 0 order by z desc, id limit 8) union all select * from (select 'top_coldspots', id[2:], z from c where z < 0 order by z, id limit 8)
-union all select * from (select 'top_risks', id, score from c order by score desc, id limit 10) union all select * from (select 'highest_proximity', id, (length(id) / 4.0)::double from c order by length(id) desc, id limit 8)""")
+union all select * from (select 'top_risks', id, score from c order by score desc, id limit 10) union all select * from (select 'highest_proximity', id, (length(id) / 4.0)::double from (select distinct 'c' || station as id from s) order by length(id) desc, id limit 8)""")
 def resolve_range(spark, sf):
     out = None
     tables = L.resolved(_package(spark, sf), L.Request(*RANGE, method="kriging"))
