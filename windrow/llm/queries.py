@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import factorisation_machine, image_copies, line_templates, mixing, packing, personal_data, quality_rules, simhash, suffix_array, suffix_tree
+from . import factorisation_machine, fill_middle, image_copies, line_templates, mixing, packing, personal_data, quality_rules, simhash, suffix_array, suffix_tree, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -23,9 +23,16 @@ def queries() -> dict:
         "op8_personal_data": personal_data.query,
         "op9_suffix_tree": suffix_tree.query,
         "op10_packing": packing.query,
+        "op11_warc_salvage": warc.query,
+        "op13_fill_middle": fill_middle.query,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_templates": line_templates.ORACLE, "op4_source_mixing": mixing.ORACLE}
+    return {
+        "op3_line_templates": line_templates.ORACLE,
+        "op4_source_mixing": mixing.ORACLE,
+        "op11_warc_salvage": warc.ORACLE,
+        "op13_fill_middle": fill_middle.ORACLE,
+    }
