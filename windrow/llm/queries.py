@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import factorisation_machine, fill_middle, image_copies, line_templates, mixing, packing, personal_data, quality_rules, simhash, suffix_array, suffix_tree, warc
+from . import factorisation_machine, fill_middle, image_copies, line_templates, mixing, packing, personal_data, quality_rules, simhash, suffix_array, suffix_tree, vector_codes, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op9_suffix_tree": suffix_tree.query,
         "op10_packing": packing.query,
         "op11_warc_salvage": warc.query,
+        "op12_vector_codes": vector_codes.query,
         "op13_fill_middle": fill_middle.query,
         "pipeline": _pipeline,
     }
@@ -34,5 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_templates": line_templates.ORACLE,
         "op4_source_mixing": mixing.ORACLE,
         "op11_warc_salvage": warc.ORACLE,
+        "op12_vector_codes": vector_codes.ORACLE,
         "op13_fill_middle": fill_middle.ORACLE,
     }
