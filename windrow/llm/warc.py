@@ -23,6 +23,7 @@ LEAST_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the WARC 1.1 standard.
 VERSIONS = (b"WARC/1.0", b"WARC/1.1")
+MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 
@@ -122,8 +123,8 @@ def _parsed(data: bytes, at: int) -> tuple[dict, int, int]:
             raise Damaged("header line without a name")
         fields[name.strip().lower()] = value.strip()
     length = fields.get("content-length", "")
-    if not re.fullmatch("[0-9]{1,10}", length) or "warc-type" not in fields:
-        raise Damaged("header without a type or length")
+    if not all(fields.get(c) for c in MANDATORY) or not re.fullmatch("[0-9]{1,10}", length):
+        raise Damaged("header without a mandatory field")
     return fields, head + 4, head + 4 + int(length)
 
 
@@ -252,7 +253,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     Each task reads whole archives and goes on behind damaged places (see `salvaged`), so a broken archive costs its broken
     records alone; `start` and `end` are bytes of the archive. A response whose payload lacks its digest is a problem too. A
     revisit has the digest and the size of the payload that it refers to, and no payload. Archives may be plain, gzip by
-    record, or both. Empty archives give no rows; an archive needs a few times its size of memory."""
+    record, or both; plain headers have no checksum, so that of a plain record a changed value may go unseen. Empty archives give no rows; an archive needs a few times its size of memory."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_reader(payloads), SCHEMA)
 
