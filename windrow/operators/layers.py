@@ -1,7 +1,6 @@
 """Map layers around cells and stations: segments, polygons, extents, contexts, hotspot influence, wind, variograms.
 
-A layer is one area's features (thousands of roads and points, a grid of fixed extent), and every cell is measured against
-all of them where a nearest one is asked for; sums in a radius go by conditional aggregates in the same pass."""
+Nearest features and those in reach are met by boxes of space; only heights, of which every one counts, meet every cell."""
 
 from __future__ import annotations
 
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 
 from windrow.functions import geo as G
 from windrow.functions import scalars as S
-from windrow.operators.spatial import adaptive_radius, distances
+from windrow.operators import nearby as N
+from windrow.operators.spatial import distances
 
 RADIUS_M = 3000.0
 REACH_M = 10_000.0
@@ -60,27 +60,37 @@ def radius_samples(points: DataFrame, radius_m: float) -> DataFrame:
 
 
 def donated(points: DataFrame, references: DataFrame, columns: list[str]) -> DataFrame:
-    """points with the columns of the nearest reference; of equally near ones the one with the smaller id."""
-    d = F.round(G.haversine_m("p.lat", "p.lng", "r.lat", "r.lng"), 3)
-    pairs = points.alias("p").join(references.alias("r"), F.col("p.id") != F.col("r.id"))
-    best = F.min(F.struct(d.alias("metres"), F.col("r.id").alias("reference"), *[F.col(f"r.{c}").alias(c) for c in columns])).alias("best")
-    return pairs.groupBy(F.col("p.id").alias("id")).agg(best).select("id", "best.*")
+    """points (of different ids) with the columns of the nearest reference; of equally near ones the one with the smaller id."""
+    c = ["_x", "_y", "_z"]
+    own = points.select("id", "lat", "lng", *[x.alias(n) for x, n in zip(N.globe(), c, strict=True)])
+    given = {n: f"_r_{n}" for n in ["id", "lat", "lng", *columns]}
+    others = references.select(*[F.col(n).alias(m) for n, m in given.items()], *[x.alias(n) for x, n in zip(N.globe(), c, strict=True)])
+    pairs = N.candidates(own, others, "id", c, 2).where("id <> _r_id")
+    d = F.round(G.haversine_m("lat", "lng", "_r_lat", "_r_lng"), 3)
+    best = F.min(F.struct(d.alias("metres"), F.col("_r_id").alias("reference"), *[F.col(given[n]).alias(n) for n in columns])).alias("best")
+    return pairs.groupBy("id").agg(best).select("id", "best.*")
 
 
 #: Degrees of the squares in which points meet the areas that reach into them.
 SQUARE = 0.05
 
 
-def members(areas: DataFrame, points: DataFrame, ring: str = "ring") -> DataFrame:
-    """(area, members): ids of the points inside each area's ring of structs (x = lng, y = lat), in order.
+def inside(areas: DataFrame, points: DataFrame, ring: str = "ring") -> DataFrame:
+    """(area, id) of the points inside each area's ring of structs (x = lng, y = lat).
 
     Areas meet points by the squares that their extent covers."""
     number = lambda x: F.floor(x / SQUARE)
     covered = [F.sequence(number(F.array_min(F.col(f"{ring}.{c}"))), number(F.array_max(F.col(f"{ring}.{c}")))) for c in "xy"]
     squares = areas.where(F.size(ring) > 0).select("area", ring, F.explode(covered[0]).alias("u"), covered[1].alias("vs")).select("area", ring, "u", F.explode("vs").alias("v"))
     at = points.select("id", "lat", "lng", number(F.col("lng")).alias("u"), number(F.col("lat")).alias("v"))
-    inside = squares.join(at, ["u", "v"]).where(G.in_ring("lng", "lat", ring)).groupBy("area").agg(F.array_sort(F.collect_list("id")).alias("members"))
-    return areas.select("area").join(inside, "area", "left").select("area", F.coalesce("members", F.array().cast("array<long>")).alias("members"))
+    return squares.join(at, ["u", "v"]).where(G.in_ring("lng", "lat", ring)).select("area", "id")
+
+
+def members(areas: DataFrame, points: DataFrame, ring: str = "ring") -> DataFrame:
+    """(area, members): ids of the points inside each area's ring, in order; none for areas without any."""
+    met = inside(areas, points, ring).groupBy("area").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    none = F.array().cast(dict(met.dtypes)["members"])
+    return areas.select("area").join(met, "area", "left").select("area", F.coalesce("members", none).alias("members"))
 
 
 def _at(rows: DataFrame, lat0: float, lng0: float, pairs: dict[str, tuple[str, str]]) -> DataFrame:
@@ -94,6 +104,22 @@ def _apart(x1: str, y1: str, x2, y2) -> Column:
     return F.sqrt(F.pow(F.col(x1) - S.col(x2), 2) + F.pow(F.col(y1) - S.col(y2), 2))
 
 
+#: Roads are cut into pieces of so many metres where the nearest is looked for; the smallest boxes there have sides of 512.
+PIECE_M, ROAD_DEPTH = 500.0, 17
+
+
+def nearest_segment(points: DataFrame, sides: DataFrame, key: str) -> DataFrame:
+    """(key, metres) from points (key, x, y) to the nearest of straight sides (x1, y1, x2, y2), wherever on it that is.
+
+    Long sides are cut into pieces, which are found by their middles; the distance is the side's own."""
+    n = F.greatest(F.ceil(F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2)) / PIECE_M), F.lit(1))
+    pieces = sides.select("x1", "y1", "x2", "y2", n.alias("n")).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    along = (F.col("i") - 0.5) / F.col("n")
+    middles = pieces.select("x1", "y1", "x2", "y2", *[(F.col(f"{c}1") + along * (F.col(f"{c}2") - F.col(f"{c}1"))).alias(c) for c in "xy"])
+    near = N.candidates(points.select(key, "x", "y"), middles, key, ["x", "y"], deepest=ROAD_DEPTH)
+    return near.groupBy(key).agg(F.min(G.segment_distance("x", "y", "x1", "y1", "x2", "y2")).alias("metres"))
+
+
 def cell_contexts(cells: DataFrame, roads: DataFrame, industries: DataFrame, greens: DataFrame, heights: DataFrame, origin: tuple[float, float], widths: dict[str, float] | None = None) -> DataFrame:
     """Of each cell (cell_id, lat, lng): the nearest road and industry; density of roads, green and sealed shares and
     industries within RADIUS_M; the proximity index; height and slope from inverse-distance weights.
@@ -101,28 +127,32 @@ def cell_contexts(cells: DataFrame, roads: DataFrame, industries: DataFrame, gre
     roads are segments, industries and heights points, greens points with an area. A layer without features gives nulls
     and no signal. Features count wholly where their middle is in the radius."""
     circle, own = F.lit(3.141592653589793 * RADIUS_M * RADIUS_M), cells.select("cell_id", "lat", "lng")
+    at = ["x", "y"]
     c = _at(own, *origin, {"": ("lat", "lng")}).drop("lat", "lng")
     width = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i in (widths or ROAD_WIDTHS).items() for x in i]), F.col("category")), F.lit(OTHER_WIDTH))
-    r = _at(roads, *origin, {"1": ("lat1", "lng1"), "2": ("lat2", "lng2")}).select("x1", "y1", "x2", "y2", width.alias("width"))
-    near = c.join(r).withColumn("length", _apart("x1", "y1", "x2", "y2"))
-    close = _apart("x", "y", (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2) <= RADIUS_M
-    inside = lambda v: F.sum(F.when(close, v).otherwise(0.0))
-    road = near.groupBy("cell_id").agg(F.min(G.segment_distance("x", "y", "x1", "y1", "x2", "y2")).alias("road_m"), inside(F.col("length")).alias("road_length"), inside(F.col("length") * F.col("width")).alias("road_area"))
-
-    def against(points: DataFrame, *aggregates) -> DataFrame:
-        p = _at(points, *origin, {"p": ("lat", "lng")}).drop("lat", "lng")
-        return c.join(p).withColumn("d", _apart("x", "y", "xp", "yp")).groupBy("cell_id").agg(*aggregates)
-
-    within = F.col("d") <= RADIUS_M
-    industry = against(industries.select("lat", "lng"), F.min("d").alias("industry_m"), F.count_if(within).alias("industries"))
-    green = against(greens.select("lat", "lng", "area"), F.sum(F.when(within, F.col("area")).otherwise(0.0)).alias("green_area"))
-    w = 1 / F.pow(F.greatest("d", F.lit(1.0)), 2)
-    h = _at(heights.select("lat", "lng", "height"), *origin, {"p": ("lat", "lng")}).drop("lat", "lng")
-    far = c.join(h).withColumn("d", _apart("x", "y", "xp", "yp"))
-    mean = far.groupBy("cell_id").agg((F.sum(F.col("height") * w) / F.sum(w)).alias("elevation"))
-    slope = far.join(mean, "cell_id").groupBy("cell_id", "elevation").agg(F.avg(F.abs(F.col("height") - F.col("elevation")) / F.greatest("d", F.lit(1.0))).alias("slope"))
+    r = _at(roads, *origin, {"1": ("lat1", "lng1"), "2": ("lat2", "lng2")}).select("x1", "y1", "x2", "y2", width.alias("width")).withColumn("length", _apart("x1", "y1", "x2", "y2"))
+    middles = r.select(*[((F.col(f"{n}1") + F.col(f"{n}2")) / 2).alias(n) for n in at], "length", "width")
+    placed = lambda points, *more: _at(points, *origin, {"": ("lat", "lng")}).select(*at, *more)
+    places = placed(industries)
+    nearest_place = N.candidates(c, places.withColumnsRenamed({"x": "_px", "y": "_py"}).select("*", F.col("_px").alias("x"), F.col("_py").alias("y")), "cell_id", at)
+
+    def around(features: DataFrame, *aggregates) -> DataFrame:
+        return N.within(c, features, at, RADIUS_M).groupBy("cell_id").agg(*aggregates)
+
+    height = placed(heights, "height").withColumnsRenamed({"x": "xp", "y": "yp"})
+    d = F.greatest(_apart("x", "y", "xp", "yp"), F.lit(1.0))
+    mean = N.paired(c, height, "cell_id").withColumn("w", 1 / F.pow(d, 2)).groupBy("cell_id").agg((F.sum(F.col("height") * F.col("w")) / F.sum("w")).alias("elevation"))
+    slope = N.paired(c.join(mean, "cell_id"), height, "cell_id").groupBy("cell_id", "elevation").agg(F.avg(F.abs(F.col("height") - F.col("elevation")) / d).alias("slope"))
+    parts = (
+        nearest_segment(c, r, "cell_id").withColumnRenamed("metres", "road_m"),
+        around(middles, F.sum("length").alias("road_length"), F.sum(F.col("length") * F.col("width")).alias("road_area")),
+        nearest_place.groupBy("cell_id").agg(F.min(_apart("x", "y", "_px", "_py")).alias("industry_m")),
+        around(places, F.count(F.lit(1)).alias("industries")),
+        around(placed(greens, "area"), F.sum("area").alias("green_area")),
+        slope,
+    )
     out = own.select("cell_id")
-    for part in (road, industry, green, slope):
+    for part in parts:
         out = out.join(part, "cell_id", "left")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     density = zero(F.col("road_length")) / 1000 / (circle / 1_000_000)

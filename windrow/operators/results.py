@@ -121,7 +121,7 @@ def month_slices(records: DataFrame, keys: list[str]) -> DataFrame:
 def event_slices(records: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
     """The same for each event's days, where it has any."""
     e = events.select(F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("slice_id"), "start_day", "end_day")
-    joined = records.join(e, F.col("day").between(F.col("start_day"), F.col("end_day")))
+    joined = records.join(e.withColumn("day", F.explode(F.sequence("start_day", "end_day"))), "day")  # an equal join, whatever events overlap
     out = joined.groupBy("slice_id", "start_day", "end_day", *keys).agg(F.avg("value").alias("value"), F.countDistinct("day").alias("days"))
     return out.select("slice_id", F.lit("event").alias("kind"), "start_day", "end_day", *keys, "value", "days")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from windrow.functions import geo as G
 from windrow.functions import scalars as S
+from windrow.operators.nearby import paired
 
 
 def distances(points: DataFrame, keys: list[str] | None = None, pid: str = "id") -> DataFrame:
@@ -23,13 +24,6 @@ def distances(points: DataFrame, keys: list[str] | None = None, pid: str = "id")
     return p.join(q, on).select(*[F.col(f"p.{k}").alias(k) for k in keys], F.col(f"p.{pid}").alias("a"), F.col(f"q.{pid}").alias("b"), F.col("p.value").alias("va"), F.col("q.value").alias("vb"), G.haversine_m("p.lat", "p.lng", "q.lat", "q.lng").alias("metres"))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int = 1) -> DataFrame:
-    """(id, other, metres, rank): the k points of right (a table of stations) next to each of left."""
-    near = left.alias("l").join(right.alias("r"), F.col("l.id") != F.col("r.id")).select(F.col("l.id").alias("id"), F.col("r.id").alias("other"), F.round(G.haversine_m("l.lat", "l.lng", "r.lat", "r.lng"), 3).alias("metres"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("metres", "other")))
-    return ranked.where(F.col("rank") <= k)
-
-
 def grid(spark, south: float, west: float, north: float, east: float, km: float = 5.0) -> DataFrame:
     """Cells (cell_id, row, col, lat, lng of the centre) of a grid over an extent."""
     mid = (south + north) / 2
@@ -42,8 +36,9 @@ def grid(spark, south: float, west: float, north: float, east: float, km: float
 def idw(cells: DataFrame, stations: DataFrame, keys: list[str] | None = None, power: float = 2.0) -> DataFrame:
     """Inverse-distance mean of every station at every cell, distances of a metre at least."""
     keys = keys or []
-    d = F.greatest(G.haversine_m("c.lat", "c.lng", "s.lat", "s.lng"), F.lit(1.0))
-    pairs = cells.alias("c").join(stations.alias("s")).select("c.cell_id", *[F.col(f"s.{k}").alias(k) for k in keys], F.col("s.value").alias("v"), (1 / F.pow(d, power)).alias("w"))
+    d = F.greatest(G.haversine_m("lat", "lng", "slat", "slng"), F.lit(1.0))
+    own = stations.select(*keys, F.col("value").alias("v"), F.col("lat").alias("slat"), F.col("lng").alias("slng"))
+    pairs = paired(cells.select("cell_id", "lat", "lng"), own, "cell_id").select("cell_id", *keys, "v", (1 / F.pow(d, power)).alias("w"))
     return pairs.groupBy(*keys, "cell_id").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("value"))
 
 

@@ -9,6 +9,7 @@ from windrow.functions import geo as G
 from windrow.functions import scalars as S
 from windrow.operators import events as E
 from windrow.operators import forecast as P
+from windrow.operators import nearby as N
 from windrow.operators import quality as Q
 from windrow.operators import spatial as X
 from windrow.operators import temporal as T
@@ -301,7 +302,7 @@ def point_segment_distance(spark, sf):
 select id, other, metres, rank from (select *, row_number() over (partition by id order by metres, other) as rank from d) where rank <= 3""")
 def knn3_stations(spark, sf):
     g = V.geo(spark, sf)
-    return r6(X.nearest(g, g.where("scope = 0"), 3))
+    return r6(N.nearest(g, g.where("scope = 0"), 3))
 
 
 @query("geo", f"select a.scope, a.id as a, b.id as b, round({V.haversine('a.lat', 'a.lng', 'b.lat', 'b.lng')}, 4) as metres from geo a join geo b on a.scope = b.scope and a.id <> b.id")

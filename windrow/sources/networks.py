@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from windrow.functions import geo as G
 from windrow.functions import scalars as S
+from windrow.operators import layers as Y
+from windrow.operators import nearby as N
 from windrow.operators.quality import mean_of_means
 
 # fixed values: arrays of a modelled series and what they measure
@@ -87,16 +89,19 @@ def neighbourhoods(areas: DataFrame, stations: DataFrame, contexts: DataFrame, l
     """Areas (area, name, ring) that are large enough, with their stations (id, district, lat, lng) and mean surroundings.
 
     Surroundings are those of the stations inside, or of the three nearest where none inside has any; contexts has one row
-    a station. Of areas with one id the first in order of name counts. Areas and stations are one province's."""
+    a station. Of areas with one id the first in order of name counts."""
     flat = F.transform("ring", lambda p: F.struct(*[v.alias(k) for v, k in zip(G.projected(p["y"], p["x"], lat0, lng0), "xy", strict=True)]))
     cx, cy = G.ring_centroid(F.col("flat"))
     sized = areas.groupBy("area").agg(F.min(F.struct("name", "ring")).alias("a")).select("area", "a.*").where(F.size("ring") >= 3).withColumn("flat", flat)
     sized = sized.withColumns({"area_m2": G.ring_area(F.col("flat")), "cx": cx, "cy": cy}).where(F.col("area_m2") >= least_m2)
     measured = stations.join(contexts.withColumnRenamed("station", "id").withColumn("known", F.lit(True)), "id", "left")
     sx, sy = G.projected("lat", "lng", lat0, lng0)
-    far = F.hypot(sx - F.col("cx"), sy - F.col("cy"))
-    pairs = sized.join(measured).withColumns({"member": G.in_ring("lng", "lat", "ring"), "far": far})
-    ranked = pairs.selectExpr("*", "row_number() over (partition by area order by far, id) as place", "max(member and known) over (partition by area) as own")
+    centres = sized.select("area", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    placed = stations.select("id", sx.alias("sx"), sy.alias("sy")).withColumns({"x": F.col("sx"), "y": F.col("sy")})
+    near = N.candidates(centres, placed, "area", ["x", "y"], 3).select("area", "id", F.hypot(F.col("sx") - F.col("x"), F.col("sy") - F.col("y")).alias("far"))
+    near = near.selectExpr("area", "id", "row_number() over (partition by area order by far, id) as place").where("place <= 3")
+    pairs = Y.inside(sized, stations).withColumn("member", F.lit(True)).join(near, ["area", "id"], "full").withColumn("member", F.coalesce("member", F.lit(False))).join(measured, "id").join(sized, "area")
+    ranked = pairs.selectExpr("*", "max(member and known) over (partition by area) as own")
     used = F.when(F.coalesce("own", F.lit(False)), F.col("member")).otherwise(F.col("place") <= 3)
     there = [c for c in CONTEXT if c in contexts.columns]
     means = [F.round(F.avg(F.when(used, F.col(c))), 4).alias(c) for c in there]
