@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.functions import geo as G
@@ -44,10 +44,10 @@ def impact(events: DataFrame, stations: DataFrame, daily: DataFrame, meteo: Data
     return out.select("event_id", "station", "distance_km", "alignment", "status", "before_mean", "during_mean", "after_mean", "baseline_mean", (F.col("during_mean") - F.col("baseline_mean")).alias("delta"))
 
 
-def day_weighted(slices: DataFrame, keys: list[str], measures: list[str], start: str, end: str) -> DataFrame:
+def day_weighted(slices: DataFrame, keys: list[str], measures: list[str], start: str | Column, end: str | Column) -> DataFrame:
     """Slices (start_day, end_day, measures) merged over a range: means weighted by the days in it, each measure by the
     days of the slices that have it."""
-    w = S.overlap_days("start_day", "end_day", F.lit(start).cast("date"), F.lit(end).cast("date"))
+    w = S.overlap_days("start_day", "end_day", *[(x if isinstance(x, Column) else F.lit(x)).cast("date") for x in (start, end)])
     own = slices.withColumn("_w", w).where("_w > 0")
     sums = [F.try_divide(F.sum(F.col(m) * F.col("_w")), F.sum(F.when(F.col(m).isNotNull(), F.col("_w")))).alias(m) for m in measures]
     return own.groupBy(*keys).agg(*sums, F.sum("_w").cast("long").alias("days"), F.count(F.lit(1)).alias("slices"))

@@ -126,21 +126,21 @@ def event_slices(records: DataFrame, events: DataFrame, keys: list[str]) -> Data
     return out.select("slice_id", F.lit("event").alias("kind"), "start_day", "end_day", *keys, "value", "days")
 
 
-def merged_stats(slices: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+def merged_stats(slices: DataFrame, keys: list[str], start: str | Column, end: str | Column) -> DataFrame:
     """z and p weighted by days; the class is read off again."""
     out = E.day_weighted(slices, keys, ["z", "p_value"], start, end).withColumn("z", S.rounded("z"))
     return out.withColumn("class", S.hotspot_class("z"))
 
 
-def merged_risk(slices: DataFrame, keys: list[str], components: list[str], start: str, end: str) -> DataFrame:
+def merged_risk(slices: DataFrame, keys: list[str], components: list[str], start: str | Column, end: str | Column) -> DataFrame:
     """Score and components weighted by days; the label is read off the merged score."""
     out = E.day_weighted(slices, keys, ["score", *components], start, end).withColumn("score", S.rounded("score"))
     return out.withColumn("label", S.risk_label("score"))
 
 
-def merged_drivers(slices: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+def merged_drivers(slices: DataFrame, keys: list[str], start: str | Column, end: str | Column) -> DataFrame:
     """Coefficients weighted by days, samples added up, and the prevailing wind as a weighted mean direction."""
-    w = S.overlap_days("start_day", "end_day", F.lit(start).cast("date"), F.lit(end).cast("date"))
+    w = S.overlap_days("start_day", "end_day", *[(x if isinstance(x, Column) else F.lit(x)).cast("date") for x in (start, end)])
     own, a = slices.withColumn("w", w).where("w > 0"), F.radians("wind")
     wind = F.pmod(F.degrees(F.atan2(F.sum(F.sin(a) * F.col("w")), F.sum(F.cos(a) * F.col("w")))), F.lit(360.0))
     return own.groupBy(*keys).agg((F.sum(F.col("coefficient") * F.col("w")) / F.sum("w")).alias("coefficient"), F.sum("n").cast("long").alias("n"), wind.alias("wind"))

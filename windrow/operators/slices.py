@@ -12,6 +12,7 @@ from windrow.operators import forecast as P
 from windrow.operators import layers as Y
 from windrow.operators import results as R
 from windrow.operators import spatial as X
+from windrow.functions import scalars as S
 from windrow.operators.results import numbers
 
 SCOPES = ("physical", "all")
@@ -117,14 +118,21 @@ def methods(slices: DataFrame) -> DataFrame:
     return slices.groupBy("scope", "method").agg(F.max("supported").alias("supported"), F.sum(F.col("supported").cast("long")).alias("slices")).where("supported").drop("supported")
 
 
-def overlapping_slice(slices: DataFrame, start: str, end: str, wanted: str | None = None) -> DataFrame:
-    """The slices of a request: the wanted one alone if it is there and touches the range, else all that touch it."""
+def overlapping_slice(slices: DataFrame, start: str, end: str, wanted: str | int | None = None, months: bool = False, known: DataFrame | None = None) -> DataFrame:
+    """The slices of a request: the wanted one, whatever its days, if it is among the known ones (these, unless others are
+    given); else all that touch the range, with `months` those of kind month alone."""
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    touching = slices.where((F.col("end_day") >= first) & (F.col("start_day") <= last))
+    touching = (F.col("end_day") >= first) & (F.col("start_day") <= last)
+    if months:
+        touching &= F.col("kind") == "month"
     if wanted is None:
-        return touching
-    is_it = F.max(F.col("slice_id") == wanted).over(Window.partitionBy(F.lit(0)))  # a few hundred slices
-    return touching.withColumn("found", is_it).where(~F.col("found") | (F.col("slice_id") == wanted)).drop("found")
+        return slices.where(touching)
+    return slices.where(F.when(there(slices if known is None else known, wanted), F.col("slice_id") == wanted).otherwise(touching))
+
+
+def there(slices: DataFrame, wanted: str | int) -> Column:
+    """Whether there is a slice of that id, as one value of a query of its own."""
+    return slices.where(F.col("slice_id") == wanted).agg(F.count(F.lit(1)) > 0).scalar()
 
 
 @dataclass(frozen=True)
@@ -160,33 +168,35 @@ def resolved(package: dict[str, DataFrame], request: Request) -> dict[str, DataF
     value, exceedance), stats (.., scope, station, z, p_value), risks (.., scope, cell_id, score, components), drivers
     (.., scope, driver, coefficient, n, wind), forecasts (scope, supported, ..), contexts and cells by cell_id.
 
-    Slices of the asked scope that touch the days, or the wanted one alone, are merged with weights by days. A method
+    Surfaces are the asked slice's, whatever its days, or those of the months that touch the days; statistics, risks and
+    drivers those of the same slice, or of all slices, events too, that touch the days. They are merged with weights by days. A method
     without any such slice gives way to inverse distances. Merged cells come with their context, the 6 highest and lowest
     and the 6 most often over the limit, the 8 nearest to sources; stations with the 8 hottest and coldest; risks with the 10
-    highest; drivers by weight; forecasts that are supported."""
+    highest; drivers by weight; forecasts that are supported. `answer` is one row about the result (see `answer`)."""
+    surfaces = package["surfaces"].where(F.col("scope") == request.scope)
+    found = there(surfaces, request.slice_id) if request.slice_id is not None else F.lit(False)
 
     def chosen(name: str) -> DataFrame:
         own = package[name].where(F.col("scope") == request.scope)
-        slices = overlapping_slice(own.select("slice_id", "start_day", "end_day").distinct(), request.start, request.end, request.slice_id)
-        return own.join(slices.select("slice_id"), "slice_id", "left_semi")
-
-    def whole(rows: DataFrame) -> tuple[DataFrame, str, str]:
-        return (rows, "0001-01-01", "9999-12-31") if request.slice_id else (rows, request.start, request.end)
+        return overlapping_slice(own, request.start, request.end, request.slice_id, months=name == "surfaces", known=surfaces)
 
-    surfaces = chosen("surfaces")
-    ranked = surfaces.select("method").distinct().select("method", F.when(F.col("method") == request.method, 0).when(F.col("method") == "idw", 1).alias("r")).where("r is not null")
+    # a slice that was asked for counts with all its days
+    start = F.when(found, F.lit("0001-01-01")).otherwise(F.lit(request.start)).cast("date")
+    end = F.when(found, F.lit("9999-12-31")).otherwise(F.lit(request.end)).cast("date")
+    own = chosen("surfaces")
+    ranked = own.select("method").distinct().select("method", F.when(F.col("method") == request.method, 0).when(F.col("method") == "idw", 1).alias("r")).where("r is not null")
     method = ranked.orderBy("r").limit(1).select("method")
-    rows, start, end = whole(surfaces.join(F.broadcast(method), "method", "left_semi"))
+    rows = own.join(F.broadcast(method), "method", "left_semi")
     merged = E.day_weighted(rows, ["cell_id"], ["value", "exceedance"], start, end)
     cells = package["cells"].join(merged, "cell_id", "left").join(package["contexts"], "cell_id", "left")
-    rows, start, end = whole(chosen("stats"))
-    spots = R.merged_stats(rows, ["station"], start, end)
-    rows, start, end = whole(chosen("risks"))
-    components = [c for c in rows.columns if c not in ("slice_id", "start_day", "end_day", "scope", "cell_id", "score")]
+    spots = R.merged_stats(chosen("stats"), ["station"], start, end)
+    rows = chosen("risks")
+    components = [c for c, t in rows.dtypes if t == "double" and c != "score"]
     risks = R.merged_risk(rows, ["cell_id"], components, start, end)
-    rows, start, end = whole(chosen("drivers"))
-    drivers = R.merged_drivers(rows, ["driver"], start, end)
+    drivers = R.merged_drivers(chosen("drivers"), ["driver"], start, end)
+    used = own.join(F.broadcast(method), "method", "left_semi").select("slice_id", *[c for c in ("label",) if c in own.columns], "start_day", "end_day", "method").distinct()
     return {
+        "answer": answer(used, request, found),
         "method": method,
         "cells": cells,
         "top_polluted": first_rows(cells, "value", 6),
@@ -203,6 +213,36 @@ def resolved(package: dict[str, DataFrame], request: Request) -> dict[str, DataF
     }
 
 
+# fixed values: what a request's answer says of itself
+NO_SLICE = "Secili tarih araligi icin kullanilabilir mekansal dilim yok."
+FALLBACK = "Secili dilimde Kriging uygun bulunmadi; IDW yuzeyi kullanildi."
+MERGED = "mekansal birlesimi"
+
+
+def answer(used: DataFrame, request: Request, found: Column) -> DataFrame:
+    """One row about the slices (slice_id, start_day, end_day, method, maybe label) that a request's surface is merged of, where
+    found says that it is the asked one: label, mode, start_day, end_day, days, slices_used, requested_method,
+    effective_method, fallback, notice, unsupported_reason."""
+    own = F.min("label") if "label" in used.columns else F.min("slice_id")
+    day = lambda x: F.lit(x).cast("date")
+    sums = used.agg(F.array_sort(F.collect_set("slice_id")).alias("slices_used"), own.alias("own"), F.min("start_day").alias("first"), F.max("end_day").alias("last"), F.max("method").alias("effective_method"))
+    start, end = F.when(found, F.col("first")).otherwise(day(request.start)), F.when(found, F.col("last")).otherwise(day(request.end))
+    other = F.coalesce(F.col("effective_method") != request.method, F.lit(False))
+    return sums.select(
+        F.when(found, F.col("own")).otherwise(F.lit(f"{request.start} - {request.end} {MERGED}")).alias("label"),
+        F.when(found, F.lit("event")).otherwise(F.lit("range")).alias("mode"),
+        start.alias("start_day"),
+        end.alias("end_day"),
+        (F.datediff(end, start) + 1).cast("long").alias("days"),
+        "slices_used",
+        F.lit(request.method).alias("requested_method"),
+        "effective_method",
+        other.alias("fallback"),
+        F.when(other, FALLBACK).alias("notice"),
+        F.when(F.size("slices_used") == 0, NO_SLICE).alias("unsupported_reason"),
+    )
+
+
 DRIVERS = ("road_density", "industry_proximity", "green_ratio", "impervious_ratio", "elevation", "slope", "wind_alignment")
 
 

@@ -94,33 +94,40 @@ def risk(cells: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("score", S.rounded(score)).withColumn("label", S.risk_label("score")).drop("_slope", "_elevation")
 
 
-def _metres(pdf: pd.DataFrame, origin: np.ndarray) -> np.ndarray:
+def metres(pdf: pd.DataFrame, origin: np.ndarray) -> np.ndarray:
     return (pdf[["lat", "lng"]].to_numpy(float) - origin) * np.radians(1) * G.EARTH_M * np.array([1, np.cos(np.radians(origin[0]))])
 
 
-def _fitted(d: np.ndarray, v: np.ndarray):
-    """The exponential variogram of stations with values v at distances d from each other, as a function of distance."""
+def fitted(d: np.ndarray, v: np.ndarray):
+    """The exponential variogram of stations with values v at distances d from each other, as a function of distance; stations
+    in one place don't count."""
     n = len(v)
     pairs = np.sort(d[np.triu_indices(n, 1)])
+    pairs = pairs[pairs > 0]
     sill, reach = max(v.var(ddof=1) if n > 1 else 0, 1e-6), np.clip(1.75 * pairs[len(pairs) // 2], 1000, max(pairs.max(), 1000)) if len(pairs) else 1000
-    return lambda x: np.where(x > 0, 0.05 * sill + 0.95 * sill * (1 - np.exp(-x / reach)), 0)
+    partial = max(0.95 * sill, 1e-6)
+    return lambda x: np.where(x > 0, 0.05 * sill + partial * (1 - np.exp(-x / reach)), 0)
 
 
-def _kriged(gamma, d: np.ndarray, to: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Ordinary kriging at points whose distances to the stations are the columns of `to`."""
-    n = len(v)
+def kriged(gamma, d: np.ndarray, to: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Ordinary kriging of the stations' values, or of each row of several, at points whose distances to the stations are the
+    columns of `to`; by least squares where stations in one place make the system singular."""
+    n = v.shape[-1]
     a = np.ones((n + 1, n + 1))
     a[:n, :n], a[n, n] = gamma(d), 0
     b = np.ones((n + 1, to.shape[1]))
     b[:n] = gamma(to)
-    return v @ np.linalg.lstsq(a, b, rcond=None)[0][:n]
+    try:
+        return v @ np.linalg.solve(a, b)[:n]
+    except np.linalg.LinAlgError:
+        return v @ np.linalg.lstsq(a, b, rcond=None)[0][:n]
 
 
-def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.linalg.norm(p[:, None] - q[None], axis=2)
 
 
-def _left_out(gamma, d: np.ndarray, v: np.ndarray) -> np.ndarray:
+def left_out(gamma, d: np.ndarray, v: np.ndarray) -> np.ndarray:
     """What kriging errs at each station left out in turn: from one inverse of the whole system, as the deleted row's residual
     over its diagonal; one by one where stations in one place make the system singular."""
     n = len(v)
@@ -132,7 +139,7 @@ def _left_out(gamma, d: np.ndarray, v: np.ndarray) -> np.ndarray:
     out = np.zeros(n)
     for i in range(n):
         rest = np.arange(n) != i
-        out[i] = _kriged(gamma, d[np.ix_(rest, rest)], d[rest, i : i + 1], v[rest])[0] - v[i]
+        out[i] = kriged(gamma, d[np.ix_(rest, rest)], d[rest, i : i + 1], v[rest])[0] - v[i]
     return out
 
 
@@ -144,10 +151,10 @@ def kriging(points: DataFrame, cells: pd.DataFrame, keys: list[str]) -> DataFram
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         origin, v = pdf[["lat", "lng"]].mean().to_numpy(), pdf["value"].to_numpy(float)
-        p, q = _metres(pdf, origin), _metres(cells, origin)
-        d = _apart(p, p)
+        p, q = metres(pdf, origin), metres(cells, origin)
+        d = apart(p, p)
         head = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame({**head, "cell_id": cells["cell_id"].to_numpy(), "value": _kriged(_fitted(d, v), d, _apart(p, q), v)})
+        return pd.DataFrame({**head, "cell_id": cells["cell_id"].to_numpy(), "value": kriged(fitted(d, v), d, apart(p, q), v)})
 
     schema = ", ".join([*[f"{k} {dict(points.dtypes)[k]}" for k in keys], "cell_id string", "value double"])
     return points.groupBy(*keys).applyInPandas(solve, schema)
@@ -163,12 +170,12 @@ def kriging_gate(points: DataFrame, keys: list[str], least: int = 10) -> DataFra
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         n, row = len(pdf), {**{k: pdf[k].iloc[0] for k in keys}, "n": pdf["id"].nunique(), "idw_rmse": None, "kriging_rmse": None, "supported": False}
-        p, v = _metres(pdf, pdf[["lat", "lng"]].mean().to_numpy()), pdf["value"].to_numpy(float)
-        d = _apart(p, p)
+        p, v = metres(pdf, pdf[["lat", "lng"]].mean().to_numpy()), pdf["value"].to_numpy(float)
+        d = apart(p, p)
         if row["n"] >= least and d.max() > 0:
-            gamma = _fitted(d, v)
+            gamma = fitted(d, v)
             w = np.where(np.eye(n, dtype=bool), 0.0, 1 / np.maximum(d, 1.0) ** 2)
-            errors = np.stack([w @ v / w.sum(1) - v, _left_out(gamma, d, v)])
+            errors = np.stack([w @ v / w.sum(1) - v, left_out(gamma, d, v)])
             idw_rmse, kriging_rmse = np.sqrt((errors**2).mean(1))
             row |= {"idw_rmse": round(float(idw_rmse), 4), "kriging_rmse": round(float(kriging_rmse), 4), "supported": bool(kriging_rmse < idw_rmse)}
         return pd.DataFrame([row]).astype({"idw_rmse": float, "kriging_rmse": float})

@@ -220,7 +220,7 @@ def month_slices(spark, sf):
 
 @query("air_long evt", "select 'event-' || event_id as slice_id, 'event' as kind, start_day, end_day, pollutant, round(avg(value), 6) as value, count(distinct day) as days from air_long join evt on day between start_day and end_day group by all")
 def event_slices(spark, sf):
-    return r6(R.event_slices(V.air_long(spark, sf), V.evt(spark), ["pollutant"]))
+    return r6(R.event_slices(V.air_long(spark, sf), V.evt(spark, sf), ["pollutant"]))
 
 
 SLICES = "s as (select station, date_trunc('month', day)::date as start_day, last_day(day) as end_day, avg(value) as m from air_long group by all), w as (select *, greatest(least(end_day, date '1997-05-20') - greatest(start_day, date '1997-01-10') + 1, 0) as w from s)"
@@ -256,7 +256,7 @@ def merge_drivers(spark, sf):
 # analyses and export -------------------------------------------------------------------------------------------------
 @query("evt", "select event_id, kind from evt where end_day >= date '2024-01-10' and start_day <= date '2024-01-16' order by event_id limit 1")
 def event_pick(spark, sf):
-    return R.picked_event(V.evt(spark), R.Filters("PM10", start="2024-01-10", end="2024-01-16")).select("event_id", "kind")
+    return R.picked_event(V.evt(spark, sf), R.Filters("PM10", start="2024-01-10", end="2024-01-16")).select("event_id", "kind")
 
 
 FILTERS = R.Filters("1-URGENT", start="1998-12-31", end="1996-01-01")

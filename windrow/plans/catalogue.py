@@ -234,13 +234,13 @@ def latest_meteo(spark, sf):
 # events --------------------------------------------------------------------------------------------------------------
 @query("evt", "select event_id, kind, start_day, end_day from evt where end_day >= date '2024-01-10' and start_day <= date '2024-01-16'")
 def event_overlap(spark, sf):
-    return E.overlapping(V.evt(spark), "2024-01-10", "2024-01-16").select("event_id", "kind", "start_day", "end_day")
+    return E.overlapping(V.evt(spark, sf), "2024-01-10", "2024-01-16").select("event_id", "kind", "start_day", "end_day")
 
 
 @query("evt", f"""with c as (select * from evt where event_id <= 3), f as (select * from evt where event_id > 3)
 select event_id, kind, start_day from c union all select event_id, kind, start_day from f where not (kind = 'fire' and exists (select 1 from c where c.kind = 'fire' and abs(f.start_day - c.start_day) <= 5 and {V.haversine('f.lat', 'f.lng', 'c.lat', 'c.lng')} <= 35000))""")
 def event_catalog_merge(spark, sf):
-    e = V.evt(spark)
+    e = V.evt(spark, sf)
     return E.merged_catalogue(e.where("event_id <= 3"), e.where("event_id > 3")).select("event_id", "kind", "start_day")
 
 
@@ -259,7 +259,7 @@ select event_id, station, round(km, 6) as distance_km, round(al, 6) as alignment
   round(b, 6) as before_mean, round(u, 6) as during_mean, round(a, 6) as after_mean, round(l, 6) as baseline_mean, round(u - l, 6) as delta from q""")
 def event_impact(spark, sf):
     d = V.daily(spark, sf).groupBy("station", "day").agg(F.avg("value").alias("value"))
-    return r6(E.impact(V.evt(spark), V.geo(spark, sf).select("id", "lat", "lng"), d, V.meteo(spark, sf)))
+    return r6(E.impact(V.evt(spark, sf), V.geo(spark, sf).select("id", "lat", "lng"), d, V.meteo(spark, sf)))
 
 
 # geometry and surfaces -----------------------------------------------------------------------------------------------
@@ -315,6 +315,7 @@ _DLAT = 5 / 110.574
 _DLNG = 5 / (111.32 * __import__("math").cos(__import__("math").radians((GRID[0] + GRID[2]) / 2)))
 _ROWS, _COLS = (-int(-(GRID[2] - GRID[0]) // _DLAT), -int(-(GRID[3] - GRID[1]) // _DLNG))
 GRID_SQL = f"g as (select format('r{{:03d}}c{{:03d}}', i // {_COLS}, i % {_COLS}) as cell_id, 39.60::double + (i // {_COLS} + 0.5::double) * {_DLAT!r}::double as lat, 28.09::double + (i % {_COLS} + 0.5::double) * {_DLNG!r}::double as lng from (select unnest(range(0, {_ROWS * _COLS})) as i))"
+GRID_CTE = f"with {GRID_SQL}"
 
 
 @query("", f"with {GRID_SQL} select cell_id, round(lat, 6) as lat, round(lng, 6) as lng from g")

@@ -2,52 +2,125 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from windrow.functions import geo as G
 from windrow.functions import scalars as S
+from windrow.operators import packages as K
+from windrow.operators import results as R
 from windrow.operators import slices as L
 from windrow.operators import spatial as X
+from windrow.operators import surfaces as U
+from windrow.operators.tables import shared_folder, written
 from windrow.plans import assembled as A
 from windrow.plans import catalogue as C
 from windrow.plans import views as V
 from windrow.plans.catalogue import query, r6
-
-SLICES = "s as (select 'event-' || event_id as slice_id, start_day, end_day from evt where end_day < date '2024-02-01' and start_day >= date '2024-01-01' union all select 'month-2024-01', date '2024-01-01', date '2024-01-31')"
-OBS = f"""{SLICES}, o as (select slice_id, pollutant, station as id, any_value(lat) as lat, any_value(lng) as lng, avg(d.value) as value, count(distinct day) as days, least(1.0, count(distinct day)::double / any_value(end_day - start_day + 1))::double as completeness
-  from daily d join s on day between start_day and end_day join geo g on g.id = station group by slice_id, pollutant, station),
-q as (select slice_id, pollutant, count(distinct id) as station_count, sum(days)::bigint as observation_count, avg(completeness) as mean_completeness,
+from windrow.sources import dataset as D
+
+COVERAGE = ("1995-01-01", "2024-01-31")
+SLICES = f"""s as (select 'month-' || strftime(m, '%Y-%m') as slice_id, 'month' as kind, strftime(m, '%Y-%m') as label, m as start_day, last_day(m) as end_day from (select unnest(generate_series(date '1995-01-01', date '2024-01-01', interval 1 month))::date as m)
+  union all select 'event-' || event_id, 'event', event_id::varchar, start_day, end_day from evt where end_day >= date '{COVERAGE[0]}' and start_day <= date '{COVERAGE[1]}'),
+e as (select *, greatest(start_day, date '{COVERAGE[0]}') as from_day, least(end_day, date '{COVERAGE[1]}') as to_day from s)"""
+LIMIT = "case pollutant when 'PM10' then 50.0::double else 100.0::double end"
+OBS = f"""{SLICES}, o as (select slice_id, pollutant, scope, station as id, any_value(lat) as lat, any_value(lng) as lng, avg(d.value) as value, avg((d.value > {LIMIT})::int::double) as over, count(distinct day) as days, least(1.0, count(distinct day)::double / any_value(to_day - from_day + 1))::double as completeness
+  from ship d join e on day between from_day and to_day join ship_at on id = station group by slice_id, pollutant, scope, station),
+q as (select slice_id, pollutant, scope, count(distinct id) as station_count, sum(days)::bigint as observation_count, avg(completeness) as mean_completeness,
   case when count(distinct id) < 6 then 'insufficient-observations' when avg(completeness) < 0.7 then 'insufficient-completeness' else 'ok' end as status from o group by all)"""
+KEYS = U.KEYS
+ON = "a.slice_id = b.slice_id and a.pollutant = b.pollutant and a.scope = b.scope"
 
 
-def _slices(spark):
-    own = V.evt(spark).where("end_day < date '2024-02-01' and start_day >= date '2024-01-01'").select(F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("slice_id"), "start_day", "end_day")
-    return own.unionByName(spark.sql("select 'month-2024-01' as slice_id, date '2024-01-01' as start_day, date '2024-01-31' as end_day"))
+def _slices(spark, sf):
+    return U.coverage_slices(V.evt(spark, sf), *COVERAGE)
 
 
 def _observations(spark, sf):
-    return L.observations(V.daily(spark, sf), _slices(spark), V.geo(spark, sf), ["pollutant"])
+    return written(U.observations(V.ship(spark, sf), _slices(spark, sf), V.ship_at(spark, sf), S.THRESHOLDS), "observations")
 
 
-@query("evt daily geo", f"with {OBS} select slice_id, pollutant, station_count, observation_count, round(mean_completeness, 6) as mean_completeness, status from q")
+@query("evt ship ship_at", f"with {OBS} select slice_id, pollutant, scope, station_count, observation_count, round(mean_completeness, 6) as mean_completeness, status from q")
 def stats_gates(spark, sf):
-    return r6(L.gates(_observations(spark, sf), ["slice_id", "pollutant"]))
+    return r6(L.gates(_observations(spark, sf), KEYS))
+
 
+PAIRS = f"""k as materialized (select o.* from o join q using (slice_id, pollutant, scope) where status = 'ok'),
+d as materialized (select a.slice_id, a.pollutant, a.scope, a.id as a, a.value as va, b.value as vb, {V.haversine('a.lat', 'a.lng', 'b.lat', 'b.lng')} as metres from k a join k b on {ON} and a.id <> b.id),
+n as (select *, row_number() over (partition by slice_id, pollutant, scope, a order by metres) as r from d where metres > 0), w as (select slice_id, pollutant, scope, max(metres) as radius from n where r <= 3 group by all)"""
 
-@query("evt daily geo", f"""with {OBS}, k as (select o.* from o join q on o.slice_id = q.slice_id and o.pollutant = q.pollutant where status = 'ok'),
-d as (select a.slice_id, a.pollutant, a.id as a, a.value as va, b.value as vb, {V.haversine('a.lat', 'a.lng', 'b.lat', 'b.lng')} as metres from k a join k b on a.slice_id = b.slice_id and a.pollutant = b.pollutant and a.id <> b.id),
-n as (select *, row_number() over (partition by slice_id, pollutant, a order by metres) as r from d where metres > 0), w as (select slice_id, pollutant, max(metres) as radius from n where r <= 3 group by all),
-m as (select slice_id, pollutant, avg(value) as mean, var_pop(value) as v from k group by all),
-i as (select d.slice_id, d.pollutant, any_value(radius) as radius, avg((va - mean) * (vb - mean)) / nullif(any_value(v), 0) as moran_i from d join w on d.slice_id = w.slice_id and d.pollutant = w.pollutant and metres <= radius join m on m.slice_id = d.slice_id and m.pollutant = d.pollutant group by all)
-select q.slice_id, q.pollutant, station_count, case when status = 'ok' and moran_i is null then 'insufficient-observations' else status end as status, round(radius, 2)::double as radius, round(moran_i, 3)::double as moran_i from q left join i on q.slice_id = i.slice_id and q.pollutant = i.pollutant""")
+
+@query("evt ship ship_at", f"""with {OBS}, {PAIRS}, m as (select slice_id, pollutant, scope, avg(value) as mean, var_pop(value) as v from k group by all),
+i as (select slice_id, pollutant, scope, any_value(radius) as radius, avg((va - mean) * (vb - mean)) / nullif(any_value(v), 0) as moran_i from d join w using (slice_id, pollutant, scope) join m using (slice_id, pollutant, scope) where metres <= radius group by all)
+select slice_id, pollutant, scope, station_count, case when status = 'ok' and moran_i is null then 'insufficient-observations' else status end as status, round(radius, 2)::double as radius, round(moran_i, 4)::double as moran_i from q left join i using (slice_id, pollutant, scope)""")
 def stats_slices(spark, sf):
-    out = L.stats(_observations(spark, sf), ["slice_id", "pollutant"], "slice_id")
-    return out.select("slice_id", "pollutant", "station_count", "status", "radius", F.round("moran_i", 3).alias("moran_i"))
+    out = L.stats(_observations(spark, sf), [*KEYS, "label"], "label")
+    return out.select(*KEYS, "station_count", "status", "radius", "moran_i")
 
 
 @query()
 def stats_slices_permuted(spark, sf):
-    return L.stats(_observations(spark, sf), ["slice_id", "pollutant"], "slice_id")
+    return L.stats(_observations(spark, sf), [*KEYS, "label"], "label")
+
+
+@query("evt ship ship_at", f"""with {OBS}, p as materialized (select cell_id, o.slice_id, o.pollutant, o.scope, o.value, over, 1 / power(greatest(sqrt(power(radians(g.lng - o.lng) * cos(radians(39.60::double)), 2) + power(radians(g.lat - o.lat), 2)) * 6371000, 1.0), 2) as w
+  from o join (select slice_id, pollutant, scope from o group by all having count(distinct id) >= 4 and avg(completeness) >= 0.7) using (slice_id, pollutant, scope), ({C.GRID_CTE} select * from g) g)
+select slice_id, pollutant, scope, 'idw' as method, cell_id, round(sum(value * w) / sum(w), 2) as value, round(sum(over * w) / sum(w), 4) as exceedance from p group by all""")
+def surface_slices_idw(spark, sf):
+    """The surfaces of inverse distances of every month, event and scope; `surface_slices` has all else."""
+    return U.surface_slices(_observations(spark, sf), _slices(spark, sf), _cells(spark), ORIGIN)[1].where("method = 'idw'")
+
+
+@query()
+def surface_slices(spark, sf):
+    return U.surface_slices(_observations(spark, sf), _slices(spark, sf), _cells(spark), ORIGIN)[0]
+
+
+@query()
+def surface_slices_kriging(spark, sf):
+    return U.surface_slices(_observations(spark, sf), _slices(spark, sf), _cells(spark), ORIGIN)[1].where("method = 'kriging'")
+
+
+ORIGIN = C.GRID[:2]
+
+
+def _cells(spark):
+    return X.grid(spark, *C.GRID).select((F.col("row") * C._COLS + F.col("col")).cast("int").alias("i"), "cell_id", "lat", "lng")
+
+
+def _inputs(spark, sf) -> K.Inputs:
+    """Packages' inputs: the measurements of `ship`, with the map layers of `cell_context`."""
+    industries = V.geo(spark, sf).where("scope = 1").select("id", "lat", "lng")
+    meteo = V.ship(spark, sf).select("station", "day").distinct().withColumn("wind_dir", ((F.col("station") * 37 + F.dayofyear("day") * 13) % 360).cast("double"))
+    return K.Inputs(V.ship(spark, sf), V.ship_at(spark, sf), V.evt(spark, sf), meteo, _cells(spark), A._contexts(spark, sf), industries, *COVERAGE, ORIGIN)
+
+
+def _published(spark, sf):
+    """The packages built, published and read back: (manifest, tables of PM10)."""
+    path = f"{shared_folder(spark)}/windrow-packages-{uuid.uuid4().hex}"
+    D.publish_packages(K.build(_inputs(spark, sf)), path, "v1", *COVERAGE)
+    return D.published_packages(spark, path, "PM10")
+
+
+@query("evt ship ship_at", f"""with {OBS}, g as (select slice_id, pollutant, scope, count(distinct id) as n, avg(completeness) as c from o group by all)
+select pollutant, scope, count(*) filter (kind = 'month') as months, coalesce(sum((kind = 'month' and coalesce(n >= 4 and c >= 0.7, false))::int), 0)::bigint as usable_months, count(*) filter (kind = 'event') as events
+from s cross join (select distinct pollutant, scope from o) left join g using (slice_id, pollutant, scope) group by pollutant, scope""")
+def package_descriptors(spark, sf):
+    return K.descriptors(U.gated(_observations(spark, sf), _slices(spark, sf)))
+
+
+@query("evt ship ship_at", f"""with {OBS}, {PAIRS}, t as (select slice_id, pollutant, scope, avg(value) as mean, stddev_samp(value) as sd, count(*)::double as n from k group by all),
+y as (select slice_id, pollutant, scope, a, sum(vb) as s, count(*)::double as w from (select slice_id, pollutant, scope, a, vb from d join w using (slice_id, pollutant, scope) where metres <= radius union all select slice_id, pollutant, scope, id, value from k) group by all),
+z as (select *, coalesce((s - mean * w) / nullif(sd * sqrt((n * w - w * w) / (n - 1)), 0), 0) as z from y join t using (slice_id, pollutant, scope)),
+v as (select z.*, {V.overlap_sql('start_day', 'end_day', '1998-02-10', '1998-05-20')} as days from z join s using (slice_id) where pollutant = 'PM10' and scope = 'all'),
+r as (select a as station, round(sum(round(z, 4) * days) / sum(days), 6) as z from v where days > 0 group by a)
+select station::varchar as station, z from r""")
+def package_range_stations(spark, sf):
+    """Stations of a range of days, from packages that were built, published and read back."""
+    _, tables = _published(spark, sf)
+    out = L.resolved(tables, L.Request("1998-02-10", "1998-05-20", scope="all"))["stations"]
+    return out.select(F.col("station").cast("string").alias("station"), S.rounded("z").alias("z"))
 
 
 @query("daily geo", f"""with {C.GRID_SQL}, o as (select pollutant, station, avg(d.value) as value, avg((d.value > 50)::int::double) as over, any_value(lat) as lat, any_value(lng) as lng from daily d join geo on geo.id = station group by pollutant, station),
@@ -78,12 +151,14 @@ def slice_upsert(spark, sf):
     return L.upserted(old, new, ["value", "n"])
 
 
-@query("evt daily geo", f"""with {OBS}, t as (select * from q where slice_id <> 'event-2')
-select s.slice_id, p.pollutant, coalesce(status, 'insufficient-observations') as stats_status, coalesce(station_count, 0)::bigint as hotspots from s cross join (select distinct pollutant from daily) p left join t on t.slice_id = s.slice_id and t.pollutant = p.pollutant""")
+@query("evt ship ship_at", f"""with {OBS}, {PAIRS}, h as (select slice_id, pollutant, scope, count(*) as hotspots from k join w using (slice_id, pollutant, scope) group by all)
+select slice_id, p.pollutant, p.scope, coalesce(status, 'insufficient-observations') as stats_status, coalesce(hotspots, 0)::bigint as hotspots from s cross join (select distinct pollutant, scope from o) p left join q using (slice_id, pollutant, scope) left join h using (slice_id, pollutant, scope)""")
 def surfaces_with_stats(spark, sf):
-    found = L.gates(_observations(spark, sf), ["slice_id", "pollutant"]).where("slice_id <> 'event-2'").withColumnRenamed("station_count", "hotspots")
-    surfaces = _slices(spark).select("slice_id").join(V.daily(spark, sf).select("pollutant").distinct())
-    return L.with_stats(surfaces, found, ["slice_id", "pollutant"])
+    obs = _observations(spark, sf)
+    counted = L.hotspots(obs, KEYS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("hotspots"))
+    found = L.gates(obs, KEYS).join(counted, KEYS, "left").fillna(0, ["hotspots"])
+    surfaces = U.gated(obs, _slices(spark, sf)).select(*KEYS)
+    return L.with_stats(surfaces, found, KEYS)
 
 
 CTX = "k as (select cell_id, (row_number() over (order by cell_id) % 7) / 7.0::double as u, (row_number() over (order by cell_id) * 13 % 500)::double as m from g), c as (select cell_id, u as road_density, 1 - u as green_ratio, u / 2 as impervious_ratio, u / 4 as proximity_index, m as nearest_primary_road_m, m * 2 as nearest_industry_m, m::bigint % 5 as industry_count, m as mean_elevation_m, u * 10 as slope_mean from k where m > 60)"
@@ -241,20 +316,24 @@ def slice_normalise(spark, sf):
     return L.normalised(rows, {"moran_i": "double"})
 
 
-@query("evt", "select event_id as slice_id, start_day, end_day from evt where event_id = 2")
+@query("evt", f"""with {SLICES} select slice_id, kind, start_day, end_day from s where slice_id = 'event-2' union all select slice_id, kind, start_day, end_day from s where not exists (select 1 from s where slice_id = 'event-2') and kind = 'month' and end_day >= date '2024-01-10' and start_day <= date '2024-01-16'""")
 def slice_choice(spark, sf):
-    return L.overlapping_slice(V.evt(spark).select(F.col("event_id").alias("slice_id"), "start_day", "end_day"), "2024-01-10", "2024-01-16", 2)
+    return L.overlapping_slice(_slices(spark, sf).select("slice_id", "kind", "start_day", "end_day"), "2024-01-10", "2024-01-16", "event-2", months=True)
 
 
 RANGE = ("1997-01-10", "1997-05-20")
-PACKAGE = "s as (select station, date_trunc('month', day)::date as start_day, last_day(day) as end_day, avg(value) as m from air_long group by all), w as (select *, greatest(least(end_day, date '1997-05-20') - greatest(start_day, date '1997-01-10') + 1, 0) as w from s)"
+PACKAGE = f"""s as (select 'month' as kind, strftime(day, '%Y-%m') as slice_id, station, date_trunc('month', day)::date as start_day, last_day(day) as end_day, avg(value) as m from air_long group by all
+  union all select 'event', 'event-' || event_id, station, start_day, end_day, avg(value) from air_long join evt on day between start_day and end_day group by all),
+w as (select *, {V.overlap_sql('start_day', 'end_day', *RANGE)} as w from s), p as (select 'c' || c_nationkey as id, round(avg(c_acctbal) / 10000, 6) as proximity from customer group by 1)"""
 
 
 def _package(spark, sf):
     m = F.trunc("day", "month")
-    s = V.air_long(spark, sf).groupBy("station", m.alias("start_day")).agg(F.avg("value").alias("m"))
-    s = s.select("station", F.date_format("start_day", "yyyy-MM").alias("slice_id"), "start_day", F.last_day("start_day").alias("end_day"), "m", F.lit("physical").alias("scope"))
-    slices = ["slice_id", "start_day", "end_day", "scope"]
+    rows = V.air_long(spark, sf)
+    months = rows.groupBy("station", m.alias("start_day")).agg(F.avg("value").alias("m")).select("station", F.date_format("start_day", "yyyy-MM").alias("slice_id"), F.lit("month").alias("kind"), "start_day", F.last_day("start_day").alias("end_day"), "m")
+    events = R.event_slices(rows, V.evt(spark, sf), ["station"]).select("station", "slice_id", "kind", "start_day", "end_day", F.col("value").alias("m"))
+    s = months.unionByName(events).withColumn("scope", F.lit("physical"))
+    slices = ["slice_id", "kind", "start_day", "end_day", "scope"]
     cell = F.concat(F.lit("c"), F.col("station").cast("string")).alias("cell_id")
     cells = s.select(cell).distinct()
     return {
@@ -263,15 +342,15 @@ def _package(spark, sf):
         "risks": s.select(*slices, cell, (F.col("m") / 250000).alias("score"), (F.col("m") / 300000).alias("pollution")),
         "drivers": s.select(*slices, F.col("station").alias("driver"), (F.col("m") / 100000).alias("coefficient"), F.lit(10).alias("n"), F.lit(90.0).alias("wind")),
         "forecasts": spark.createDataFrame([("physical", True), ("all", False)], "scope string, supported boolean"),
-        "contexts": cells.select("cell_id", (F.length("cell_id") / 4.0).alias("proximity_index")),
+        "contexts": V.table(spark, sf, "customer").groupBy(F.concat(F.lit("c"), F.col("c_nationkey").cast("string")).alias("cell_id")).agg(S.rounded(F.avg("c_acctbal") / 10000).alias("proximity_index")),
         "cells": cells,
     }
 
 
-@query("air_long", f"""with {PACKAGE}, c as (select 'c' || station as id, round(sum(m * w) / sum(w), 6) as v, round(sum((m - 150000) / 20000 * w) / sum(w), 6) as z, round(sum(m / 250000 * w) / sum(w), 6) as score from w where w > 0 group by station)
+@query("air_long evt", f"""with {PACKAGE}, c as (select 'c' || station as id, round(sum(m * w) filter (kind = 'month') / sum(w) filter (kind = 'month'), 6) as v, round(sum((m - 150000) / 20000 * w) / sum(w), 6) as z, round(sum(m / 250000 * w) / sum(w), 6) as score from w where w > 0 group by station)
 select * from (select 'top_polluted' as part, id, v as value from c order by v desc, id limit 6) union all select * from (select 'cleanest', id, v from c order by v, id limit 6)
 union all select * from (select 'top_hotspots', id[2:], z from c where z > 0 order by z desc, id limit 8) union all select * from (select 'top_coldspots', id[2:], z from c where z < 0 order by z, id limit 8)
-union all select * from (select 'top_risks', id, score from c order by score desc, id limit 10) union all select * from (select 'highest_proximity', id, (length(id) / 4.0)::double from (select distinct 'c' || station as id from s) order by length(id) desc, id limit 8)""")
+union all select * from (select 'top_risks', id, score from c order by score desc, id limit 10) union all select * from (select 'highest_proximity', id, proximity from p where id in (select 'c' || station from s) order by proximity desc, id limit 8)""")
 def resolve_range(spark, sf):
     out = None
     tables = L.resolved(_package(spark, sf), L.Request(*RANGE, method="kriging"))
@@ -281,17 +360,17 @@ def resolve_range(spark, sf):
     return out
 
 
-@query("air_long", f"with {PACKAGE} select 'c' || station as cell_id, round(m, 6) as value from s where start_day = date '1997-02-01' order by m desc, cell_id limit 6")
+@query("air_long evt", f"with {PACKAGE} select 'c' || station as cell_id, round(m, 6) as value from s where slice_id = '1998-09' order by m desc, cell_id limit 6")
 def resolve_slice(spark, sf):
-    tables = L.resolved(_package(spark, sf), L.Request(*RANGE, slice_id="1997-02"))
+    tables = L.resolved(_package(spark, sf), L.Request(*RANGE, slice_id="1998-09"))
     return tables["top_polluted"].select("cell_id", S.rounded("value").alias("value"))
 
 
-@query("", f"""with c as ({C.ORACLES["cell_context"]}), w as ({C.ORACLES["wind_alignment"]})
-select c.cell_id, (length(c.cell_id) * 1.5)::double as value, road_density, round(greatest(0, 1 - coalesce(nearest_industry_m, 0) / 5000), 6)::double as industry_proximity, green_ratio, impervious_ratio, elevation, slope, alignment as wind_alignment from c join w on c.cell_id = w.cell_id""")
+@query("", f"""with c as ({C.ORACLES["cell_context"]}), w as ({C.ORACLES["wind_alignment"]}), f as ({C.ORACLES["idw_surface"]})
+select c.cell_id, value, road_density, round(greatest(0, 1 - coalesce(nearest_industry_m, 0) / 5000), 6)::double as industry_proximity, green_ratio, impervious_ratio, elevation, slope, alignment as wind_alignment from c join w on c.cell_id = w.cell_id join f on f.cell_id = c.cell_id and scope = 0""")
 def driver_matrix(spark, sf):
     cells = X.grid(spark, *C.GRID)
-    values = cells.select("cell_id", (F.length("cell_id") * 1.5).alias("value"))
+    values = X.idw(cells, V.geo(spark, sf).where("scope = 0")).withColumn("value", F.round("value", 4))
     industries = V.geo(spark, sf).where("scope = 1").select(F.col("id").cast("string").alias("id"), "lat", "lng")
     return r6(L.driver_matrix(values, cells, A._contexts(spark, sf), industries, 225.0))
 

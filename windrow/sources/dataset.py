@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.operators import packages as K
 from windrow.operators import slices as L
 from windrow.operators.quality import deduplicated
+from windrow.operators.tables import written
 from windrow.sources import readers
 
 SERIES = "series"
@@ -60,6 +62,82 @@ def read(spark: SparkSession, path: str, names: list[str], pollutant: str | None
     return tables
 
 
+# versions: tables are written beside older ones and seen only once their manifest is there --------------------------------
+def _files(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _published(spark: SparkSession, path: str) -> list[str]:
+    """The published versions' folders, the oldest first: those whose manifest was written to its end."""
+    folder, files = _files(spark, f"{path}/manifests")
+    if not files.exists(folder):
+        return []
+    names = sorted(s.getPath().getName() for s in files.listStatus(folder))
+    return [n for n in names if files.exists(_files(spark, f"{path}/manifests/{n}/_SUCCESS")[0])]
+
+
+def publish(tables: dict[str, DataFrame], path: str, about: DataFrame, partitions: dict[str, list[str]] | None = None) -> str:
+    """Writes tables as a new version of what stands at a path, and returns the version's name.
+
+    Tables go into a folder of their own. Then `about`, a small table that describes them, is written as the manifest, whose
+    mark of success is the one file that makes the version seen. Until then, and if the write breaks off, readers go on with
+    the version before; nothing of it is touched. One writer at a time."""
+    spark = about.sparkSession
+    _, files = _files(spark, path)
+    taken = [s.getPath().getName() for part in ("manifests", "versions") if files.exists(_files(spark, f"{path}/{part}")[0]) for s in files.listStatus(_files(spark, f"{path}/{part}")[0])]
+    name = f"v{max([int(n[1:]) for n in taken if n[1:].isdigit()], default=0) + 1:08d}"
+    for table, df in tables.items():
+        df.write.partitionBy(*(partitions or {}).get(table, [])).parquet(f"{path}/versions/{name}/{table}")
+    about.coalesce(1).write.json(f"{path}/manifests/{name}")
+    return name
+
+
+def current(spark: SparkSession, path: str, names: list[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(manifest, the named tables) of the version that was published last. FileNotFoundError if there is none."""
+    versions = _published(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.json(f"{path}/manifests/{versions[-1]}"), {n: spark.read.parquet(f"{path}/versions/{versions[-1]}/{n}") for n in names}
+
+
+def cleared(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Deletes all but the last versions, and what broken writes left behind; the names of what went. Readers of the
+    versions that stay are not disturbed."""
+    folder, files = _files(spark, f"{path}/versions")
+    if not files.exists(folder):
+        return []
+    stay = set(_published(spark, path)[-keep:])
+    gone = [n for n in (s.getPath().getName() for s in files.listStatus(folder)) if n not in stay]
+    for n in gone:
+        files.delete(_files(spark, f"{path}/manifests/{n}")[0], True)
+        files.delete(_files(spark, f"{path}/versions/{n}")[0], True)
+    return sorted(gone)
+
+
+# packages of analyses ------------------------------------------------------------------------------------------------
+PARTS = ("slices", "surfaces", "stats", "stations", "risks", "drivers", "forecasts")
+GRID_PARTS = ("cells", "contexts")
+
+
+def publish_packages(tables: dict[str, DataFrame], path: str, version: str, start: str, end: str) -> str:
+    """Publishes the tables of `packages.build` by pollutant and scope; the manifest has a row for each package."""
+    fixed = {"dataset_version": version, "coverage_start": start, "coverage_end": end}
+    slices = written(tables["slices"], "slices")
+    about = K.descriptors(slices).select("*", *[F.lit(v).alias(k) for k, v in fixed.items()])
+    return publish(tables | {"slices": slices}, path, about, {n: ["pollutant", "scope"] for n in PARTS})
+
+
+def published_packages(spark: SparkSession, path: str, pollutant: str, scopes: tuple[str, ...] = L.SCOPES) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(manifest, tables) of one pollutant, as `slices.resolved` takes them: only its folders and those of the scopes are read."""
+    own = (F.col("pollutant") == pollutant) & F.col("scope").isin(*scopes)
+    about, tables = current(spark, path, [*PARTS, *GRID_PARTS])
+    found = {n: tables[n].where(own) for n in PARTS} | {n: tables[n] for n in GRID_PARTS}
+    # statistics of a request are the stations'; what a whole slice has is beside them
+    return about.where(own), found | {"stats": found["stations"], "stats_slices": found["stats"]}
+
+
+# statistics alone -----------------------------------------------------------------------------------------------------
 def packages(slices: DataFrame) -> DataFrame:
     """One row per pollutant and scope of slices (pollutant, scope, kind month or event, status): how many there are."""
     usable = (F.col("kind") == "month") & (F.col("status") == "ok")
@@ -73,6 +151,28 @@ def write_packages(slices: DataFrame, path: str) -> None:
     packages(slices.sparkSession.read.parquet(f"{path}/packages")).coalesce(1).write.mode("overwrite").json(f"{path}/packages-manifest")
 
 
+def read_packages(spark: SparkSession, path: str, pollutant: str, scopes: tuple[str, ...] = L.SCOPES) -> tuple[DataFrame, DataFrame]:
+    """(manifest, slices) of one pollutant: only its folders and those of the scopes are read."""
+    own = (F.col("pollutant") == pollutant) & F.col("scope").isin(*scopes)
+    return spark.read.json(f"{path}/packages-manifest").where(own), spark.read.parquet(f"{path}/packages").where(own)
+
+
+def build_packages(daily: DataFrame, stations: DataFrame, slices: DataFrame, path: str) -> None:
+    """The statistics of every pollutant, scope and slice, with their gates, as packages: stations has (id, lat, lng, scope), where a
+    station may be in several scopes; slices has (slice_id, kind, start_day, end_day)."""
+    keys = ["slice_id", "pollutant", "scope"]
+    # shuffles are seeded by the slice's label: its month or its event's id
+    label = F.regexp_replace("slice_id", "^(month|event)-", "")
+    out = None
+    for scope in L.SCOPES:
+        obs = L.observations(daily, slices, stations.where(F.col("scope") == scope), ["pollutant"]).withColumn("scope", F.lit(scope))
+        obs = obs.join(slices.select("slice_id", label.alias("label")), "slice_id")
+        own = L.stats(obs, [*keys, "label"], "label").drop("label")
+        out = own if out is None else out.unionByName(own)
+    write_packages(out.join(slices.select("slice_id", "kind", "start_day", "end_day"), "slice_id"), path)
+
+
+# layers and legacy files ---------------------------------------------------------------------------------------------
 LAYERS = ("neighborhoods", "roads", "industries", "greens", "elevations")
 
 
@@ -87,25 +187,7 @@ def with_layers(tables: dict[str, DataFrame], layers: dict[str, DataFrame]) -> d
     return tables | {n: df for n, df in layers.items() if n in LAYERS}
 
 
-def read_packages(spark: SparkSession, path: str, pollutant: str, scopes: tuple[str, ...] = L.SCOPES) -> tuple[DataFrame, DataFrame]:
-    """(manifest, slices) of one pollutant: only its folders and those of the scopes are read."""
-    own = (F.col("pollutant") == pollutant) & F.col("scope").isin(*scopes)
-    return spark.read.json(f"{path}/packages-manifest").where(own), spark.read.parquet(f"{path}/packages").where(own)
-
-
 def legacy(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
     """The named arrays of a dataset that is one JSON object, each as a table. Such a file is read by one task; write() deals it."""
     whole = spark.read.json(path, multiLine=True)
     return {n: whole.select(F.inline(n)) for n in names if n in whole.columns}
-
-
-def build_packages(daily: DataFrame, stations: DataFrame, slices: DataFrame, path: str) -> None:
-    """The statistics of every pollutant, scope and slice, with their gates, as packages: stations has (id, lat, lng, scope), where a
-    station may be in several scopes; slices has (slice_id, kind, start_day, end_day)."""
-    keys = ["slice_id", "pollutant", "scope"]
-    out = None
-    for scope in L.SCOPES:
-        obs = L.observations(daily, slices, stations.where(F.col("scope") == scope), ["pollutant"]).withColumn("scope", F.lit(scope))
-        own = L.stats(obs, keys, "slice_id")
-        out = own if out is None else out.unionByName(own)
-    write_packages(out.join(slices.select("slice_id", "kind", "start_day", "end_day"), "slice_id"), path)
