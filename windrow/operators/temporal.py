@@ -4,6 +4,8 @@ Series are long tables: any number of them at once, told apart by key columns, s
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,28 +18,77 @@ def bucket_mean(records: DataFrame, keys: list[str], resolution: str, day: str =
     return records.groupBy(*keys, key.alias("bucket"), label.alias("label")).agg(F.avg(value).alias("mean"), F.count(value).alias("n"), F.min(day).alias("first_day"))
 
 
-def _numbered(series: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return series.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+def rises(values: np.ndarray) -> tuple[int, int]:
+    """Pairs of an earlier and a later value of which the later one is greater, and smaller: counted while sorted runs are
+    merged, in time of n log^2 n."""
+    n = len(values)
+    rank = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    at, up, down, width = np.arange(n), 0, 0, 1
+    while width < n:
+        pair = at // (2 * width)
+        right = at // width % 2 == 1
+        key = pair * (n + 1) + rank  # places are sorted by rank within each run
+        left = key[~right]
+        later = key[right]
+        lower = np.searchsorted(left, later, "left") - np.searchsorted(left, later // (n + 1) * (n + 1), "left")
+        whole = np.searchsorted(left, (later // (n + 1) + 1) * (n + 1), "left") - np.searchsorted(left, later // (n + 1) * (n + 1), "left")
+        same = np.searchsorted(left, later, "right") - np.searchsorted(left, later, "left")
+        up += int(lower.sum())
+        down += int((whole - lower - same).sum())
+        order = np.lexsort((rank, pair))
+        rank, width = rank[order], 2 * width
+    return up, down
+
+
+def _nth_slope(v: np.ndarray, k: int) -> float:
+    """The k-th smallest slope, from 1, among all pairs of points (0, v[0]), (1, v[1]), ..: slopes under a bound are counted as
+    falls of what is left of the values above a line of that slope, and the bound is halved in."""
+    x = np.arange(len(v))
+    steps = np.abs(np.diff(v)).max()
+    lo, hi = -steps - 1, steps + 1
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if not lo < mid < hi:
+            break
+        rest = v - mid * x
+        total, (up, _) = len(v) * (len(v) - 1) // 2, rises(rest)
+        if total - up >= k:  # pairs that do not rise have slopes up to mid
+            hi = mid
+        else:
+            lo = mid
+    order = np.lexsort((x, v - hi * x))  # the pair of that slope lies side by side
+    i, j = order[:-1], order[1:]
+    slopes = (v[j] - v[i]) / (j - i)
+    return float(slopes[np.abs(slopes - hi).argmin()])
+
+
+def median_slope(v: np.ndarray) -> float:
+    """Theil and Sen's slope of points at equal steps, without a list of all pairs."""
+    m = len(v) * (len(v) - 1) // 2
+    lower = _nth_slope(v, (m + 1) // 2)
+    return lower if m % 2 else (lower + _nth_slope(v, m // 2 + 1)) / 2
 
 
 def mann_kendall(series: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:
-    """S, tau, two-sided p, Theil-Sen slope and direction of each series; stable under four points.
-
-    Pairs are made inside each series by a join on its keys: series are bucketed (months, days) before, so that a key has
-    at most a few thousand points."""
-    n = _numbered(series.select(*keys, order, F.col(value).alias("v")), keys, order)
-    a, b = n.alias("a"), n.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    pairs = a.join(b, [*same, F.col("a.i") < F.col("b.i")]).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.signum(F.col("b.v") - F.col("a.v")).alias("sign"), ((F.col("b.v") - F.col("a.v")) / (F.col("b.i") - F.col("a.i"))).alias("slope"))
-    sums = pairs.groupBy(*keys).agg(F.sum("sign").alias("s"), F.median("slope").alias("slope"), F.count(F.lit(1)).alias("m"))
-    points = n.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    out = points.join(sums, keys, "left")
+    """S, tau, two-sided p, Theil-Sen slope and direction of each series; stable under four points. Missing values don't count.
+
+    A series is one group: what it holds grows with its points, not with their pairs (see `rises`, `median_slope`). It is
+    bucketed (months, days) before, so that its points are bounded by the calendar."""
+
+    def trend(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values(order)["v"].to_numpy(float)
+        n = len(v)
+        up, down = rises(v) if n >= 4 else (0, 0)
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "n": float(n), "s": float(up - down), "m": n * (n - 1) / 2, "slope": median_slope(v) if n >= 4 else 0.0}])
+
+    rows = series.select(*keys, order, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    types = dict(series.dtypes)
+    out = rows.groupBy(*keys).applyInPandas(trend, ", ".join([*[f"`{k}` {types[k]}" for k in keys], "n double, s double, m double, slope double"]))
     z = S.continuity_z("s", F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18)
     few = F.col("n") < 4
     p = F.when(few, 1.0).otherwise(S.two_sided_p(z))
-    slope = F.when(few, 0.0).otherwise(F.col("slope"))
-    direction = F.when(p >= 0.05, "stable").when(slope > 0, "increasing").otherwise("decreasing")
-    return out.select(*keys, F.when(few, 0.0).otherwise(F.col("s") / F.col("m")).alias("tau"), p.alias("p_value"), slope.alias("slope"), direction.alias("direction"))
+    direction = F.when(p >= 0.05, "stable").when(F.col("slope") > 0, "increasing").otherwise("decreasing")
+    return out.select(*keys, F.when(few, 0.0).otherwise(F.col("s") / F.col("m")).alias("tau"), p.alias("p_value"), "slope", direction.alias("direction"))
 
 
 def seasonal_kendall(series: DataFrame, keys: list[str], month: str = "month", value: str = "value") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from windrow.functions import labels as L
 from windrow.functions import scalars as S
 from windrow.operators import forecast as P
+from windrow.operators import grids as B
 from windrow.operators import layers as Y
 from windrow.operators import results as R
 from windrow.operators import spatial as X
@@ -159,6 +160,34 @@ def bbox_extent(spark, sf):
     return r6(Y.extent(V.geo(spark, sf)))
 
 
+BOUNDARY = """b as (select scope, avg(lat) as la, avg(lng) as ln, min(lat) as s, max(lat) as n, min(lng) as w, max(lng) as e from geo where scope < 2 group by scope),
+c as (select scope, 0 as hole, [ln, e, ln, w] as x, [s, la, n, la] as y from b union all select scope, 1, [ln - 0.05, ln + 0.05, ln + 0.05, ln - 0.05], [la - 0.05, la - 0.05, la + 0.05, la + 0.05] from b),
+e as (select scope, hole, x[i] as x1, y[i] as y1, x[i % 4 + 1] as x2, y[i % 4 + 1] as y2 from c, range(1, 5) t(i))"""
+
+
+def _boundary(spark, sf):
+    """Two lozenges with a square hole each, from the extents of two scopes' places."""
+    b = V.geo(spark, sf).where("scope < 2").groupBy("scope").agg(F.avg("lat").alias("la"), F.avg("lng").alias("ln"), F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lng").alias("w"), F.max("lng").alias("e"))
+    ring = lambda *at: F.array(*[F.struct(F.expr(x).alias("x"), F.expr(y).alias("y")) for x, y in at])
+    outline, hole = ring(("ln", "s"), ("e", "la"), ("ln", "n"), ("w", "la")), ring(("ln - 0.05", "la - 0.05"), ("ln + 0.05", "la - 0.05"), ("ln + 0.05", "la + 0.05"), ("ln - 0.05", "la + 0.05"))
+    return b.select(F.array(outline, hole).alias("rings"))
+
+
+@query("geo", f"""with {BOUNDARY}, x as (select round(min(y1), 6) as south, round(min(x1), 6) as west, round(max(y1), 6) as north, round(max(x1), 6) as east from e),
+d as (select *, 5 / 110.574::double as dlat, 5 / (111.32::double * greatest(cos(radians((south + north) / 2)), 0.25)) as dlng from x),
+r as (select *, unnest(range(0, floor((north - south - dlat / 2) / dlat)::bigint + 1)) as row from d), q as (select *, unnest(range(0, floor((east - west - dlng / 2) / dlng)::bigint + 1)) as col from r),
+g as (select *, south + dlat / 2 + row * dlat as lat, west + dlng / 2 + col * dlng as lng from q),
+h as (select row, col, scope, hole, count(*) filter ((y1 > lat) <> (y2 > lat) and lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1 as hit from g, e group by all),
+k as (select row, col from h o where hole = 0 and hit and not exists (select 1 from h i where i.row = o.row and i.col = o.col and i.scope = o.scope and i.hole = 1 and i.hit) group by all)
+select format('r{{:03d}}c{{:03d}}', row, col) as cell_id, row, col, round(lat, 6) as lat, round(lng, 6) as lng, round(radians(lng - west) * cos(radians(south)) * 6371000, 3) as x, round(radians(lat - south) * 6371000, 3) as y,
+  round(lng - dlng / 2, 6) as ring_west, round(lat - dlat / 2, 6) as ring_south, round(lng + dlng / 2, 6) as ring_east, round(lat + dlat / 2, 6) as ring_north from g join k using (row, col)""")
+def clipped_grid(spark, sf):
+    out = B.clipped(_boundary(spark, sf), V.geo(spark, sf))
+    corner = lambda i, c: S.rounded(F.col("ring")[i][c])
+    out = out.select("cell_id", "row", "col", S.rounded("lat").alias("lat"), S.rounded("lng").alias("lng"), "x", "y", corner(0, "x").alias("ring_west"), corner(0, "y").alias("ring_south"), corner(2, "x").alias("ring_east"), corner(2, "y").alias("ring_north"))
+    return out
+
+
 WIDTHS_SQL = "case category when 'primary' then 12.0::double else 6.0::double end"
 CTX = f"""{GRID_SQL}, {LINES}, c as (select cell_id, {_x('lng')} as x, {_y('lat')} as y from g),
 r as (select *, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) as length from (select {_x('lng1')} as x1, {_y('lat1')} as y1, {_x('lng2')} as x2, {_y('lat2')} as y2, {WIDTHS_SQL} as width from s)),

@@ -150,6 +150,17 @@ def mann_kendall(spark, sf):
     return r6(T.mann_kendall(V.monthly(spark, sf), ["pollutant"], "month"))
 
 
+@query("network_daily", f"""with n as (select *, row_number() over (partition by pollutant order by day) as i from network_daily),
+p as (select a.pollutant, sign(b.value - a.value) as s, (b.value - a.value) / (b.i - a.i) as slope from n a join n b on a.pollutant = b.pollutant and a.i < b.i),
+c as (select pollutant, count(*)::double as n from n group by 1),
+g as (select c.pollutant, any_value(n) as n, sum(s) as s, count(*) as m, median(slope) as slope from p join c on p.pollutant = c.pollutant group by 1),
+z as (select *, case when s > 0 then (s - 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18) when s < 0 then (s + 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18) else 0 end as z from g),
+q as (select *, {P_OF} as p from z)
+select pollutant, round(s / m, 6)::double as tau, round(p, 6)::double as p_value, round(slope, 6) as slope, case when p >= 0.05 then 'stable' when slope > 0 then 'increasing' else 'decreasing' end as direction from q""")
+def mann_kendall_daily(spark, sf):
+    return r6(T.mann_kendall(V.network_daily(spark, sf), ["pollutant"], "day"))
+
+
 @query("monthly", f"""with n as (select pollutant, month(month) as season, year(month) as y, value from monthly),
 p as (select a.pollutant, sign(b.value - a.value) as s, (b.value - a.value) / (b.y - a.y) as slope from n a join n b on a.pollutant = b.pollutant and a.season = b.season and a.y < b.y),
 v as (select pollutant, sum(n * (n - 1) * (2 * n + 5) / 18) as v, count(*) as k from (select pollutant, season, count(*)::double as n from n group by all having count(*) >= 2) group by pollutant),
