@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from windrow.functions import geo as G
 from windrow.functions import scalars as S
+from windrow.operators.components import components
 from windrow.operators.nearby import paired
+from windrow.operators.tables import written
 
 
 def distances(points: DataFrame, keys: list[str] | None = None, pid: str = "id") -> DataFrame:
@@ -244,13 +246,20 @@ def clusters(hotspots: DataFrame, max_days: int = 3, max_km: float = 20.0) -> Da
     cluster whose latest member is at most max_days and max_km away; else it begins one.
 
     (session, cluster, start, end, lat, lng, radius_km, confidence, hotspots). Order decides, so hotspots are gone through one
-    by one, but only within a session: where no hotspot is seen for more than max_days, all clusters have ended. Sessions
-    come from the list of days with hotspots, one row for each. Clusters are numbered in order within their session; a
-    cluster's radius is 2 km or more."""
+    by one, but only within a component: hotspots that chains of steps in space and time connect, of boxes as wide as max_km and
+    as long as max_days that touch; no cluster reaches over it. A session ends where no hotspot is seen for more than max_days;
+    clusters are numbered in order within theirs, and a cluster's radius is 2 km or more."""
     days = hotspots.select(F.to_date("ts").alias("day")).distinct()
     by_day = Window.orderBy("day")  # a row for each day
     new = (F.datediff("day", F.lag("day").over(by_day)) > max_days + 1).cast("int")
     sessions = days.withColumn("new", F.coalesce(new, F.lit(0))).withColumn("session", F.sum("new").over(by_day)).drop("new")
+    span = F.floor(F.unix_timestamp("ts") / (86_400 * max_days)).alias("span")
+    placed = hotspots.select("*", span, G.cube("lat", "lng", 1000.0 * max_km).alias("box"))
+    boxes = placed.select("span", "box").distinct().withColumn("node", F.xxhash64("span", "box"))
+    steps = [F.lit(i).cast("long") for i in (-1, 0, 1)]
+    touching = F.array(*[F.struct((F.col("box.x") + i).alias("x"), (F.col("box.y") + j).alias("y"), (F.col("box.z") + k).alias("z")) for i in steps for j in steps for k in steps])
+    around = boxes.select(F.col("node").alias("a"), F.explode(F.sequence(F.col("span") - 1, F.col("span") + 1)).alias("span"), touching.alias("box")).select("a", "span", F.explode("box").alias("box"))
+    found = components(around.join(boxes, ["span", "box"]).where("a < node").select("a", F.col("node").alias("b")))
 
     def away(lat, lng, lats, lngs):
         h = np.sin(np.radians(lats - lat) / 2) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(lats)) * np.sin(np.radians(lngs - lng) / 2) ** 2
@@ -274,9 +283,16 @@ def clusters(hotspots: DataFrame, max_days: int = 3, max_km: float = 20.0) -> Da
         for c, own in pdf.groupby(of):
             mid = own["lat"].mean(), own["lng"].mean()
             radius = max(2.0, float(away(*mid, own["lat"].to_numpy(), own["lng"].to_numpy()).max()))
-            rows.append((int(own["session"].iloc[0]), int(c), own["ts"].iloc[0], own["ts"].iloc[-1], round(mid[0], 6), round(mid[1], 6), round(radius, 2), round(float(own["confidence"].mean()) / 100, 4), len(own)))
-        return pd.DataFrame(rows, columns=["session", "cluster", "start", "end", "lat", "lng", "radius_km", "confidence", "hotspots"])
-
-    time = dict(hotspots.dtypes)["ts"]
-    joined = hotspots.withColumn("day", F.to_date("ts")).join(F.broadcast(sessions), "day")  # days of a history: some ten thousand at most
-    return joined.groupBy("session").applyInPandas(run, f"session long, cluster long, start {time}, end {time}, lat double, lng double, radius_km double, confidence double, hotspots long")
+            rows.append((int(own["session"].iloc[0]), own["id"].iloc[0], own["ts"].iloc[0], own["ts"].iloc[-1], round(mid[0], 6), round(mid[1], 6), round(radius, 2), round(float(own["confidence"].mean()) / 100, 4), len(own)))
+        return pd.DataFrame(rows, columns=["session", "first", "start", "end", "lat", "lng", "radius_km", "confidence", "hotspots"])
+
+    types = dict(hotspots.dtypes)
+    joined = placed.withColumn("day", F.to_date("ts")).join(F.broadcast(sessions), "day")  # days of a history: some ten thousand at most
+    joined = joined.withColumn("node", F.xxhash64("span", "box")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    each = joined.select("component", "session", "id", "ts", "lat", "lng", "confidence").groupBy("component").applyInPandas(run, f"session long, first {types['id']}, start {types['ts']}, end {types['ts']}, lat double, lng double, radius_km double, confidence double, hotspots long")
+    each = written(each.withColumn("day", F.to_date("start")), "clusters")
+    # numbers within a session: those of the days before, and the place in the own day
+    before = each.groupBy("session", "day").agg(F.count(F.lit(1)).alias("n")).select("session", "day", F.coalesce(F.sum("n").over(Window.partitionBy("session").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("session", "day").orderBy("start", "first")) - 1
+    numbered = each.withColumn("own", own).join(before, ["session", "day"])
+    return numbered.select("session", (F.col("before") + F.col("own")).alias("cluster"), "start", "end", "lat", "lng", "radius_km", "confidence", "hotspots")

@@ -34,7 +34,7 @@ def coverage_slices(events: DataFrame, start: str, end: str) -> DataFrame:
     start_day, end_day) that touches it. Only the days from from_day to to_day lie in the coverage."""
     spark = events.sparkSession
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    months = spark.range(1).select(F.explode(F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month"))).alias("start_day"))
+    months = spark.range(1).select(F.explode(F.sequence(F.trunc(first, "month"), F.trunc(F.greatest(first, last), "month"), F.expr("interval 1 month"))).alias("start_day"))
     label = F.date_format("start_day", "yyyy-MM")
     months = months.where(first <= last).select(F.concat(F.lit("month-"), label).alias("slice_id"), F.lit("month").alias("kind"), label.alias("label"), "start_day", F.last_day("start_day").alias("end_day"))
     own = events.select(F.col("event_id").cast("string").alias("label"), "start_day", "end_day").where((F.col("end_day") >= first) & (F.col("start_day") <= last))
