@@ -211,3 +211,55 @@ def buffers(points: DataFrame, features: DataFrame, radii: tuple[int, ...] = (25
     sums = inside.groupBy("id", "radius").agg(F.count(F.lit(1)).alias("features"), F.sum("area").alias("area"))
     each = points.select("id", F.explode(F.array(*map(F.lit, radii))).alias("radius"))
     return each.join(sums, ["id", "radius"], "left").fillna({"features": 0, "area": 0.0})
+
+
+#: Radii of the surroundings of stations.
+BUFFERS = (250, 500, 1000)
+
+
+def road_features(sides: DataFrame) -> DataFrame:
+    """Sides of roads (category, lat1, lng1, lat2, lng2, metres) as features of `station_buffers`, each at its middle."""
+    width = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i in ROAD_WIDTHS.items() for x in i]), F.col("category")), F.lit(OTHER_WIDTH))
+    middle = [((F.col(f"{c}1") + F.col(f"{c}2")) / 2).alias(c) for c in ("lat", "lng")]
+    return sides.select(F.lit("road").alias("kind"), *middle, (F.col("metres") * width).alias("area"), F.col("metres").alias("length"))
+
+
+def station_buffers(stations: DataFrame, features: DataFrame, heights: DataFrame, radii: tuple[int, ...] = BUFFERS) -> DataFrame:
+    """(id, radius, building_density, road_density, green_ratio, impervious_ratio, industry_count, mean_elevation, slope_mean) around
+    each station (id, lat, lng) for each radius.
+
+    features are (kind, lat, lng, area, length): buildings, greens and industries (kind building, green, industry; at their centroid
+    with an area, or industries at a point without one) and sides of roads (`road_features`). One join by boxes of the largest
+    radius finds those in reach; each counts in the smallest radius that it is in, and larger radii are sums of smaller ones.
+    heights are (id, radius, sample, elevation) of `radius_samples`, sample 0 the station's own: their mean, and the mean slope to the
+    others, at seven tenths of the radius. What isn't there counts as 0; without heights they are null."""
+    far = float(max(radii))
+    at = ["_x", "_y", "_z"]
+    globe = lambda lat, lng: [x.alias(n) for x, n in zip(N.globe(lat, lng), at, strict=True)]
+    own = stations.select("id", "lat", "lng", *globe("lat", "lng"))
+    others = features.select("kind", F.col("lat").alias("flat"), F.col("lng").alias("flng"), F.coalesce("area", F.lit(0.0)).alias("area"), F.coalesce("length", F.lit(0.0)).alias("length"), *globe("lat", "lng"))
+    d = G.haversine_m("lat", "lng", "flat", "flng")
+    near = N.within(own, others, at, far).withColumn("d", d)
+    ring = F.coalesce(*[F.when(F.col("d") <= r, r) for r in sorted(radii)])
+    kinds = ("building", "green", "industry", "road")
+    area = [F.sum(F.when(F.col("kind") == k, F.col("area")).otherwise(0.0)).alias(k) for k in kinds]
+    rings = near.withColumn("radius", ring).where("radius is not null").groupBy("id", "radius").agg(*area, F.sum("length").alias("length"), F.count_if(F.col("kind") == "industry").alias("industries"))
+    each = own.select("id", F.explode(F.array(*map(F.lit, sorted(radii)))).alias("radius")).join(rings, ["id", "radius"], "left")
+    to = Window.partitionBy("id").orderBy("radius").rowsBetween(Window.unboundedPreceding, 0)
+    sums = each.select("id", "radius", *[F.coalesce(F.sum(c).over(to), F.lit(0.0)).alias(c) for c in (*kinds, "length")], F.coalesce(F.sum("industries").over(to), F.lit(0)).cast("long").alias("industries"))
+    base = F.max(F.when(F.col("sample") == 0, F.col("elevation"))).over(Window.partitionBy("id", "radius"))
+    slope = F.when(F.col("sample") > 0, F.degrees(F.atan(F.abs(F.col("elevation") - F.col("base")) / (F.col("radius") * 0.7))))
+    relief = heights.withColumn("base", base).groupBy("id", "radius").agg(F.avg("elevation").alias("mean"), F.coalesce(F.avg(slope), F.lit(0.0)).alias("slope"))
+    circle = F.lit(3.141592653589793) * F.col("radius") * F.col("radius")
+    share = lambda x: F.round(F.least(F.lit(1.0), x / circle), 4)
+    return sums.join(relief, ["id", "radius"], "left").select(
+        "id",
+        F.col("radius").cast("long").alias("radius"),
+        F.round(F.col("building") / circle, 4).alias("building_density"),
+        F.round(F.col("length") / 1000 / (circle / 1_000_000), 4).alias("road_density"),
+        share(F.col("green")).alias("green_ratio"),
+        share(F.col("building") + F.col("industry") + F.col("road")).alias("impervious_ratio"),
+        F.col("industries").alias("industry_count"),
+        F.round("mean", 2).alias("mean_elevation"),
+        F.round("slope", 2).alias("slope_mean"),
+    )

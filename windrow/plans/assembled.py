@@ -15,6 +15,7 @@ from windrow.operators import temporal as T
 from windrow.plans import catalogue as C
 from windrow.plans import views as V
 from windrow.plans.catalogue import GRID, GRID_SQL, query, r6
+from windrow.sources import landed
 
 
 # labels --------------------------------------------------------------------------------------------------------------
@@ -80,11 +81,10 @@ def orderings(spark, sf):
 
 
 # layers --------------------------------------------------------------------------------------------------------------
-@query("", "select s::date as start_day, least(s::date + 89, date '2025-03-10') as end_day from (select unnest(generate_series(date '2024-01-01', date '2025-03-10', interval 90 days)) as s)")
+@query("", "with e as (select min(l_shipdate)::date as lo, max(l_shipdate)::date as hi from lineitem), s as (select hi, unnest(generate_series(lo, hi, interval 90 days))::date as s from e) select s as start_day, least(s + 89, hi) as end_day from s")
 def rolling_windows(spark, sf):
-    lo, hi = F.lit("2024-01-01").cast("date"), F.lit("2025-03-10").cast("date")
-    starts = spark.range(1).select(F.explode(F.sequence(lo, hi, F.expr("interval 90 days"))).alias("start_day"))
-    return starts.select("start_day", F.least(F.date_add("start_day", 89), hi).alias("end_day"))
+    days = V.table(spark, sf, "lineitem").agg(F.to_date(F.min("l_shipdate")).alias("start_day"), F.to_date(F.max("l_shipdate")).alias("end_day"))
+    return landed.spans(days, landed.SENSOR_DAYS).select("start_day", "end_day")
 
 
 @query("geo", """with d as (select id, lat, lng, unnest(range(-45, 360, 45)) as angle, 350.0::double / 6371000 as d from geo),
@@ -188,6 +188,29 @@ def clipped_grid(spark, sf):
     return out
 
 
+RADII = (2500, 5000, 10000)
+KIND_OF = {1: "building", 2: "green", 3: "industry"}
+
+
+@query("geo", f"""with {LINES}, w as (select id, category, (lat1 + lat2) / 2 as lat, (lng1 + lng2) / 2 as lng, {V.haversine('lat1', 'lng1', 'lat2', 'lng2')} as metres from s),
+f as (select case scope when 1 then 'building' when 2 then 'green' else 'industry' end as kind, lat, lng, case when scope = 3 and id % 8 = 3 then 0 else id * 20000.0::double end as area, 0.0::double as length from geo where scope > 0
+  union all select 'road', lat, lng, metres * case category when 'primary' then 12.0::double else 6.0::double end, metres from w),
+d as (select p.id, f.kind, area, length, {V.haversine('p.lat', 'p.lng', 'f.lat', 'f.lng')} as d from geo p, f where p.scope = 0),
+r as (select id, radius, pi() * radius * radius as circle from geo, (select unnest([2500, 5000, 10000])::bigint as radius) where scope = 0),
+a as (select r.id, r.radius, any_value(circle) as circle, coalesce(sum(area) filter (kind = 'building'), 0) as b, coalesce(sum(area) filter (kind = 'green'), 0) as g, coalesce(sum(area) filter (kind = 'industry'), 0) as i, coalesce(sum(area) filter (kind = 'road'), 0) as w, coalesce(sum(length), 0) as l, count(*) filter (kind = 'industry') as n
+  from r left join d on r.id = d.id and d <= radius group by r.id, r.radius),
+h as (select id, radius, sample, ((id * 13 + sample * 7 + radius // 100) % 900)::double as e from r, range(9) t(sample)), m as (select h.id, h.radius, avg(h.e) as mean, avg(degrees(atan(abs(h.e - o.e) / (h.radius * 0.7::double)))) filter (h.sample > 0) as slope from h join h o on h.id = o.id and h.radius = o.radius and o.sample = 0 group by h.id, h.radius)
+select a.id, a.radius, round(b / circle, 4)::double as building_density, round(l / 1000 / (circle / 1000000), 4)::double as road_density, round(least(1, g / circle), 4)::double as green_ratio, round(least(1, (b + i + w) / circle), 4)::double as impervious_ratio, n as industry_count, round(mean, 2) as mean_elevation, round(slope, 2) as slope_mean from a join m on a.id = m.id and a.radius = m.radius""")
+def station_buffers(spark, sf):
+    g = V.geo(spark, sf)
+    kind = F.create_map(*[F.lit(x) for pair in KIND_OF.items() for x in pair])[F.col("scope").cast("int")]
+    places = g.where("scope > 0").select(kind.alias("kind"), "lat", "lng", F.when((F.col("scope") == 3) & (F.col("id") % 8 == 3), F.lit(None)).otherwise(F.col("id") * 20000.0).alias("area"), F.lit(None).cast("double").alias("length"))
+    stations = g.where("scope = 0")
+    each = stations.select("id", F.explode(F.array(*map(F.lit, RADII))).alias("radius"), F.sequence(F.lit(0), F.lit(8)).alias("samples")).select("id", "radius", F.explode("samples").alias("sample"))
+    heights = each.withColumn("elevation", ((F.col("id") * 13 + F.col("sample") * 7 + F.floor(F.col("radius") / 100)) % 900).cast("double"))
+    return Y.station_buffers(stations, places.unionByName(Y.road_features(Y.segments(_lines(spark, sf)))), heights, RADII)
+
+
 WIDTHS_SQL = "case category when 'primary' then 12.0::double else 6.0::double end"
 CTX = f"""{GRID_SQL}, {LINES}, c as (select cell_id, {_x('lng')} as x, {_y('lat')} as y from g),
 r as (select *, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) as length from (select {_x('lng1')} as x1, {_y('lat1')} as y1, {_x('lng2')} as x2, {_y('lat2')} as y2, {WIDTHS_SQL} as width from s)),

@@ -9,11 +9,13 @@ from windrow.functions import geo as G
 from windrow.functions import scalars as S
 from windrow.operators import events as E
 from windrow.operators import forecast as P
+from windrow.operators import grids as B
 from windrow.operators import nearby as N
 from windrow.operators import quality as Q
 from windrow.operators import spatial as X
 from windrow.operators import temporal as T
 from windrow.plans import views as V
+from windrow.sources import landed
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -297,11 +299,16 @@ def point_in_polygon(spark, sf):
     return V.geo(spark, sf).select("id", G.in_ring("lng", "lat", _ring()).alias("inside"))
 
 
-@query("", f"""select round(abs(sum(x1::double * y2 - x2::double * y1)) / 2, 6) as area, round(sum((x1 + x2)::double * (x1::double * y2 - x2::double * y1)) / (3 * sum(x1::double * y2 - x2::double * y1)), 6) as cx,
-  round(sum((y1 + y2)::double * (x1::double * y2 - x2::double * y1)) / (3 * sum(x1::double * y2 - x2::double * y1)), 6) as cy from {_SIDES}""")
+@query("geo", """with r as (select id, [lng, lng + a, lng + a, lng] as x, [lat, lat, lat + b, lat + 2 * b] as y from (select id, lng, lat, (id % 5 + 1) / 100.0::double as a, (id % 3 + 1) / 100.0::double as b from geo)),
+e as (select id, x[i] - x[1] as x1, y[i] - y[1] as y1, x[i % 4 + 1] - x[1] as x2, y[i % 4 + 1] - y[1] as y2, x[1] as x0, y[1] as y0 from r, range(1, 5) t(i))
+select id, round(abs(sum(x1 * y2 - x2 * y1)) / 2, 6) as area, round(any_value(x0) + sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)), 4) as cx, round(any_value(y0) + sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)), 4) as cy from e group by id""")
 def polygon_area_centroid(spark, sf):
-    cx, cy = G.ring_centroid(_ring())
-    return r6(spark.range(1).select(G.ring_area(_ring()).alias("area"), cx.alias("cx"), cy.alias("cy")))
+    a, b = (F.col("id") % 5 + 1) / 100.0, (F.col("id") % 3 + 1) / 100.0
+    corner = lambda x, y: F.struct((F.col("lng") + x).alias("x"), (F.col("lat") + y).alias("y"))
+    zero = F.lit(0.0)
+    ring = F.array(corner(zero, zero), corner(a, zero), corner(a, b), corner(zero, 2 * b))
+    cx, cy = G.ring_centroid(F.col("ring"))
+    return V.geo(spark, sf).withColumn("ring", ring).select("id", S.rounded(G.ring_area(F.col("ring"))).alias("area"), F.round(cx, 4).alias("cx"), F.round(cy, 4).alias("cy"))
 
 
 @query("geo", """with t as (select id, lng, lat, greatest(0, least(1, ((lng - 28.5) * 1.0 + (lat - 39.9) * 0.5) / 1.25)) as t from geo) select id, round(sqrt(power(lng - 28.5 - t * 1.0, 2) + power(lat - 39.9 - t * 0.5, 2)), 6) as distance from t""")
@@ -329,9 +336,14 @@ GRID_SQL = f"g as (select format('r{{:03d}}c{{:03d}}', i // {_COLS}, i % {_COLS}
 GRID_CTE = f"with {GRID_SQL}"
 
 
-@query("", f"with {GRID_SQL} select cell_id, round(lat, 6) as lat, round(lng, 6) as lng from g")
+EXTENT_SQL = "x as (select round(min(lat) - 0.05, 6) as south, round(min(lng) - 0.05, 6) as west, round(max(lat) + 0.05, 6) as north, round(max(lng) + 0.05, 6) as east from geo)"
+
+
+@query("geo", f"""with {EXTENT_SQL}, d as (select *, 5 / 110.574::double as dlat, 5 / (111.32::double * greatest(cos(radians((south + north) / 2)), 0.25)) as dlng from x),
+r as (select *, unnest(range(0, floor((north - south - dlat / 2) / dlat)::bigint + 1)) as row from d), q as (select *, unnest(range(0, floor((east - west - dlng / 2) / dlng)::bigint + 1)) as col from r)
+select format('r{{:03d}}c{{:03d}}', row, col) as cell_id, round(south + dlat / 2 + row * dlat, 6) as lat, round(west + dlng / 2 + col * dlng, 6) as lng from q""")
 def grid_cells(spark, sf):
-    return r6(X.grid(spark, *GRID).select("cell_id", "lat", "lng"))
+    return r6(B.cells(B.extent(None, V.geo(spark, sf))).select("cell_id", "lat", "lng"))
 
 
 IDW = f"with {GRID_SQL}, w as (select scope, cell_id, value, 1 / power(greatest({V.haversine('g.lat', 'g.lng', 's.lat', 's.lng')}, 1.0), 2) as w from g, geo s), f as (select scope, cell_id, sum(value * w) / sum(w) as value from w group by all)"
@@ -536,11 +548,11 @@ def scalars_bands(spark, sf):
     return r6(out)
 
 
-@query("", """with e as (select unnest(generate_series(date '2021-03-15', date '2022-05-20', interval 1 month)) as m) select greatest(date_trunc('month', m)::date, date '2021-03-15') as start_day, least(last_day(m::date), date '2022-05-20') as end_day from e""")
+@query("", """with e as (select min(o_orderdate)::date as lo, max(o_orderdate)::date as hi from orders), m as (select lo, hi, unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), interval 1 month))::date as m from e)
+select greatest(m, lo) as start_day, least(last_day(m), hi) as end_day from m""")
 def month_windows(spark, sf):
-    lo, hi = F.lit("2021-03-15").cast("date"), F.lit("2022-05-20").cast("date")
-    m = spark.range(1).select(F.explode(F.sequence(F.trunc(lo, "month"), F.trunc(hi, "month"), F.expr("interval 1 month"))).alias("m"))
-    return m.select(F.greatest("m", lo).alias("start_day"), F.least(F.last_day("m"), hi).alias("end_day"))
+    days = V.table(spark, sf, "orders").agg(F.to_date(F.min("o_orderdate")).alias("start_day"), F.to_date(F.max("o_orderdate")).alias("end_day"))
+    return landed.months(days).select("start_day", "end_day")
 
 
 @query("daily", "select pollutant, count(*) as n, round(avg(value), 6) as mean, round(coalesce(stddev_samp(value), 0), 6) as sd, round(coalesce(var_samp(value), 0), 6) as variance, round(median(value), 6) as median from daily group by 1")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from windrow.operators import grids as B
 from windrow.operators import spatial as X
+from windrow.plans import catalogue as C
 from windrow.plans import views as V
-from windrow.plans.catalogue import GRID, query, r6
+from windrow.plans.catalogue import query, r6
 from windrow.sources import networks as N
 
 
@@ -15,9 +17,9 @@ def kriging_support(spark, sf):
     return X.kriging_gate(V.geo(spark, sf), ["scope"])
 
 
-@query("", f"select i as cell, round({GRID[0]}::double + (i // 6 + 0.5::double) * ({GRID[2]}::double - {GRID[0]}::double) / 6, 6) as lat, round({GRID[1]}::double + (i % 6 + 0.5::double) * ({GRID[3]}::double - {GRID[1]}::double) / 6, 6) as lng from range(36) t(i)")
+@query("geo", f"with {C.EXTENT_SQL} select i as cell, round(south + (i // 6 + 0.5::double) * (north - south) / 6, 6) as lat, round(west + (i % 6 + 0.5::double) * (east - west) / 6, 6) as lng from x, range(36) t(i)")
 def elevation_grid(spark, sf):
-    return r6(N.elevation_grid(spark, *GRID).drop("ring"))
+    return r6(N.elevation_cells(B.extent(None, V.geo(spark, sf))).drop("ring"))
 
 
 @query("air", """select 'modeled-' || station as station, pollutant, day, round(avg(v) + 1e-9, 4) as value, 'ug/m3' as unit, 'estimated' as quality_flag

@@ -170,31 +170,34 @@ def _contexts(cells):
     return k.selectExpr("cell_id", "u as road_density", "1 - u as green_ratio", "u / 2 as impervious_ratio", "u / 4 as proximity_index", "m as nearest_primary_road_m", "m * 2 as nearest_industry_m", "cast(m as bigint) % 5 as industry_count", "m as mean_elevation_m", "u * 10 as slope_mean")
 
 
-RISK = "r as (select cell_id, (row_number() over (order by cell_id) * 29 % 100) / 100.0::double as score from g where cell_id < 'r015'), j as (select g.cell_id, lat, lng, score, case when score >= 0.75 then 'Cok yuksek' when score >= 0.55 then 'Yuksek' when score >= 0.35 then 'Orta' else 'Dusuk' end as label, score / 2 as part, c.* exclude (cell_id) from g join r on g.cell_id = r.cell_id left join c on c.cell_id = g.cell_id)"
+RISK = f"""f as ({C.ORACLES["idw_surface"]}), ctx as ({C.ORACLES["cell_context"]}), r as (select cell_id, round(least(1, value / 100000), 3)::double as score from f where scope = 0 and value >= 40000),
+j as (select g.cell_id, lat, lng, score, case when score >= 0.75 then 'Cok yuksek' when score >= 0.55 then 'Yuksek' when score >= 0.35 then 'Orta' else 'Dusuk' end as label, score / 2 as part,
+  road_density, green_ratio, impervious_ratio, nearest_road_m as nearest_primary_road_m, nearest_industry_m, industry_count from g join r on g.cell_id = r.cell_id left join (select * from ctx where nearest_industry_m < 12000) c on c.cell_id = g.cell_id)"""
 ABOUT = "'PM10' as pollutant, '2024-01' as slice_label, 'month' as analysis_mode, 'physical' as training_scope"
 FIXED = {"pollutant": "PM10", "slice_label": "2024-01", "analysis_mode": "month", "training_scope": "physical"}
 PARTS = ("pollution_component", "hotspot_component", "proximity_component", "green_deficit", "topographic_compression")
 
 
-def _risks(spark):
+def _risks(spark, sf):
+    """Cells whose value has a risk, with the context of those that are near industry."""
     cells = X.grid(spark, *C.GRID)
-    i = F.col("row") * C._COLS + F.col("col") + 1
-    risks = cells.where("cell_id < 'r015'").select("cell_id", (i * 29 % 100 / 100.0).alias("score")).withColumn("label", S.risk_label("score"))
-    for part in PARTS:
-        risks = risks.withColumn(part, F.col("score") / 2)
-    return L.risk_cells(cells.select("cell_id", "lat", "lng"), _contexts(cells), risks)
+    value = F.round("value", 4)
+    risks = X.idw(cells, V.geo(spark, sf).where("scope = 0")).where(value >= 40000).select("cell_id", F.round(F.least(F.lit(1.0), value / 100000), 3).alias("score")).withColumn("label", S.risk_label("score"))
+    risks = risks.select("*", *[(F.col("score") / 2).alias(part) for part in PARTS])
+    contexts = A._contexts(spark, sf).where("nearest_industry_m < 12000").withColumnRenamed("nearest_road_m", "nearest_primary_road_m").drop("elevation", "slope")
+    return L.risk_cells(cells.select("cell_id", "lat", "lng"), contexts, risks)
 
 
-@query("", f"""with {C.GRID_SQL}, {CTX}, {RISK} select cell_id, round(lat, 6) as lat, round(lng, 6) as lng, score, label, coalesce(road_density, 0)::double as road_density, coalesce(industry_count, 0)::bigint as industry_count, nearest_industry_m from j""")
+@query("", f"""with {C.GRID_SQL}, {RISK} select cell_id, round(lat, 6) as lat, round(lng, 6) as lng, score, label, coalesce(road_density, 0)::double as road_density, coalesce(industry_count, 0)::bigint as industry_count, nearest_industry_m from j""")
 def cells_enriched(spark, sf):
-    out = _risks(spark).select("cell_id", "lat", "lng", "score", "label", "road_density", F.col("industry_count").cast("long").alias("industry_count"), "nearest_industry_m")
+    out = _risks(spark, sf).select("cell_id", "lat", "lng", "score", "label", "road_density", F.col("industry_count").cast("long").alias("industry_count"), "nearest_industry_m")
     return out.withColumns({"lat": S.rounded("lat"), "lng": S.rounded("lng")})
 
 
-@query("", f"""with {C.GRID_SQL}, {CTX}, {RISK} select cell_id, {ABOUT}, round(lat, 6) as lat, round(lng, 6) as lng, round(score, 4) as risk_score, label as risk_label, {', '.join(f'round(part, 4) as {p}' for p in PARTS)},
+@query("", f"""with {C.GRID_SQL}, {RISK} select cell_id, {ABOUT}, round(lat, 6) as lat, round(lng, 6) as lng, round(score, 4) as risk_score, label as risk_label, {', '.join(f'round(part, 4) as {p}' for p in PARTS)},
   {', '.join(f'round(coalesce({c}, 0), 4)::double as {c}' for c in ('road_density', 'green_ratio', 'impervious_ratio'))}, nearest_primary_road_m, nearest_industry_m, coalesce(industry_count, 0)::bigint as industry_count_3km from j""")
 def export_risk(spark, sf):
-    return L.risk_rows(_risks(spark), **FIXED).withColumns({"lat": S.rounded("lat"), "lng": S.rounded("lng")})
+    return L.risk_rows(_risks(spark, sf), **FIXED).withColumns({"lat": S.rounded("lat"), "lng": S.rounded("lng")})
 
 
 @query("geo", f"""with {C.IDW[5:]}, {CTX}, v as (select cell_id, value from f where scope = 0), e as (select g.cell_id, lat, lng, value, value / max(value) over () as load, c.* exclude (cell_id) from g join v on v.cell_id = g.cell_id left join c on c.cell_id = g.cell_id)
@@ -220,15 +223,16 @@ def export_stats(spark, sf):
     return L.stats_rows(spots, found, ["scope"], **FIXED)
 
 
-DRIVERS = "a as (select scope, d as driver, 'driver ' || d as driver_label, round(((scope * 37 + d * 53) % 19 - 9) / 9.0::double, 6) as coefficient, round(0.5 + scope / 10.0, 6)::double as r2, (scope * 90)::double as wind from range(4) s(scope), range(7) t(d))"
+DRIVERS = "a as (select scope, driver, 'driver ' || driver as driver_label, round(corr(value, x), 6) as coefficient, round(power(corr(value, x), 2), 6) as r2, (sum(id) * 7 % 360)::double as wind from (select scope, id, value, unnest(['lat', 'lng', 'id']) as driver, unnest([lat, lng, id::double]) as x from geo) group by scope, driver)"
 
 
-@query("", f"""with {DRIVERS}, b as (select *, row_number() over (partition by scope order by abs(coefficient) desc, driver) as r from a)
+@query("geo", f"""with {DRIVERS}, b as (select *, row_number() over (partition by scope order by abs(coefficient) desc, driver) as r from a)
 select scope, {ABOUT}, round(r2, 4) as model_score, wind as prevailing_wind_direction, driver as driver_key, driver_label, round(coefficient, 4) as standardized_coefficient, first_value(case when abs(coefficient) > 0 then driver end) over (partition by scope order by r) as dominant_driver, r as driver_rank from b""")
 def export_drivers(spark, sf):
-    rows = spark.range(4).select(F.col("id").alias("scope")).join(spark.range(7).select(F.col("id").alias("driver")))
-    value = ((F.col("scope") * 37 + F.col("driver") * 53) % 19 - 9) / 9.0
-    rows = rows.select("scope", "driver", F.concat(F.lit("driver "), F.col("driver").cast("string")).alias("driver_label"), F.round(value, 6).alias("coefficient"), (0.5 + F.col("scope") / 10.0).alias("r2"), (F.col("scope") * 90).cast("double").alias("wind"))
+    rows = V.geo(spark, sf).select("scope", F.col("id").alias("n"), "value", F.col("id").cast("double").alias("id"), "lat", "lng").unpivot(["scope", "n", "value"], ["lat", "lng", "id"], "driver", "x")
+    r = F.corr("value", "x")
+    rows = rows.groupBy("scope", "driver").agg(S.rounded(r).alias("coefficient"), S.rounded(r * r).alias("r2"), (F.sum("n") * 7 % 360).cast("double").alias("wind"))
+    rows = rows.withColumn("driver_label", F.concat(F.lit("driver "), "driver"))
     return L.driver_rows(rows, ["scope"], **FIXED)
 
 
@@ -265,13 +269,14 @@ def event_impact_top(spark, sf):
     return L.impact_order(C.event_impact(spark, sf).where("event_id = 2"), 5)
 
 
-REFS = [(1, "NASA FIRMS", "https://b.example.org"), (2, "curated", "https://a.example.org"), (3, "curated", "https://b.example.org"), (4, "curated", None), (5, "NASA EONET", "")]
 
 
-@query("", f"""with e(event_id, source, reference_url) as (values {', '.join(str(r).replace('None', 'null') for r in REFS)})
+@query("", """with e as (select page_id as event_id, case when page_id % 5 = 0 then 'NASA FIRMS' else 'curated' end as source, case when page_id % 7 > 0 then url else '' end as reference_url from pages)
 select 0 as part, reference_url as url from (select distinct reference_url from e where reference_url <> '') union all select 1, 'https://firms.modaps.eosdis.nasa.gov/api/' from e having bool_or(source = 'NASA FIRMS')""")
 def distinct_refs(spark, sf):
-    return L.reference_urls(spark.createDataFrame(REFS, "event_id long, source string, reference_url string"))
+    p = V.table(spark, sf, "pages")
+    source = F.when(F.col("page_id") % 5 == 0, "NASA FIRMS").otherwise("curated")
+    return L.reference_urls(p.select(F.col("page_id").alias("event_id"), source.alias("source"), F.when(F.col("page_id") % 7 > 0, F.col("url")).otherwise("").alias("reference_url")))
 
 
 @query("daily", """select 'gap-' || station as id, 'warning' as severity, pollutant as message from (select station, pollutant, count(distinct day) as n from daily group by all) where n < 28

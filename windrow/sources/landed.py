@@ -21,18 +21,30 @@ SENSOR_TIMEOUT = "Belediye sensör ağının tarihsel API'si yavaş yanıt verdi
 OTHER_CONFIDENCE = 60.0
 
 
+def _range(spark: SparkSession, start: str, end: str) -> DataFrame:
+    return spark.range(1).select(F.lit(start).cast("date").alias("start_day"), F.lit(end).cast("date").alias("end_day"))
+
+
+def spans(ranges: DataFrame, days: int) -> DataFrame:
+    """(i, start_day, end_day): each range in spans of so many days, one after the other, from 1; the last ends with the range."""
+    step = F.expr(f"interval {days} days")
+    starts = ranges.where("start_day <= end_day").select(F.col("end_day").alias("last"), F.posexplode(F.sequence("start_day", F.greatest("start_day", "end_day"), step)).alias("i", "start_day"))
+    return starts.select((F.col("i") + 1).alias("i"), "start_day", F.least(F.date_add("start_day", days - 1), F.col("last")).alias("end_day"))
+
+
+def months(ranges: DataFrame) -> DataFrame:
+    """The same by calendar months, cut at the range's ends."""
+    every = F.sequence(F.trunc("start_day", "month"), F.trunc(F.greatest("start_day", "end_day"), "month"), F.expr("interval 1 month"))
+    starts = ranges.where("start_day <= end_day").select(F.col("start_day").alias("first"), F.col("end_day").alias("last"), F.posexplode(every).alias("i", "m"))
+    return starts.select((F.col("i") + 1).alias("i"), F.greatest("m", "first").alias("start_day"), F.least(F.last_day("m"), F.col("last")).alias("end_day"))
+
+
 def day_windows(spark: SparkSession, start: str, end: str, days: int) -> DataFrame:
-    """(i, start_day, end_day): spans of so many days, one after the other, from 1; the last ends with the range."""
-    lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
-    starts = spark.range(1).where(lo <= hi).select(F.posexplode(F.sequence(lo, F.greatest(lo, hi), F.expr(f"interval {days} days"))).alias("i", "start_day"))
-    return starts.select((F.col("i") + 1).alias("i"), "start_day", F.least(F.date_add("start_day", days - 1), hi).alias("end_day"))
+    return spans(_range(spark, start, end), days)
 
 
 def month_windows(spark: SparkSession, start: str, end: str) -> DataFrame:
-    """The same by calendar months, cut at the range's ends."""
-    lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
-    starts = spark.range(1).where(lo <= hi).select(F.posexplode(F.sequence(F.trunc(lo, "month"), F.trunc(F.greatest(lo, hi), "month"), F.expr("interval 1 month"))).alias("i", "m"))
-    return starts.select((F.col("i") + 1).alias("i"), F.greatest("m", lo).alias("start_day"), F.least(F.last_day("m"), hi).alias("end_day"))
+    return months(_range(spark, start, end))
 
 
 def answers(spark: SparkSession, folder: str, requests: DataFrame) -> DataFrame:

@@ -110,10 +110,17 @@ def neighbourhoods(areas: DataFrame, stations: DataFrame, contexts: DataFrame, l
     return ranked.groupBy("area", "name").agg(F.round(F.first("area_m2") / 1e6, 4).alias("km2"), members, district, *means)
 
 
-def elevation_grid(spark: SparkSession, south: float, west: float, north: float, east: float, n: int = 6) -> DataFrame:
-    """n x n cells of an extent, row by row, each with its centre and its closed ring (x = lng, y = lat)."""
-    dy, dx = (north - south) / n, (east - west) / n
-    i, j = F.floor(F.col("id") / n), F.col("id") % n
-    corner = lambda a, b: F.struct((west + (j + b) * dx).alias("x"), (south + (i + a) * dy).alias("y"))
+def elevation_cells(extents: DataFrame, n: int = 6) -> DataFrame:
+    """n x n cells of an extent (one row: south, west, north, east), row by row, each with its centre and its closed ring (x = lng,
+    y = lat)."""
+    cells = extents.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n * n - 1).cast("long"))).alias("cell"))
+    dy, dx = (F.col("north") - F.col("south")) / n, (F.col("east") - F.col("west")) / n
+    i, j = F.floor(F.col("cell") / n), F.col("cell") % n
+    corner = lambda a, b: F.struct((F.col("west") + (j + b) * dx).alias("x"), (F.col("south") + (i + a) * dy).alias("y"))
     ring = F.array(corner(0, 0), corner(0, 1), corner(1, 1), corner(1, 0), corner(0, 0))
-    return spark.range(n * n).select(F.col("id").alias("cell"), (south + (i + 0.5) * dy).alias("lat"), (west + (j + 0.5) * dx).alias("lng"), ring.alias("ring"))
+    return cells.select("cell", (F.col("south") + (i + 0.5) * dy).alias("lat"), (F.col("west") + (j + 0.5) * dx).alias("lng"), ring.alias("ring"))
+
+
+def elevation_grid(spark: SparkSession, south: float, west: float, north: float, east: float, n: int = 6) -> DataFrame:
+    sides = {"south": south, "west": west, "north": north, "east": east}
+    return elevation_cells(spark.range(1).select(*[F.lit(v).alias(k) for k, v in sides.items()]), n)
