@@ -45,10 +45,17 @@ def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Da
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if instead_of is not None:
-        for old in {f.rsplit("/", 1)[0] for f in instead_of.inputFiles()}:
+        forget(instead_of)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for old in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    return out
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:

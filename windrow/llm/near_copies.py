@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import blocks, written
+from .common import blocks, forget, written
 from .components import connected_components
 
 #: Documents are linked from a similarity of NUM / DEN on.
@@ -19,8 +19,8 @@ NUM, DEN = 4, 5
 #: A band is the least values of ROWS hash functions; a pair at 0.8 shares none of the BANDS with chance (1 - 0.8^4)^20 = 0.00003.
 BANDS, ROWS = 20, 4
 FACTORS = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Turns in which the members outside a list's largest component are compared with one member of it.
-TURNS = 2
+#: Turns, at most, in which members outside their lists' largest components are compared with one member of one of these.
+TURNS = 8
 #: Candidates of the byte index: fingerprints within so many bits.
 MAX_BITS = 4
 
@@ -77,15 +77,36 @@ def _may(a: str, b: str) -> Column:
     return sizes & (F.col("banded") | (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= MAX_BITS))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle_words: int, seed: int) -> DataFrame:
-    """The pairs (a, b, ...) of nodes whose sets of shingles are as similar as asked for."""
+class _Known:
+    """Sets of shingles of the nodes that were asked for so far, each read from its text and written once."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, shingle_words: int, seed: int) -> None:
+        self.docs, self.nodes, self.how, self.tables = docs, nodes, (shingle_words, seed), []
+
+    def of(self, ends: DataFrame) -> DataFrame:
+        """(node, grams), among others of the ends (node)."""
+        lack = ends.distinct()
+        for df in self.tables:
+            lack = lack.join(df.select("node"), "node", "left_anti")
+        lack = written(lack, "ends")
+        if not self.tables or not lack.isEmpty():
+            ids = self.nodes.join(lack, "node").select(F.col("low").alias("doc_id")).distinct()
+            sets = _sets(self.docs.join(ids, "doc_id", "left_semi"), *self.how).join(lack, "node", "left_semi").dropDuplicates(["node"])
+            self.tables.append(written(sets, "sets"))
+        forget(lack)
+        out = self.tables[0]
+        for df in self.tables[1:]:
+            out = out.unionByName(df)
+        return out
+
+
+def _verified(pairs: DataFrame, known: _Known) -> DataFrame:
+    """The pairs (a, b, ...) of nodes whose sets of shingles are as similar as asked for, written."""
     pairs = written(pairs, "candidates")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = nodes.join(ends, "node").select(F.col("low").alias("doc_id")).distinct()
-    sets = written(_sets(docs.join(ids, "doc_id", "left_semi"), shingle_words, seed).join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = known.of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     alike = F.size(F.array_intersect("ga", "gb"))
-    return both.where((NUM + DEN) * alike >= NUM * (F.size("ga") + F.size("gb"))).select(*pairs.columns)
+    return written(both.where((NUM + DEN) * alike >= NUM * (F.size("ga") + F.size("gb"))).select(*pairs.columns), "linked", instead_of=pairs)
 
 
 def _labelled(lists: DataFrame, named: DataFrame) -> DataFrame:
@@ -107,11 +128,13 @@ def components(docs: DataFrame, shingle_words: int, seed: int = 42) -> DataFrame
 
     Documents with equal sets of shingles meet as one node first. Nodes are candidates if they share a MinHash band,
     or a key of SimHash's byte index at MAX_BITS or fewer differing bits; a 64-bit fingerprint alone can't do: at 0.8 it
-    differs in about 10 bits and the index is complete up to 7. Every list of candidates links its members to the
-    member with the most documents and to the least. Near copies differ, so a crowd may not be alike enough to one head: for
-    TURNS turns, members outside a list's largest component are compared with a member of it, a different one in each list.
-    Then only pairs between components that are still different are compared, as in simhash.fingerprint_components. Each
-    link is verified on the sets themselves."""
+    differs in about 10 bits and the index is complete up to 7. A list of candidates links its members to the member with
+    the most documents and to the least; a member of many lists is compared with the head of the largest one alone. Near
+    copies differ, so a crowd may not be alike enough to one head: turn by turn, each member outside its lists' largest components
+    is compared with one member of one of these, a different one in each turn, until a turn links nothing. Pairs are never more
+    than members. Then all pairs that share a list and whose components are still different are compared, as in
+    simhash.fingerprint_components. Each link is verified on the sets themselves, which are written once
+    for the nodes of candidates."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = written(_sketches(docs, shingle_words, seed), "sketches")
     grouped = prints.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.min(F.struct("size", "fp", "bands")).alias("s"))
@@ -121,28 +144,38 @@ def components(docs: DataFrame, shingle_words: int, seed: int = 42) -> DataFrame
     member = F.struct("node", "size", "fp")
     lists = written(nodes.select("n", member.alias("m"), F.posexplode(keys).alias("k", "key")).select("key", (F.col("k") < BANDS).alias("banded"), "n", "m"), "lists")
     heads = lists.groupBy("key", "banded").agg(F.count(F.lit(1)).alias("_"), F.max_by("m", F.struct("n", "m")).alias("most"), F.min("m").alias("least")).where("_ > 1")
-    stars = lists.join(heads, ["key", "banded"]).select("banded", "m", F.explode(F.array_distinct(F.array("most", "least"))).alias("head"))
-    pairs = stars.where(F.col("m.node") != F.col("head.node")).where(_may("m", "head")).select(F.col("m.node").alias("a"), F.col("head.node").alias("b")).distinct()
-    first = written(connected_components(_verified(pairs, docs, nodes, shingle_words, seed)), "near")
+    stars = lists.join(heads, ["key", "banded"]).select("banded", "m", "_", F.explode(F.array_distinct(F.array("most", "least"))).alias("head"))
+    stars = stars.where(F.col("m.node") != F.col("head.node")).where(_may("m", "head"))
+    pairs = stars.groupBy(F.col("m.node").alias("a")).agg(F.max_by("head.node", F.struct("_", "head.node")).alias("b"))
+    sets = _Known(docs, nodes, shingle_words, seed)
+    linked = _verified(pairs, sets)
+    first = connected_components(linked)
 
     named = written(nodes.join(first, "node", "left").select("node", "low", F.coalesce("component", "node").alias("c")), "named")
     again = written(_labelled(lists.select("key", "banded", "m"), named), "lists", instead_of=lists)
+    forget(linked)
     within = written(_open(again, 0), "open", instead_of=again)
     for turn in range(1, TURNS + 1):
-        heads = within.select("banded", F.col("m").alias("x"), F.col("c").alias("ca"), F.col("major.head").alias("y"), F.col("major.c").alias("cb"))
-        pairs = heads.where("ca <> cb").where(_may("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "ca", "cb").distinct()
-        links = _verified(pairs, docs, nodes, shingle_words, seed).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        found = connected_components(links).withColumnRenamed("node", "c")
+        heads = within.select("banded", F.col("m").alias("x"), F.col("c").alias("ca"), F.col("major.head").alias("y"), F.col("major.c").alias("cb")).where("ca <> cb").where(_may("x", "y"))
+        one = F.min_by(F.struct(F.col("y.node").alias("b"), "cb"), F.xxhash64("x.node", "y.node", F.lit(turn)))
+        pairs = heads.groupBy(F.col("x.node").alias("a"), "ca").agg(one.alias("one")).select("a", "one.b", "ca", "one.cb")
+        linked = _verified(pairs, sets)
+        if linked.isEmpty():
+            forget(linked)
+            break
+        found = connected_components(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "c")
         named = written(named.join(found, "c", "left").select("node", "low", F.coalesce("component", "c").alias("c")), "named", instead_of=named)
+        forget(linked)
         within = written(_open(_labelled(within.select("key", "banded", "m"), named), turn), "open", instead_of=within)
     minor = within.where("c <> major.c").select("key", "banded", F.col("m").alias("x"), F.col("c").alias("ca"))
     every = within.select("key", "banded", F.col("m").alias("y"), F.col("c").alias("cb"), F.col("major.c").alias("major"))
     # both ends outside the major component: the pair is met from either end, one suffices
     differ = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("x.node") < F.col("y.node"))) & _may("x", "y")
     cross = minor.join(every, ["key", "banded"]).where(differ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "ca", "cb").distinct()
-    links = _verified(cross, docs, nodes, shingle_words, seed).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    second = connected_components(links).withColumnRenamed("node", "c")
-    roots = written(named.join(second, "c", "left").select("node", "low", F.coalesce("component", "c").alias("root")), "roots")
+    linked = _verified(cross, sets)
+    second = connected_components(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "c")
+    roots = written(named.join(second, "c", "left").select("node", "low", F.coalesce("component", "c").alias("root")), "roots", instead_of=named)
+    forget(linked, within, nodes, *sets.tables)
     ids = roots.join(roots.groupBy("root").agg(F.min("low").alias("component_id")), "root")
     return prints.select("doc_id", "th", "node").join(ids.select("node", "root", "component_id"), "node").select("doc_id", "th", "root", "component_id")
 
