@@ -46,3 +46,10 @@ def gated(summary: DataFrame, by: list[str], min_stations: int, min_completeness
     out = summary.groupBy(*by).agg(F.count(F.lit(1)).alias("stations"), F.avg("completeness").alias("completeness"))
     status = F.when(F.col("stations") < min_stations, "insufficient-stations").when(F.col("completeness") < min_completeness, "insufficient-completeness").otherwise("ok")
     return out.withColumn("status", status)
+
+
+def first_met(rows: DataFrame, keys: list[str], place: str = "place") -> DataFrame:
+    """Of the rows of each key the one that stands first, by their place in the input (`readers.place`, or any order)."""
+    rest = [c for c in rows.columns if c not in keys and c != place]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), place).alias("_first"))
+    return best.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])

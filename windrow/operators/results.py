@@ -81,7 +81,7 @@ def analyze(records: DataFrame, filters: Filters, threshold: float) -> dict[str,
         "weekdays": T.weekday_weekend(own, keys),
         "anomalies": T.monthly_zscore(whole, keys).join(monthly.select(*keys, "month"), [*keys, "month"], "left_semi"),
     }
-    return out | {"cards": cards(series, out, keys), "diagnostics": diagnostics(out, keys), "export": series_rows(series, f)}
+    return out | {"cards": cards(series, out, keys), "diagnostics": diagnostics(out, keys), "export": series_rows(series, f, records)}
 
 
 def cards(series: DataFrame, found: dict[str, DataFrame], keys: list[str]) -> DataFrame:
@@ -147,9 +147,26 @@ def merged_drivers(slices: DataFrame, keys: list[str], start: str | Column, end:
 
 
 # rows for export -----------------------------------------------------------------------------------------------------
-def series_rows(series: DataFrame, f: Filters) -> DataFrame:
-    fixed = {"resolution": f.resolution, "station_selection": f.station, "start_date": f.start, "end_date": f.end}
-    return series.select(F.col("label").alias("bucket"), F.col("bucket").alias("key"), F.round("mean", 3).alias("value"), F.col("n").alias("count"), "pollutant", *[F.lit(v).alias(k) for k, v in fixed.items()])
+# fixed values: what resolutions and a choice of all stations are called
+RESOLUTIONS = {"day": "günlük", "month": "aylık", "season": "mevsimlik", "year": "yıllık"}
+ALL_STATIONS = "Bursa çoklu istasyon ortalaması"
+
+
+def series_rows(series: DataFrame, f: Filters, records: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """A row for each bucket, with what was asked for in words: the resolution, the station's name (id, name) or that all count, and
+    the range's days, open ones those of the records."""
+    days = {"start_date": F.lit(f.start or None).cast("string"), "end_date": F.lit(f.end or None).cast("string")}
+    rows = series
+    if records is not None and not (f.start and f.end):
+        ends = records.agg(F.min("day").cast("string").alias("_first"), F.max("day").cast("string").alias("_last")).withColumn("_one", F.lit(1))
+        rows = series.withColumn("_one", F.lit(1)).join(ends, "_one", "left")
+        days = {"start_date": F.coalesce(days["start_date"], F.col("_first")), "end_date": F.coalesce(days["end_date"], F.col("_last"))}
+    name = F.lit(ALL_STATIONS if f.station == "all" else f.station)
+    if f.station != "all" and names is not None:
+        own = names.where(F.col("id").cast("string") == f.station).agg(F.first("name").alias("_name")).withColumn("_two", F.lit(1))
+        rows = rows.withColumn("_two", F.lit(1)).join(own, "_two", "left")
+        name = F.coalesce("_name", name)
+    return rows.select(F.col("label").alias("bucket"), F.col("bucket").alias("key"), F.round("mean", 3).alias("value"), F.col("n").alias("count"), "pollutant", F.lit(RESOLUTIONS.get(f.resolution, f.resolution)).alias("resolution"), name.alias("station_selection"), *[v.alias(k) for k, v in days.items()])
 
 
 def numbers(*columns: str) -> list[Column]:
@@ -177,3 +194,12 @@ def unique_slugs(titles: DataFrame, title: str, order: str) -> DataFrame:
     i = F.row_number().over(Window.partitionBy("slug").orderBy(order))
     numbered = titles.withColumn("slug", S.slug(title)).withColumn("i", i)
     return numbered.withColumn("slug", F.when(F.col("i") > 1, F.concat_ws("-", "slug", F.col("i").cast("string"))).otherwise(F.col("slug"))).drop("i")
+
+
+def referenced(catalogues: list[DataFrame], title: str, place: str = "place") -> DataFrame:
+    """Rows of several catalogues with ids as `unique_slugs` gives them, in the order of the catalogues and, in each, of its places."""
+    rows = None
+    for rank, df in enumerate(catalogues):
+        own = df.withColumn("_order", F.struct(F.lit(rank).alias("rank"), F.col(place).alias("place"))).drop(place)
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    return unique_slugs(rows, title, "_order").drop("_order")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from windrow.functions import labels as L
 from windrow.functions import scalars as S
+from windrow.operators import explorer as W
 from windrow.operators import forecast as P
 from windrow.operators import grids as B
 from windrow.operators import layers as Y
@@ -337,7 +338,7 @@ def diagnostics(spark, sf):
     return _analysis(spark, sf)["diagnostics"]
 
 
-@query("air_long", f"with {OWN} select strftime(day, '%Y-%m') as bucket, strftime(day, '%Y-%m') as key, round(avg(value), 3) as value, count(value) as count, '1-URGENT' as pollutant, 'month' as resolution, 'all' as station_selection, '1996-01-01' as start_date, '1998-12-31' as end_date from own group by all")
+@query("air_long", f"with {OWN} select strftime(day, '%Y-%m') as bucket, strftime(day, '%Y-%m') as key, round(avg(value), 3) as value, count(value) as count, '1-URGENT' as pollutant, 'aylık' as resolution, 'Bursa çoklu istasyon ortalaması' as station_selection, '1996-01-01' as start_date, '1998-12-31' as end_date from own group by all")
 def export_series(spark, sf):
     return _analysis(spark, sf)["export"]
 
@@ -361,3 +362,49 @@ def export_forecast(spark, sf):
 def compare_seasons(spark, sf):
     s = V.monthly(spark, sf).groupBy("pollutant", S.season_year("month").alias("year"), S.season_index("month").alias("season")).agg(F.avg("value").alias("value"))
     return r6(T.latest(s.withColumn("o", F.struct("year", "season")), ["pollutant"], "o", 12).drop("o"))
+
+
+# the explorer --------------------------------------------------------------------------------------------------------
+ASKED = R.Filters("1-URGENT", start="1996-01-15", end="1998-12-10")
+NETWORK = "net as (select n_nationkey as id, n_name as name, case when n_nationkey % 5 = 4 then 'municipal' else 'official' end as source from nation)"
+AROUND = """ctx as (select c_nationkey as station, 500 as radius, round(avg(c_acctbal) / 10000, 6) as building_density, round(count(*) / 100.0::double, 6) as road_density, round(count(*) filter (c_mktsegment = 'BUILDING') / count(*)::double, 6) as green_ratio,
+  round(count(*) filter (c_acctbal < 0) / count(*)::double, 6) as impervious_ratio, count(*) filter (c_acctbal > 9000)::double as industry_count, round(max(c_acctbal), 6) as mean_elevation, round(min(c_acctbal), 6) as slope_mean from customer group by 1)"""
+
+
+def _dataset(spark, sf):
+    """Orders as measurements of nations' stations, customers as their surroundings."""
+    source = F.when(F.col("n_nationkey") % 5 == 4, "municipal").otherwise("official")
+    pollutants = V.air_long(spark, sf).groupBy(F.col("station").alias("id")).agg(F.collect_set("pollutant").alias("pollutants"))
+    stations = V.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), source.alias("source")).join(pollutants, "id")
+    c, share = V.table(spark, sf, "customer"), lambda x: S.rounded(F.count_if(x) / F.count(F.lit(1)))
+    contexts = c.groupBy(F.col("c_nationkey").alias("station")).agg(F.lit(500).alias("radius"), S.rounded(F.avg("c_acctbal") / 10000).alias("building_density"), S.rounded(F.count(F.lit(1)) / 100.0).alias("road_density"), share(F.col("c_mktsegment") == "BUILDING").alias("green_ratio"), share(F.col("c_acctbal") < 0).alias("impervious_ratio"), F.count_if(F.col("c_acctbal") > 9000).cast("double").alias("industry_count"), S.rounded(F.max("c_acctbal")).alias("mean_elevation"), S.rounded(F.min("c_acctbal")).alias("slope_mean"))
+    records = V.air_long(spark, sf).withColumns({"ts": F.col("day").cast("timestamp"), "source": F.when(F.col("station") % 5 == 4, "municipal").otherwise("official")})
+    return {"records": records, "stations": stations, "contexts": contexts}
+
+
+@query("air_long", f"""with {NETWORK}, h as (select * from air_long where pollutant = '1-URGENT'), o as (select * from h where day between date '1996-01-15' and date '1998-12-10'),
+r as (select station, avg(value) filter (k <= 16) as current, avg(value) as mean from (select *, row_number() over (partition by station order by day desc, value desc) as k from o) group by station),
+hm as (select station, date_trunc('month', day) as m, avg(value) as v from h group by all), u as (select station, month(m) as k, avg(v) as usual, stddev_samp(v) as sd from hm group by all),
+om as (select station, max(m) as m, arg_max(v, m) as v from (select station, date_trunc('month', day) as m, avg(value) as v from o group by all) group by station),
+z as (select om.station, coalesce((v - usual) / nullif(sd, 0), 0) as z from om join u on om.station = u.station and month(om.m) = u.k)
+select id as station, name, source, round(coalesce(current, 0), 6) as current, round(coalesce(z, 0), 6) as anomaly, round(coalesce(mean, 0), 6) as mean from net left join r on r.station = id left join z on z.station = id where id in (select station from h)""")
+def station_snapshots(spark, sf):
+    d = _dataset(spark, sf)
+    return r6(W.snapshots(d["records"], d["stations"], ASKED))
+
+
+@query("air_long", f"""with {AROUND}, m as (select station, avg(value) as mean from air_long where pollutant = '1-URGENT' and day between date '1996-01-15' and date '1998-12-10' group by station having avg(value) > 0),
+x as (select metric, v, mean from (unpivot ctx on building_density, road_density, green_ratio, impervious_ratio, industry_count, mean_elevation, slope_mean into name metric value v) join m using (station))
+select metric, round(coalesce(covar_pop(v, mean) / nullif(sqrt(var_pop(v) * var_pop(mean)), 0), 0), 6) as r, count(*) as n from x group by metric""")
+def explorer_correlations(spark, sf):
+    d = _dataset(spark, sf)
+    return r6(W.correlations(d["records"], d["stations"], d["contexts"], ASKED, 500).select("metric", "r", "n"))
+
+
+@query("air_long", f"""with {NETWORK}, r as (select station, avg(value) filter (k <= 16) as current from (select *, row_number() over (partition by station order by day desc, value desc) as k from air_long where pollutant = '1-URGENT' and day between date '1996-01-15' and date '1998-12-10') group by station)
+select id as station, name, round(coalesce(current, 0), 6) as current from net left join r on r.station = id where id in (select station from air_long where pollutant = '1-URGENT') order by current desc, id limit 10 offset 10""")
+def explorer_page(spark, sf):
+    """The second page of the explorer's table of stations."""
+    d = _dataset(spark, sf)
+    found = W.snapshots(d["records"], d["stations"], ASKED)
+    return r6(W.page((found, [F.col("current").desc(), F.col("station")]), 2, W.PAGES["stations"]).select("station", "name", "current"))

@@ -64,17 +64,17 @@ FEATURES = "features array<struct<geometry: struct<type: string, coordinates: st
 
 
 def polygons(spark: SparkSession, path: str) -> DataFrame:
-    """(feature, part, ring, holes, properties) of the polygons in a GeoJSON file, whether it holds a bare geometry, one
-    feature or many; rings are arrays of structs (x = lng, y = lat)."""
+    """(feature, part, ring, holes, properties, place) of the polygons in GeoJSON files, whether they hold a bare geometry, one
+    feature or many; rings are arrays of structs (x = lng, y = lat), and place orders them as the files do."""
     raw = spark.read.schema(FEATURES).json(path, multiLine=True)
     empty = F.create_map().cast("map<string, string>")
     own = F.struct(F.coalesce("geometry", F.struct("type", "coordinates")).alias("geometry"), empty.alias("properties"))
-    f = raw.select(F.posexplode(F.coalesce("features", F.array(own))).alias("feature", "f")).select("feature", "f.geometry.*", "f.properties")
+    f = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.coalesce("features", F.array(own))).alias("feature", "f")).select("file", "feature", "f.geometry.*", "f.properties")
     one = F.array(F.from_json("coordinates", "array<array<array<double>>>"))
     parts = F.when(F.col("type") == "Polygon", one).when(F.col("type") == "MultiPolygon", F.from_json("coordinates", "array<array<array<array<double>>>>"))
-    rings = f.select("feature", "properties", F.posexplode(parts).alias("part", "rings"))
+    rings = f.select("file", "feature", "properties", F.posexplode(parts).alias("part", "rings"))
     shaped = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
-    return rings.withColumn("r", shaped).where(F.size("r") > 0).select("feature", "part", F.element_at("r", 1).alias("ring"), F.slice("r", 2, F.size("r")).alias("holes"), "properties")
+    return rings.withColumn("r", shaped).where(F.size("r") > 0).select("feature", "part", F.element_at("r", 1).alias("ring"), F.slice("r", 2, F.size("r")).alias("holes"), "properties", F.struct("file", "feature", "part").alias("place"))
 
 
 def inside(lng, lat, ring="ring", holes="holes") -> Column:
@@ -89,10 +89,11 @@ def neighbourhoods(areas: DataFrame, stations: DataFrame, contexts: DataFrame, l
     """Areas (area, name, ring) that are large enough, with their stations (id, district, lat, lng) and mean surroundings.
 
     Surroundings are those of the stations inside, or of the three nearest where none inside has any; contexts has one row
-    a station. Of areas with one id the first in order of name counts."""
+    a station. Of areas with one id the first in the input counts, by their `place` if they have one, else the first by name."""
     flat = F.transform("ring", lambda p: F.struct(*[v.alias(k) for v, k in zip(G.projected(p["y"], p["x"], lat0, lng0), "xy", strict=True)]))
     cx, cy = G.ring_centroid(F.col("flat"))
-    sized = areas.groupBy("area").agg(F.min(F.struct("name", "ring")).alias("a")).select("area", "a.*").where(F.size("ring") >= 3).withColumn("flat", flat)
+    first = F.min_by(F.struct("name", "ring"), "place") if "place" in areas.columns else F.min(F.struct("name", "ring"))
+    sized = areas.groupBy("area").agg(first.alias("a")).select("area", "a.*").where(F.size("ring") >= 3).withColumn("flat", flat)
     sized = sized.withColumns({"area_m2": G.ring_area(F.col("flat")), "cx": cx, "cy": cy}).where(F.col("area_m2") >= least_m2)
     measured = stations.join(contexts.withColumnRenamed("station", "id").withColumn("known", F.lit(True)), "id", "left")
     sx, sy = G.projected("lat", "lng", lat0, lng0)

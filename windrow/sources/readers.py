@@ -27,6 +27,12 @@ AIR = {
 }
 
 
+def place() -> Column:
+    """Where a row stands in the files that it is read from: its file, the block of it that a task reads, and the row's number
+    within the task. It orders rows as the files have them, in whatever order tasks end; select it in the scan itself."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def csv(spark: SparkSession, path: str) -> DataFrame:
     """Every column a string; a byte-order mark before the first name is dropped."""
     df = spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8")
