@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from windrow.functions import geo as G
+from windrow.operators import grids as B
+from windrow.operators import layers as Y
 from windrow.operators import packages as K
 from windrow.operators import slices as L
 from windrow.operators.quality import deduplicated
@@ -115,6 +118,61 @@ def cleared(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     return sorted(gone)
 
 
+def publish_dataset(tables: dict[str, DataFrame], path: str, version: str) -> str:
+    """Publishes a dataset's tables, the series by pollutant; its manifest is that of `manifest`."""
+    return publish(tables, path, manifest(tables, version), {SERIES: ["pollutant"]})
+
+
+# from a dataset to packages ------------------------------------------------------------------------------------------
+# fixed values: the sources of stations that each scope counts
+SCOPE_SOURCES = {"physical": ("official", "municipal-official"), "all": ("official", "municipal-official", "municipal-sensor")}
+POINTS = "array<array<double>>"  # pairs of lat, lng
+LAYER_SCHEMAS = {"roads": f"id string, category string, coordinates {POINTS}", "industries": "id string, lat double, lng double", "greens": f"id string, coordinates {POINTS}", "elevations": f"id string, value double, coordinates {POINTS}", "stations": "id string, name string, district string, source string, lat double, lng double, elevation_m double"}
+
+
+def scoped(stations: DataFrame) -> DataFrame:
+    """(id, lat, lng, scope): a row for each scope that a station's source counts to; official without any."""
+    out = None
+    for scope, sources in SCOPE_SOURCES.items():
+        source = F.coalesce("source", F.lit("official")) if "source" in stations.columns else F.lit("official")
+        rows = stations.where(source.isin(*sources)).select("id", "lat", "lng", F.lit(scope).alias("scope"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _shapes(rows: DataFrame, origin: tuple[float, float]) -> DataFrame:
+    """rows with the area and the place of the centroid of their outline; those with under three corners go."""
+    ring = F.transform("coordinates", lambda p: F.struct(p[0].alias("lat"), p[1].alias("lng")))
+    shaped = Y.polygons(rows.where(F.size("coordinates") >= 3).withColumn("ring", ring), "ring", *origin)
+    return shaped.withColumns({"lat": origin[0] + F.degrees(F.col("cy") / G.EARTH_M), "lng": origin[1] + F.degrees(F.col("cx") / (G.EARTH_M * F.cos(F.radians(F.lit(origin[0])))))})
+
+
+def package_inputs(tables: dict[str, DataFrame], boundary: DataFrame | None = None, km: float = B.CELL_KM) -> K.Inputs:
+    """What packages are built from, of a dataset's tables: its coverage, and a grid over the boundary or all its features, with the
+    surroundings of each cell. Layers, weather and events that a dataset lacks count as empty."""
+    spark = tables[SERIES].sparkSession
+    empty = lambda schema: spark.createDataFrame([], schema)
+    layer = {n: tables.get(n, empty(LAYER_SCHEMAS[n])) for n in ("roads", "industries", "greens", "elevations")}
+    corner = F.explode("coordinates").alias("p")
+    points = tables["stations"].select("lat", "lng")
+    for n in ("roads", "greens", "elevations"):
+        points = points.unionByName(layer[n].select(corner).select(F.col("p")[0].alias("lat"), F.col("p")[1].alias("lng")))
+    outline = boundary if boundary is not None else empty("rings array<array<struct<x: double, y: double>>>")
+    side = B.extent(outline, points).first()
+    origin = (side.south, side.west)
+    number = F.row_number().over(Window.orderBy("cell_id")) - 1  # a grid of bounded size
+    cells = written(B.clipped(outline, points, km).select(number.alias("i"), "cell_id", "lat", "lng"), "cells")
+    path = F.transform("coordinates", lambda p: F.struct(p[0].alias("lat"), p[1].alias("lng")))
+    sides = Y.segments(layer["roads"].select("id", "category", path.alias("path")))
+    contexts = Y.cell_contexts(cells, sides, layer["industries"], _shapes(layer["greens"], origin), _shapes(layer["elevations"], origin).withColumnRenamed("value", "height"), origin)
+    daily = tables[SERIES].groupBy("station", "pollutant", F.to_date("ts").alias("day")).agg(F.avg("value").alias("value"))
+    ends = daily.agg(F.min("day").alias("start"), F.max("day").alias("end")).first()
+    events = tables.get("events", empty("event_id string, start_day date, end_day date"))
+    meteo = tables.get("meteo", empty("station string, ts timestamp, wind_dir double"))
+    weather = meteo.select("station", F.to_date("ts").alias("day"), "wind_dir") if "ts" in meteo.columns else meteo
+    return K.Inputs(daily, scoped(tables["stations"]), events, weather, cells, contexts, layer["industries"], str(ends.start), str(ends.end), origin)
+
+
 # packages of analyses ------------------------------------------------------------------------------------------------
 PARTS = ("slices", "surfaces", "stats", "stations", "risks", "drivers", "forecasts")
 GRID_PARTS = ("cells", "contexts")
