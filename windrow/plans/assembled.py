@@ -13,6 +13,7 @@ from windrow.operators import layers as Y
 from windrow.operators import results as R
 from windrow.operators import spatial as X
 from windrow.operators import temporal as T
+from windrow.operators.tables import written
 from windrow.plans import catalogue as C
 from windrow.plans import views as V
 from windrow.plans.catalogue import GRID, GRID_SQL, query, r6
@@ -128,8 +129,8 @@ def _y(lat: str) -> str:
     return f"(radians({lat} - 40.175) * 6371000.0)"
 
 
-def _lines(spark, sf):
-    g = V.geo(spark, sf)
+def _lines(spark, sf, g=None):
+    g = V.geo(spark, sf) if g is None else g
     point = lambda dlat, dlng: F.struct((F.col("lat") + dlat).alias("lat"), (F.col("lng") + dlng).alias("lng"))
     return g.select("id", F.when(F.col("id") % 2 == 0, "primary").otherwise("path").alias("category"), F.array(point(0.0, 0.0), point(0.01, 0.02), point(0.03, 0.0)).alias("path"))
 
@@ -228,10 +229,10 @@ ctx as (select cell_id, round(rm, 2) as nearest_road_m, round(im, 2) as nearest_
 
 
 def _contexts(spark, sf):
-    g = V.geo(spark, sf)
+    g = written(V.geo(spark, sf), "places")  # all layers are made of it
     of = lambda k: g.where(F.col("scope") == k)
     greens, heights = of(2).withColumn("area", F.col("id") * 100000.0), of(3).withColumn("height", (F.col("id") * 13 % 900).cast("double"))
-    return Y.cell_contexts(X.grid(spark, *GRID), Y.segments(_lines(spark, sf)), of(1), greens, heights, ORIGIN)
+    return Y.cell_contexts(X.grid(spark, *GRID), Y.segments(_lines(spark, sf, g)), of(1), greens, heights, ORIGIN)
 
 
 @query("geo", f"with {CTX} select * from ctx")
