@@ -88,3 +88,28 @@ def test_components_hold_clusters_together(spark):
     got = spatial.clusters(spark.createDataFrame(rows, "id long, ts timestamp, lat double, lng double, confidence double")).collect()
     assert sorted((g.session, g.cluster, g.hotspots, g.lat) for g in got) == [(0, 0, 30, 40.0), (0, 1, 30, 43.0)]
     assert spatial.clusters(spark.createDataFrame(rows, "id long, ts timestamp, lat double, lng double, confidence double").limit(0)).select(F.count("*")).first()[0] == 0
+
+
+def test_a_dataset_from_what_landed(spark, tmp_path):
+    for name in ("official", "sensors", "meteo", "fires"):
+        (tmp_path / name).mkdir()
+    data = [{"Stationid": "x", "ReadTime": f"2024-01-{d:02d}T00:00:00", "PM10": 10 + d} for d in (1, 2)]
+    summary = [{"Parameter": "PM10", "Stationid": "x", "Count": 30, "MustBeCount": 48}]
+    (tmp_path / "official" / "aq_16_2024-01-01_2024-01-20.json").write_text(json.dumps({"Object": {"Summaries": summary, "Data": data}}))
+    (tmp_path / "sensors" / "airqoon_s_2024-01-01_2024-01-20.json").write_text(json.dumps({"PM25": [{"Value": 3, "Date": "2024-01-02T00:00"}]}))
+    (tmp_path / "meteo" / "o.json").write_text(json.dumps({"daily": {"time": ["2024-01-01"], "temperature_2m_mean": [4.0], "wind_speed_10m_mean": [36.0]}}))
+    (tmp_path / "fires" / "fires_firms_001.csv").write_text("latitude,longitude,acq_date,acq_time,confidence,frp\n40.0,29.0,2024-01-03,100,80,1\n41.5,29.0,2024-01-03,100,80,1\n")
+    official = spark.createDataFrame([("x", "o", "Official", "official", 40.0, 29.0)], "source_id string, id string, name string, source string, lat double, lng double")
+    sensors = spark.createDataFrame([("s", "City", "Sensor", "municipal-sensor", 40.1, 29.1)], "id string, operator string, name string, source string, lat double, lng double")
+    known = [("c1", "fire", "Known", datetime.date(2024, 1, 5), datetime.date(2024, 1, 6), 40.1, 29.0, 5.0, "curated", 0.9, 0)]
+    curated = spark.createDataFrame(known, "event_id string, kind string, name string, start_day date, end_day date, lat double, lng double, radius_km double, source string, confidence double, hotspot_count long")
+    tables = landed.network_dataset(spark, str(tmp_path), official, sensors, "2024-01-01", "2024-01-20", curated)
+    assert sorted((r.station, r.pollutant, r.value) for r in tables["series"].collect()) == [("o", "PM10", 11.0), ("o", "PM10", 12.0), ("s", "PM2.5", 3.0)]
+    assert {r.id: r.pollutants for r in tables["stations"].collect()} == {"o": ["PM10"], "s": ["PM2.5"]}
+    assert [(r.actual, r.expected, r.ratio) for r in tables["completeness"].collect()] == [(30, 48, 0.625)]
+    # the fire 11 km from a known one and two days before it is the same; the other, 156 km away, is not
+    assert sorted((r.event_id, r.lat) for r in tables["events"].collect()) == [("c1", 40.1), ("firms-fire-2", 41.5)]
+    assert [(r.station, r.temperature, r.wind_speed) for r in tables["meteo"].collect()] == [("o", 4.0, 10.0)]
+    assert [r.id for r in tables["issues"].collect()] == ["airqoon-network-added"]
+    bare = landed.network_dataset(spark, str(tmp_path / "none"), official, sensors, "2024-01-01", "2024-01-20")
+    assert set(bare) == {"series", "stations", "completeness", "issues"} and bare["series"].count() == 0 and [r.id for r in bare["stations"].collect()] == ["o"]

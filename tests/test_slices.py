@@ -104,3 +104,25 @@ def test_join_of_neighbours_misses_no_pair(spark):
     got = {(x.id, x.radius): x.features for x in got.collect()}
     want = {(i, m): sum(away((lat, lng), f[:2]) <= m for f in features) for i, lat, lng in points for m in (250, 500, 1000)}
     assert got == want and want[100, 250] and want[101, 250] and F
+
+
+def test_upserts_of_statistics_risks_and_drivers(spark):
+    """Slices of each payload: new ones are added, known ones replaced within their scope, the other scope's stay."""
+    day = datetime.date
+    about = "slice_id string, kind string, label string, start_day date, end_day date, scope string, "
+    m1, m2 = ("month-1", "month", "1", day(2024, 1, 1), day(2024, 1, 31)), ("month-2", "month", "2", day(2024, 2, 1), day(2024, 2, 29))
+    renamed = ("month-1", "month", "other", day(2024, 1, 2), day(2024, 1, 30))
+    payloads = {
+        "moran_i double, hotspots array<string>": [(0.1, ["a"]), (0.2, []), (0.3, ["b", "c"]), (None, None)],
+        "top struct<cell: string, score: double>, label_counts map<string, int>": [(("c1", 0.5), {"Orta": 1}), (("c2", 0.6), {}), (("c3", 0.7), None), (None, {"Dusuk": 2})],
+        "coefficients array<struct<driver: string, value: double>>, wind double": [([("slope", 0.1)], 10.0), ([], None), ([("slope", 0.3), ("wind", 0.2)], 20.0), (None, 5.0)],
+    }
+    for schema, p in payloads.items():
+        names = [c.split()[0] for c in schema.replace("<cell: string, score: double>", "").replace("<string, int>", "").split(", ") if c.split()[0] in ("moran_i", "hotspots", "top", "label_counts", "coefficients", "wind")]
+        old = spark.createDataFrame([(*m1, "physical", *p[0]), (*m1, "all", *p[1])], about + schema)
+        new = spark.createDataFrame([(*renamed, "all", *p[2]), (*m2, "physical", *p[3])], about + schema)
+        got = [r.asDict(recursive=True) for r in L.upserted(old, new, names).collect()]
+        want = [r.asDict(recursive=True) for r in spark.createDataFrame([(*m1, "physical", *x) for x in p], about + schema).collect()]
+        assert [(r["slice_id"], r["label"], r["start_day"]) for r in got] == [("month-1", "1", day(2024, 1, 1)), ("month-2", "2", day(2024, 2, 1))]
+        for n in names:
+            assert (got[0][f"physical_{n}"], got[0][f"all_{n}"], got[1][f"physical_{n}"], got[1][f"all_{n}"]) == (want[0][n], want[2][n], want[3][n], None)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from windrow.functions import geo as G
 from windrow.functions import scalars as S
+from windrow.operators import nearby as N
 from windrow.operators.temporal import circular_mean
 
 
@@ -15,10 +16,14 @@ def overlapping(events: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def merged_catalogue(curated: DataFrame, fetched: DataFrame, days: int = 5, km: float = 35.0) -> DataFrame:
-    """The union, without fetched fires that start within some days and kilometres of a curated fire."""
-    c, f = curated.where("kind = 'fire'").alias("c"), fetched.alias("f")
-    near = (F.col("f.kind") == "fire") & (F.abs(F.datediff("f.start_day", "c.start_day")) <= days) & (G.haversine_m("f.lat", "f.lng", "c.lat", "c.lng") <= km * 1000)
-    return curated.unionByName(f.join(c, near, "left_anti"))
+    """Curated events (event_id, kind, start_day, lat, lng, ..) and those fetched ones that aren't fires near a curated fire in
+    time and place. Fires meet by boxes of space. Fetched events have different ids."""
+    at = ["_x", "_y", "_z"]
+    placed = lambda df, *own: df.where("kind = 'fire'").select(*own, *[x.alias(n) for x, n in zip(N.globe(), at, strict=True)])
+    known = placed(curated, F.col("start_day").alias("_day"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    pairs = N.within(placed(fetched, "event_id", "start_day", "lat", "lng"), known, at, 1000 * km)
+    near = (F.abs(F.datediff("start_day", "_day")) <= days) & (G.haversine_m("lat", "lng", "_lat", "_lng") <= 1000 * km)
+    return curated.unionByName(fetched.join(pairs.where(near).select("event_id").distinct(), "event_id", "left_anti").select(*curated.columns))
 
 
 def impact(events: DataFrame, stations: DataFrame, daily: DataFrame, meteo: DataFrame) -> DataFrame:

@@ -7,13 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windrow.functions import scalars as S
 from windrow.operators import events as E
 from windrow.operators import forecast as P
 from windrow.operators import layers as Y
 from windrow.operators import results as R
 from windrow.operators import spatial as X
-from windrow.functions import scalars as S
 from windrow.operators.results import numbers
+from windrow.operators.tables import written
 
 SCOPES = ("physical", "all")
 MODELED = "Modellenmiş seçim için yüzey üretilmez."
@@ -270,7 +271,7 @@ def replicated(rows: DataFrame, modeled: DataFrame, station: str = "station") ->
 def forecast_slices(series: DataFrame, keys: list[str], horizons: tuple[int, ...] = (7, 30)) -> DataFrame:
     """(keys, horizon_days, supported, unavailable_reason, mae, rmse, points) for daily series with gaps filled (observed tells
     which days were): points are structs (day, value, lower, upper) with a band of 1.64 RMSE."""
-    out = None
+    out, series = None, written(series, "series")  # gates, tests and horizons read it time and again
     about = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("observed").cast("double")).alias("ratio"))
     for h in horizons:
         short, sparse = F.col("n") < max(90, 3 * h), F.col("ratio") < 0.75

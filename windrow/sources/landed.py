@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from windrow.functions import labels as B
 from windrow.functions import scalars as S
+from windrow.operators import events as E
+from windrow.operators import spatial as X
+from windrow.operators.tables import written
 from windrow.sources import readers
 
 #: A network is given up after so many requests without an answer.
@@ -152,3 +155,38 @@ def fire_events(clusters: DataFrame) -> DataFrame:
     i = days.withColumn("n", F.row_number().over(by_day)).join(before, "day").withColumn("i", (F.col("n") + F.col("before")).cast("string"))
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return i.select(F.concat(F.lit("firms-fire-"), "i").alias("event_id"), F.lit("fire").alias("kind"), F.concat(F.lit("NASA FIRMS yangin kumesi "), "i").alias("name"), iso("start").alias("start"), iso("end").alias("end"), "lat", "lng", "radius_km", F.lit("NASA FIRMS").alias("source"), "confidence", F.col("hotspots").alias("hotspot_count"), F.lit("VIIRS historical hotspot cluster").alias("note"))
+
+
+def completeness(counts: DataFrame) -> DataFrame:
+    """(station, pollutant, actual, expected, ratio): the share of the hours that an official network should have, 4 digits."""
+    ratio = F.round(F.coalesce(F.try_divide(F.col("actual").cast("double"), F.nullif("expected", F.lit(0))), F.lit(0.0)), 4)
+    return counts.withColumn("ratio", ratio)
+
+
+EVENT = ("event_id", "kind", "name", "start_day", "end_day", "lat", "lng", "radius_km", "source", "confidence", "hotspot_count")
+
+
+def network_dataset(spark: SparkSession, root: str, official: DataFrame, sensors: DataFrame, start: str, end: str, curated: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A dataset's tables from the folders of a root in which answers landed: official and sensors (measurements), meteo (weather,
+    one file a station, named by its id) and fires (hotspots); a folder that isn't there counts as empty.
+
+    official stations have (source_id, id, name, source, lat, lng), sensors (id, operator, name, source, lat, lng), curated events
+    EVENT's columns. Fetched fires join them unless they are the same fire. The sensors' network is given up after
+    MOST_FAILURES requests without an answer, which `issues` tells."""
+    there = lambda name, asked: answers(spark, f"{root}/{name}", asked) if readers.exists(spark, f"{root}/{name}") else asked.withColumn("text", F.lit(None).cast("string"))
+    records, counts = official_records(there("official", official_requests(spark, start, end)), official)
+    used, aborted = until_broken(there("sensors", sensor_requests(spark, sensors, start, end)), ["station", "start_day"])
+    means = written(sensor_records(used), "sensors")
+    stations, series = united((official.drop("source_id"), records), (sensors.drop("operator"), means))
+    out = {"series": series, "stations": stations, "completeness": completeness(counts), "issues": sensor_issues(means, aborted)}
+    if readers.exists(spark, f"{root}/meteo"):
+        out["meteo"] = readers.meteo_archive(spark, f"{root}/meteo", stations.select("id", F.concat("id", F.lit(".json")).alias("file")))
+    fires = None
+    if readers.exists(spark, f"{root}/fires"):
+        found = fire_events(X.clusters(written(hotspots(spark, f"{root}/fires"), "hotspots")))
+        fires = found.select("event_id", "kind", "name", F.to_date("start").alias("start_day"), F.to_date("end").alias("end_day"), "lat", "lng", "radius_km", "source", "confidence", "hotspot_count")
+    if curated is not None and fires is not None:
+        out["events"] = E.merged_catalogue(curated.select(*EVENT), fires)
+    elif curated is not None or fires is not None:
+        out["events"] = (fires if curated is None else curated).select(*EVENT)
+    return out

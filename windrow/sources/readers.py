@@ -27,6 +27,12 @@ AIR = {
 }
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path of any file system that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def place() -> Column:
     """Where a row stands in the files that it is read from: its file, the block of it that a task reads, and the row's number
     within the task. It orders rows as the files have them, in whatever order tasks end; select it in the scan itself."""
