@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from windrow.operators import components, spatial
-from windrow.sources import landed
+from windrow.sources import curated, landed
 
 
 def days(df):
@@ -102,8 +102,8 @@ def test_a_dataset_from_what_landed(spark, tmp_path):
     official = spark.createDataFrame([("x", "o", "Official", "official", 40.0, 29.0)], "source_id string, id string, name string, source string, lat double, lng double")
     sensors = spark.createDataFrame([("s", "City", "Sensor", "municipal-sensor", 40.1, 29.1)], "id string, operator string, name string, source string, lat double, lng double")
     known = [("c1", "fire", "Known", datetime.date(2024, 1, 5), datetime.date(2024, 1, 6), 40.1, 29.0, 5.0, "curated", 0.9, 0)]
-    curated = spark.createDataFrame(known, "event_id string, kind string, name string, start_day date, end_day date, lat double, lng double, radius_km double, source string, confidence double, hotspot_count long")
-    tables = landed.network_dataset(spark, str(tmp_path), official, sensors, "2024-01-01", "2024-01-20", curated)
+    by_hand = spark.createDataFrame(known, "event_id string, kind string, name string, start_day date, end_day date, lat double, lng double, radius_km double, source string, confidence double, hotspot_count long")
+    tables = landed.network_dataset(spark, str(tmp_path), official, sensors, "2024-01-01", "2024-01-20", by_hand)
     assert sorted((r.station, r.pollutant, r.value) for r in tables["series"].collect()) == [("o", "PM10", 11.0), ("o", "PM10", 12.0), ("s", "PM2.5", 3.0)]
     assert {r.id: r.pollutants for r in tables["stations"].collect()} == {"o": ["PM10"], "s": ["PM2.5"]}
     assert [(r.actual, r.expected, r.ratio) for r in tables["completeness"].collect()] == [(30, 48, 0.625)]
@@ -113,3 +113,9 @@ def test_a_dataset_from_what_landed(spark, tmp_path):
     assert [r.id for r in tables["issues"].collect()] == ["airqoon-network-added"]
     bare = landed.network_dataset(spark, str(tmp_path / "none"), official, sensors, "2024-01-01", "2024-01-20")
     assert set(bare) == {"series", "stations", "completeness", "issues"} and bare["series"].count() == 0 and [r.id for r in bare["stations"].collect()] == ["o"]
+
+
+def test_known_events(spark):
+    assert curated.events(spark).count() == 6 and set(landed.EVENT) <= set(curated.events(spark).columns)
+    got = curated.events(spark, "2024-04-26", "2024-06-30").collect()
+    assert sorted((e.kind, str(e.start_day), str(e.end_day)) for e in got) == [("dust-transport", "2024-04-24", "2024-04-26"), ("fire", "2024-06-30", "2024-07-01"), ("wind-event", "2024-06-14", "2024-06-14")]
