@@ -11,16 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import blocks, forget, written
+from .common import blocks, forget, mixed, written
 from .components import connected_components
 
 #: Documents are linked from a similarity of NUM / DEN on.
 NUM, DEN = 4, 5
-#: A band is the least values of ROWS hash functions; a pair at 0.8 shares none of the BANDS with chance (1 - 0.8^4)^20 = 0.00003.
-BANDS, ROWS = 20, 4
+#: A band is the least values of ROWS hash functions; a pair at 0.8 shares none of the BANDS with chance (1 - 0.8^5)^27 = 0.00002,
+#: and one at 0.25, of texts that share a passage, shares one with chance 0.03.
+BANDS, ROWS = 27, 5
 FACTORS = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Lowest bits of BITS of the hash functions' least values: at 0.8 more than FAR of them differ with chance 0.0000003.
+BITS, FAR = 128, 32
 #: Turns, at most, in which members outside their lists' largest components are compared with one member of one of these.
 TURNS = 8
+#: They end with a turn that links under this share of its pairs: what is left then are not copies, but texts with a passage in common.
+LEAST_LINKED = 0.1
 #: Candidates of the byte index: fingerprints within so many bits.
 MAX_BITS = 4
 
@@ -31,13 +36,23 @@ def _grams(h: np.ndarray) -> tuple[int, np.ndarray]:
     return xxhash.xxh64_intdigest(grams.tobytes()), grams
 
 
-def _bands(grams: np.ndarray) -> np.ndarray:
+def _least(grams: np.ndarray) -> np.ndarray:
+    """The least value of each hash function over a set."""
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(grams), 8192):
         np.minimum(least, (FACTORS[:, None] * grams[None, at : at + 8192]).min(axis=1), out=least)
+    return least
+
+
+def _bands(least: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(least[ROWS * b : ROWS * (b + 1)].tobytes(), b) for b in range(BANDS)], np.uint64)
 
 
+def _bits(least: np.ndarray) -> np.ndarray:
+    """One bit of each least value; the factors are odd, so the bits are taken from the middle of their hashes."""
+    return np.packbits((mixed(least[:BITS]) & np.uint64(1)).astype(np.uint8)).view(np.uint64)
+
+
 def _long(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
@@ -48,16 +63,17 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _sketches(docs: DataFrame, shingle_words: int, seed: int) -> DataFrame:
-    """(doc_id, th, node, size, fp, bands): node names the document's set of shingles, size is how many there are."""
+    """(doc_id, th, node, size, fp, bits, bands): node names the document's set of shingles, size is how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             hashes = [simhash.shingles(t, shingle_words, seed) for t in block.column("text").to_pylist()]
             sets = [_grams(h) for h in hashes]
-            columns = [block.column("doc_id"), block.column("th"), _long([n for n, _ in sets]), pa.array([len(g) for _, g in sets], pa.int64()), _long([simhash.majority(h) for h in hashes]), _lists([_bands(g) for _, g in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "size", "fp", "bands"])
+            least = [_least(g) for _, g in sets]
+            columns = [block.column("doc_id"), block.column("th"), _long([n for n, _ in sets]), pa.array([len(g) for _, g in sets], pa.int64()), _long([simhash.majority(h) for h in hashes]), _lists([_bits(x) for x in least]), _lists([_bands(x) for x in least])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "size", "fp", "bits", "bands"])
 
-    return docs.withColumn("th", simhash.text_hash()).mapInArrow(run, "doc_id long, th long, node long, size long, fp long, bands array<long>")
+    return docs.withColumn("th", simhash.text_hash()).mapInArrow(run, "doc_id long, th long, node long, size long, fp long, bits array<long>, bands array<long>")
 
 
 def _sets(docs: DataFrame, shingle_words: int, seed: int) -> DataFrame:
@@ -131,13 +147,13 @@ def components(docs: DataFrame, shingle_words: int, seed: int = 42) -> DataFrame
     differs in about 10 bits and the index is complete up to 7. A list of candidates links its members to the member with
     the most documents and to the least; a member of many lists is compared with the head of the largest one alone. Near
     copies differ, so a crowd may not be alike enough to one head: turn by turn, each member outside its lists' largest components
-    is compared with one member of one of these, a different one in each turn, until a turn links nothing. Pairs are never more
-    than members. Then all pairs that share a list and whose components are still different are compared, as in
-    simhash.fingerprint_components. Each link is verified on the sets themselves, which are written once
+    is compared with one member of one of these, a different one in each turn, until a turn links few of its pairs. Pairs are
+    never more than members. Then all pairs that share a list and whose components are still different are compared, as in
+    simhash.fingerprint_components, unless one bit of each of their least values already tells them apart. Each link is verified on the sets themselves, which are written once
     for the nodes of candidates."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = written(_sketches(docs, shingle_words, seed), "sketches")
-    grouped = prints.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.min(F.struct("size", "fp", "bands")).alias("s"))
+    grouped = prints.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.min(F.struct("size", "fp", "bits", "bands")).alias("s"))
     nodes = written(grouped.select("node", "n", "low", "s.*"), "nodes")
 
     keys = F.concat("bands", F.array(*simhash.index_keys(simhash.position_sets(MAX_BITS))))
@@ -159,18 +175,23 @@ def components(docs: DataFrame, shingle_words: int, seed: int = 42) -> DataFrame
         heads = within.select("banded", F.col("m").alias("x"), F.col("c").alias("ca"), F.col("major.head").alias("y"), F.col("major.c").alias("cb")).where("ca <> cb").where(_may("x", "y"))
         one = F.min_by(F.struct(F.col("y.node").alias("b"), "cb"), F.xxhash64("x.node", "y.node", F.lit(turn)))
         pairs = heads.groupBy(F.col("x.node").alias("a"), "ca").agg(one.alias("one")).select("a", "one.b", "ca", "one.cb")
+        pairs = written(pairs, "turn")
         linked = _verified(pairs, sets)
-        if linked.isEmpty():
-            forget(linked)
-            break
         found = connected_components(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "c")
         named = written(named.join(found, "c", "left").select("node", "low", F.coalesce("component", "c").alias("c")), "named", instead_of=named)
-        forget(linked)
+        few = linked.count() <= LEAST_LINKED * pairs.count()
+        forget(linked, pairs)
         within = written(_open(_labelled(within.select("key", "banded", "m"), named), turn), "open", instead_of=within)
-    minor = within.where("c <> major.c").select("key", "banded", F.col("m").alias("x"), F.col("c").alias("ca"))
-    every = within.select("key", "banded", F.col("m").alias("y"), F.col("c").alias("cb"), F.col("major.c").alias("major"))
+        if few:
+            break
+    own = nodes.select(F.col("node").alias("_node"), *[F.col("bits")[i].alias(f"b{i}") for i in range(BITS // 64)])
+    within = written(within.withColumn("_node", F.col("m.node")).join(own, "_node").drop("_node"), "open", instead_of=within)
+    bits = [f"b{i}" for i in range(BITS // 64)]
+    minor = within.where("c <> major.c").select("key", "banded", F.col("m").alias("x"), F.col("c").alias("ca"), *bits)
+    every = within.select("key", "banded", F.col("m").alias("y"), F.col("c").alias("cb"), F.col("major.c").alias("major"), *[F.col(n).alias(f"y{n}") for n in bits])
     # both ends outside the major component: the pair is met from either end, one suffices
     differ = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("x.node") < F.col("y.node"))) & _may("x", "y")
+    differ &= sum(F.bit_count(F.col(n).bitwiseXOR(F.col(f"y{n}"))) for n in bits) <= FAR
     cross = minor.join(every, ["key", "banded"]).where(differ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "ca", "cb").distinct()
     linked = _verified(cross, sets)
     second = connected_components(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "c")
