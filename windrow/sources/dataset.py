@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from windrow.functions import geo as G
 from windrow.operators import grids as B
@@ -90,6 +93,8 @@ def publish(tables: dict[str, DataFrame], path: str, about: DataFrame, partition
     _, files = _files(spark, path)
     taken = [s.getPath().getName() for part in ("manifests", "versions") if files.exists(_files(spark, f"{path}/{part}")[0]) for s in files.listStatus(_files(spark, f"{path}/{part}")[0])]
     name = f"v{max([int(n[1:]) for n in taken if n[1:].isdigit()], default=0) + 1:08d}"
+    schemas = [(table, df.schema.json()) for table, df in tables.items()]  # a table without rows has no file that tells
+    spark.createDataFrame(schemas, "table string, schema string").coalesce(1).write.json(f"{path}/versions/{name}/schemas")
     for table, df in tables.items():
         df.write.partitionBy(*(partitions or {}).get(table, [])).parquet(f"{path}/versions/{name}/{table}")
     about.coalesce(1).write.json(f"{path}/manifests/{name}")
@@ -101,7 +106,9 @@ def current(spark: SparkSession, path: str, names: list[str]) -> tuple[DataFrame
     versions = _published(spark, path)
     if not versions:
         raise FileNotFoundError(f"nothing is published at {path}")
-    return spark.read.json(f"{path}/manifests/{versions[-1]}"), {n: spark.read.parquet(f"{path}/versions/{versions[-1]}/{n}") for n in names}
+    at = f"{path}/versions/{versions[-1]}"
+    schemas = {r.table: StructType.fromJson(json.loads(r.schema)) for r in spark.read.schema("table string, schema string").json(f"{at}/schemas").collect()}  # a row a table
+    return spark.read.json(f"{path}/manifests/{versions[-1]}"), {n: spark.read.schema(schemas[n]).parquet(f"{at}/{n}") for n in names}
 
 
 def cleared(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
