@@ -125,30 +125,32 @@ def cell_contexts(cells: DataFrame, roads: DataFrame, industries: DataFrame, gre
     industries within RADIUS_M; the proximity index; height and slope from inverse-distance weights.
 
     roads are segments, industries and heights points, greens points with an area. A layer without features gives nulls
-    and no signal. Features count wholly where their middle is in the radius."""
+    and no signal. Features count wholly where their middle is in the radius. Features in one place meet the cells once."""
     circle, own = F.lit(3.141592653589793 * RADIUS_M * RADIUS_M), cells.select("cell_id", "lat", "lng")
     at = ["x", "y"]
     c = _at(own, *origin, {"": ("lat", "lng")}).drop("lat", "lng")
     width = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i in (widths or ROAD_WIDTHS).items() for x in i]), F.col("category")), F.lit(OTHER_WIDTH))
-    r = _at(roads, *origin, {"1": ("lat1", "lng1"), "2": ("lat2", "lng2")}).select("x1", "y1", "x2", "y2", width.alias("width")).withColumn("length", _apart("x1", "y1", "x2", "y2"))
-    middles = r.select(*[((F.col(f"{n}1") + F.col(f"{n}2")) / 2).alias(n) for n in at], "length", "width")
+    r = _at(roads, *origin, {"1": ("lat1", "lng1"), "2": ("lat2", "lng2")}).select("x1", "y1", "x2", "y2", width.alias("width"))
+    r = N.places(r, r.columns).withColumn("length", _apart("x1", "y1", "x2", "y2"))
+    middles = r.select(*[((F.col(f"{n}1") + F.col(f"{n}2")) / 2).alias(n) for n in at], (F.col("n") * F.col("length")).alias("length"), "width")
     placed = lambda points, *more: _at(points, *origin, {"": ("lat", "lng")}).select(*at, *more)
-    places = placed(industries)
-    nearest_place = N.candidates(c, places.withColumnsRenamed({"x": "_px", "y": "_py"}).select("*", F.col("_px").alias("x"), F.col("_py").alias("y")), "cell_id", at)
+    places = N.places(placed(industries), at)
+    nearest_place = N.candidates(c, places.select(F.col("x").alias("_px"), F.col("y").alias("_py")).select("*", F.col("_px").alias("x"), F.col("_py").alias("y")), "cell_id", at)
 
     def around(features: DataFrame, *aggregates) -> DataFrame:
         return N.within(c, features, at, RADIUS_M).groupBy("cell_id").agg(*aggregates)
 
-    height = placed(heights, "height").withColumnsRenamed({"x": "xp", "y": "yp"})
+    height = N.places(placed(heights, "height"), [*at, "height"]).withColumnsRenamed({"x": "xp", "y": "yp"})
     d = F.greatest(_apart("x", "y", "xp", "yp"), F.lit(1.0))
-    mean = N.paired(c, height, "cell_id").withColumn("w", 1 / F.pow(d, 2)).groupBy("cell_id").agg((F.sum(F.col("height") * F.col("w")) / F.sum("w")).alias("elevation"))
-    slope = N.paired(c.join(mean, "cell_id"), height, "cell_id").groupBy("cell_id", "elevation").agg(F.avg(F.abs(F.col("height") - F.col("elevation")) / d).alias("slope"))
+    mean = N.paired(c, height, "cell_id").withColumn("w", F.col("n") / F.pow(d, 2)).groupBy("cell_id").agg((F.sum(F.col("height") * F.col("w")) / F.sum("w")).alias("elevation"))
+    slope = N.paired(c.join(mean, "cell_id"), height, "cell_id").withColumn("rise", F.abs(F.col("height") - F.col("elevation")) / d)
+    slope = slope.groupBy("cell_id", "elevation").agg((F.sum(F.col("n") * F.col("rise")) / F.sum(F.when(F.col("rise").isNotNull(), F.col("n")))).alias("slope"))
     parts = (
         nearest_segment(c, r, "cell_id").withColumnRenamed("metres", "road_m"),
         around(middles, F.sum("length").alias("road_length"), F.sum(F.col("length") * F.col("width")).alias("road_area")),
         nearest_place.groupBy("cell_id").agg(F.min(_apart("x", "y", "_px", "_py")).alias("industry_m")),
-        around(places, F.count(F.lit(1)).alias("industries")),
-        around(placed(greens, "area"), F.sum("area").alias("green_area")),
+        around(places, F.sum("n").alias("industries")),
+        around(N.places(placed(greens, "area"), at, area=F.sum("area")), F.sum("area").alias("green_area")),
         slope,
     )
     out = own.select("cell_id")

@@ -25,6 +25,13 @@ def plane(lat: str, lng: str, origin: tuple[float, float]) -> list[Column]:
     return list(G.projected(lat, lng, *origin))
 
 
+def places(points: DataFrame, by: list[str], **sums: Column) -> DataFrame:
+    """The different places of points, columns `by` telling them apart: `n`, the number of their points, and further sums.
+
+    What meets other features by place alone is worked out once a place, so that stations in one place don't make pairs."""
+    return points.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[x.alias(c) for c, x in sums.items()])
+
+
 def _boxes(at: list[str], size: Column) -> Column:
     """The box of a place, as a struct of its numbers along each axis."""
     return F.struct(*[F.floor((F.col(c) + ROOT / 2) / size).alias(f"b{i}") for i, c in enumerate(at)])
@@ -42,44 +49,49 @@ def _around(rows: DataFrame, box: str, axes: int) -> DataFrame:
     return each.withColumn(box, F.struct(*[shift(i) for i in range(axes)])).drop(step)
 
 
-def candidates(left: DataFrame, right: DataFrame, key: str, at: list[str], k: int = 1, deepest: int = DEEPEST) -> DataFrame:
-    """Pairs of left's and right's columns (of different names, but for the coordinates `at`, which both have and only left keeps),
-    among which are, for each left row, its k nearest right rows by the distance of the coordinates, and all others
-    that are as near to within a tenth of the k-th's box.
+def candidates(left: DataFrame, right: DataFrame, key: str, at: list[str], k: int = 1, deepest: int = DEEPEST, keys: list[str] | None = None) -> DataFrame:
+    """Pairs of left's and right's columns (of different names, but for the coordinates `at` and the groups' `keys`, which both have
+    and only left keeps), among which are, for each left row, its k nearest right rows of its group by the distance of the
+    coordinates, and all others that are as near to within a tenth of the k-th's box.
 
     Boxes halve level by level. A left row takes the smallest of its boxes that holds k right rows, so that its k-th nearest
     is no farther than the box's diagonal; it then meets the rows of the boxes of twice that side around it, which reach
     farther than the diagonal. Boxes that hold k rows are counted level by level; nothing meets all of the other side, unless
-    a row's half of the world is empty. Rows without coordinates have no neighbours."""
+    a row's half of the world is empty. Right rows are repeated level by level, which Spark's sizes of tables don't know of, so
+    they are never broadcast. Rows without coordinates have no neighbours."""
+    keys = keys or []
     level, box, found = fresh([*left.columns, *right.columns], "level", "box", "found")
     known = lambda df: df.where(" and ".join(f"`{c}` is not null" for c in at))
     left, right = known(left), known(right)
     levels = F.explode(F.sequence(F.lit(0), F.lit(deepest)))
     inside = lambda df, *own: df.withColumn(level, levels).select(*own, level, _boxes(at, _side(F.col(level))).alias(box))
-    filled = inside(right).groupBy(level, box).agg(F.count(F.lit(1)).alias(found)).where(F.col(found) >= k).select(level, box)
-    fits = inside(left, key).join(filled, [level, box], "left_semi").groupBy(key).agg(F.max(level).alias(level))
-    searched = left.join(fits, key, "left").withColumn(level, F.greatest(F.coalesce(F.col(level), F.lit(0)) - 1, F.lit(0)))
+    filled = inside(right, *keys).groupBy(*keys, level, box).agg(F.count(F.lit(1)).alias(found)).where(F.col(found) >= k).select(*keys, level, box)
+    fits = inside(left, *keys, key).join(filled.hint("merge"), [*keys, level, box], "left_semi").groupBy(*keys, key).agg(F.max(level).alias(level))
+    searched = left.join(fits.hint("merge"), [*keys, key], "left").withColumn(level, F.greatest(F.coalesce(F.col(level), F.lit(0)) - 1, F.lit(0)))
     met = _around(searched.withColumn(box, _boxes(at, _side(F.col(level)))), box, len(at))
-    other = [c for c in right.columns if c not in at]
-    return met.join(inside(right, *other), [level, box]).select(*left.columns, *other)
+    other = [c for c in right.columns if c not in [*at, *keys]]
+    return met.join(inside(right, *keys, *other).hint("merge"), [*keys, level, box]).select(*left.columns, *other)
 
 
-def within(left: DataFrame, right: DataFrame, at: list[str], metres: float) -> DataFrame:
-    """Pairs of left's and right's columns (of different names, but for the coordinates `at`) whose places are at most so
-    far apart, with `apart`. They meet by boxes of that size; the right rows are repeated in the boxes around theirs."""
-    (box,) = fresh([*left.columns, *right.columns], "box")
+def within(left: DataFrame, right: DataFrame, at: list[str], metres: float | Column, keys: list[str] | None = None) -> DataFrame:
+    """Pairs of left's and right's columns (of different names, but for the coordinates `at` and the groups' `keys`) of one group
+    whose places are at most so far apart, with `apart`. They meet by boxes of that size, which may be a column that only the keys
+    decide; the right rows are repeated in the boxes around theirs."""
+    keys = keys or []
+    box, size = fresh([*left.columns, *right.columns], "box", "size")
     to = {c: f"{c}_to" for c in at}
-    far = _around(right.withColumn(box, _boxes(at, F.lit(float(metres)))), box, len(at)).withColumnsRenamed(to)
-    pairs = left.withColumn(box, _boxes(at, F.lit(float(metres)))).join(far, box)
-    return pairs.withColumn("apart", F.sqrt(sum(F.pow(F.col(c) - F.col(to[c]), 2) for c in at))).where(F.col("apart") <= metres).drop(box, *to.values())
+    metres = metres if isinstance(metres, Column) else F.lit(float(metres))
+    far = _around(right.withColumn(box, _boxes(at, metres)), box, len(at)).select(box, *keys, *[F.col(c).alias(to.get(c, c)) for c in right.columns if c not in keys])
+    pairs = left.withColumn(size, metres).withColumn(box, _boxes(at, F.col(size))).join(far.hint("merge"), [*keys, box])
+    return pairs.withColumn("apart", F.sqrt(sum(F.pow(F.col(c) - F.col(to[c]), 2) for c in at))).where(F.col("apart") <= F.col(size)).drop(box, size, *to.values())
 
 
-def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Every row of left with every row of right, for sums that need all: a join on blocks of left's rows, in each of which
-    right is repeated, so that no side has to fit one task's memory."""
+def paired(left: DataFrame, right: DataFrame, key: str, keys: list[str] | None = None) -> DataFrame:
+    """Every row of left with every row of right of its group, for sums that need all: a join on blocks of left's rows, in each of
+    which right is repeated, so that no side has to fit one task's memory."""
     (block,) = fresh([*left.columns, *right.columns], "block")
     rows = left.withColumn(block, F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int"))
-    return rows.join(right.withColumn(block, F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))), block).drop(block)
+    return rows.join(right.withColumn(block, F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).hint("merge"), [*(keys or []), block]).drop(block)
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int = 1) -> DataFrame:
