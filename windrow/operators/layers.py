@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from windrow.functions import geo as G
 from windrow.functions import scalars as S
 from windrow.operators import nearby as N
-from windrow.operators.spatial import distances
+from windrow.operators.spatial import at_places, distances
 
 RADIUS_M = 3000.0
 REACH_M = 10_000.0
@@ -194,12 +194,23 @@ def wind_alignment(cells: DataFrame, industries: DataFrame, wind_from: float | N
     return out.select("cell_id", "industry", F.when((F.col("metres") <= REACH_M) & F.lit(wind_from is not None), straight).otherwise(0.0).alias("alignment"))
 
 
+#: Metres of the bins in which a variogram's middle distance is looked for.
+BIN_M = 64.0
+
+
 def variogram(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, nugget, sill, range_m) of each group: the sill is the variance, the range 1.75 upper medians of the
-    distances, between a kilometre and the largest; the nugget is a twentieth of the sill."""
-    d = distances(points, keys).where("metres > 0").withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("metres")))
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("metres").alias("most"))
-    middle = d.join(n, keys).where(F.col("i") == F.floor(F.col("n") / 2) + 1).select(*keys, "metres", "most")
+    distances, between a kilometre and the largest; the nugget is a twentieth of the sill.
+
+    Distances are those of places, each counted as often as stations of the two make pairs; the middle one is ordered only within
+    its bin of distances."""
+    d = distances(at_places(points, keys), keys).where("metres > 0").select(*keys, "metres", F.floor(F.col("metres") / BIN_M).alias("bin"), (F.col("va.n") * F.col("vb.n")).alias("pairs"))
+    bins = d.groupBy(*keys, "bin").agg(F.sum("pairs").alias("own"), F.max("metres").alias("most"))
+    every, to = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("bin")
+    found = bins.select(*keys, "bin", "own", F.sum("own").over(to).alias("upto"), F.max("most").over(every).alias("most"), (F.floor(F.sum("own").over(every) / 2) + 1).alias("i"))
+    found = found.where("upto >= i and upto - own < i").select(*keys, "bin", "most", (F.col("i") - F.col("upto") + F.col("own")).alias("i"))
+    within = Window.partitionBy(*keys).orderBy("metres").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = d.join(found, [*keys, "bin"]).withColumn("upto", F.sum("pairs").over(within)).where("upto >= i").groupBy(*keys).agg(F.min("metres").alias("metres"), F.max("most").alias("most"))
     sill = points.groupBy(*keys).agg(F.greatest(F.coalesce(F.var_samp("value"), F.lit(0.0)), F.lit(1e-6)).alias("sill"))
     return sill.join(middle, keys).select(*keys, (0.05 * F.col("sill")).alias("nugget"), "sill", F.greatest(F.lit(1000.0), F.least("most", 1.75 * F.col("metres"))).alias("range_m"))
 
