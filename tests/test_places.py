@@ -12,6 +12,23 @@ from test_nearby import haversine
 from windrow.operators import layers, nearby, spatial
 
 
+def made(df) -> int:
+    """The most rows that any step of a query made."""
+    df.collect()
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        found = node.metrics().get("numOutputRows")
+        children = node.children()
+        return max([found.get().value() if found.isDefined() else 0, *[walk(children.apply(i)) for i in range(children.size())]])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
 def stations(seed: int = 5) -> list[tuple]:
     r = random.Random(seed)
     at = [(40 + r.random(), 29 + r.random()) for _ in range(14)]
@@ -32,6 +49,13 @@ def points(spark):
     return spark.createDataFrame(stations(), SCHEMA)
 
 
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """1500 stations in 15 places of one group: over two million pairs."""
+    i = F.col("id")
+    return spark.range(1500).select(F.lit("a").alias("k"), "id", (40 + i % 15 * 0.01).alias("lat"), (29 + i % 15 * i % 15 * 0.01).alias("lng"), (i * 37 % 100).cast("double").alias("value"))
+
+
 def test_radius_moran_hotspots(points):
     radius, moran = ({x.k: x for x in f(points, ["k"]).collect()} for f in (spatial.adaptive_radius, spatial.moran))
     z = {(x.k, x.id): x.z for x in spatial.getis_ord(points, ["k"]).collect()}
@@ -52,6 +76,26 @@ def test_radius_moran_hotspots(points):
     assert z["one place", 2] == pytest.approx((2.0 - 1.0) / (1.0 * math.sqrt((3 - 1) / 2)), abs=2e-6)
 
 
+def test_left_out_and_variogram(points):
+    left, model = {x.k: x for x in spatial.idw_loocv(points, ["k"]).collect()}, {x.k: x for x in layers.variogram(points, ["k"]).collect()}
+    assert set(left) == {"a", "b", "one place"} and set(model) == {"a", "b"}
+    for k in left:
+        own, met = pairs(stations(), k)
+        errors = []
+        for p in own:
+            w = [(1 / max(d, 1) ** 2, q[4]) for o, q, d in met if o == p]
+            errors.append(p[4] - sum(a * b for a, b in w) / sum(a for a, _ in w))
+        assert left[k].n == len(own) and left[k].rmse == pytest.approx(math.sqrt(statistics.fmean(e * e for e in errors)))
+        if k in model:
+            d = sorted(d for *_, d in met if d > 0)
+            assert model[k].range_m == pytest.approx(max(1000, min(d[-1], 1.75 * d[len(d) // 2]))) and model[k].sill == pytest.approx(statistics.variance([x[4] for x in own]))
+
+
+@pytest.mark.parametrize("f", [spatial.adaptive_radius, spatial.moran, spatial.getis_ord, spatial.idw_loocv, layers.variogram])
+def test_stations_in_one_place_make_no_pairs(crowd, f):
+    assert made(f(crowd, ["k"])) < 60_000
+
+
 def test_repeated_rows_are_not_broadcast(spark, points):
     a, b = (points.where("k = 'a'").select(F.col("id").alias(c), "lat", "lng") for c in "ab")
     for df in (nearby.candidates(a, b, "a", ["lat", "lng"]), nearby.within(a, b, ["lat", "lng"], 1.0), nearby.paired(a, b.select("b"), "a")):
