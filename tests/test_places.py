@@ -100,3 +100,9 @@ def test_repeated_rows_are_not_broadcast(spark, points):
     a, b = (points.where("k = 'a'").select(F.col("id").alias(c), "lat", "lng") for c in "ab")
     for df in (nearby.candidates(a, b, "a", ["lat", "lng"]), nearby.within(a, b, ["lat", "lng"], 1.0), nearby.paired(a, b.select("b"), "a")):
         assert "SortMergeJoin" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" not in plan
+
+
+def test_distances_are_met_in_blocks(points):
+    got = {(x.k, x.a, x.b): x.metres for x in spatial.distances(points, ["k"]).collect()}
+    want = {(k, p[1], q[1]): pytest.approx(d, abs=1e-6) for k in ("a", "b", "one place", "one") for p, q, d in pairs(stations(), k)[1]}
+    assert got == want and "block" in spatial.distances(points, ["k"])._jdf.queryExecution().optimizedPlan().toString()
