@@ -216,14 +216,16 @@ def variogram(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def buffers(points: DataFrame, features: DataFrame, radii: tuple[int, ...] = (250, 500, 1000)) -> DataFrame:
-    """(id, radius, features, area): number and area of the features around each point within each radius."""
+    """(id, radius, features, area): number and area of the features around each point within each radius, found once for points
+    in one place and for features in one place."""
     far = float(max(radii))
-    around = features.select(F.col("lat").alias("flat"), F.col("lng").alias("flng"), "area", F.explode(G.cubes_around("lat", "lng", far)).alias("cube"))
-    near = points.select("id", "lat", "lng", G.cube("lat", "lng", far).alias("cube")).join(around, "cube").withColumn("d", G.haversine_m("lat", "lng", "flat", "flng")).where(F.col("d") <= far)
+    known = N.places(features.where("lat is not null and lng is not null").select(F.col("lat").alias("flat"), F.col("lng").alias("flng"), "area"), ["flat", "flng"], area=F.sum("area"))
+    around = known.select("*", F.explode(G.cubes_around("flat", "flng", far)).alias("cube"))
+    near = points.select("lat", "lng").distinct().withColumn("cube", G.cube("lat", "lng", far)).join(around.hint("merge"), "cube").withColumn("d", G.haversine_m("lat", "lng", "flat", "flng")).where(F.col("d") <= far)
     inside = near.withColumn("radius", F.explode(F.array(*map(F.lit, radii)))).where(F.col("d") <= F.col("radius"))
-    sums = inside.groupBy("id", "radius").agg(F.count(F.lit(1)).alias("features"), F.sum("area").alias("area"))
-    each = points.select("id", F.explode(F.array(*map(F.lit, radii))).alias("radius"))
-    return each.join(sums, ["id", "radius"], "left").fillna({"features": 0, "area": 0.0})
+    sums = inside.groupBy("lat", "lng", "radius").agg(F.sum("n").alias("features"), F.sum("area").alias("area"))
+    each = points.select("id", "lat", "lng", F.explode(F.array(*map(F.lit, radii))).alias("radius"))
+    return each.join(sums, ["lat", "lng", "radius"], "left").select("id", "radius", "features", "area").fillna({"features": 0, "area": 0.0})
 
 
 #: Radii of the surroundings of stations.
@@ -243,21 +245,22 @@ def station_buffers(stations: DataFrame, features: DataFrame, heights: DataFrame
 
     features are (kind, lat, lng, area, length): buildings, greens and industries (kind building, green, industry; at their centroid
     with an area, or industries at a point without one) and sides of roads (`road_features`). One join by boxes of the largest
-    radius finds those in reach; each counts in the smallest radius that it is in, and larger radii are sums of smaller ones.
+    radius finds those in reach, once for stations in one place and for features of a kind in one place; each counts in the smallest radius that it is in, and larger radii are sums of smaller ones.
     heights are (id, radius, sample, elevation) of `radius_samples`, sample 0 the station's own: their mean, and the mean slope to the
     others, at seven tenths of the radius. What isn't there counts as 0; without heights they are null."""
     far = float(max(radii))
     at = ["_x", "_y", "_z"]
     globe = lambda lat, lng: [x.alias(n) for x, n in zip(N.globe(lat, lng), at, strict=True)]
-    own = stations.select("id", "lat", "lng", *globe("lat", "lng"))
-    others = features.select("kind", F.col("lat").alias("flat"), F.col("lng").alias("flng"), F.coalesce("area", F.lit(0.0)).alias("area"), F.coalesce("length", F.lit(0.0)).alias("length"), *globe("lat", "lng"))
+    own = stations.select("lat", "lng").distinct().select("lat", "lng", *globe("lat", "lng"))
+    others = N.places(features, ["kind", "lat", "lng"], area=F.coalesce(F.sum("area"), F.lit(0.0)), length=F.coalesce(F.sum("length"), F.lit(0.0)))
+    others = others.select("kind", "n", F.col("lat").alias("flat"), F.col("lng").alias("flng"), "area", "length", *globe("lat", "lng"))
     d = G.haversine_m("lat", "lng", "flat", "flng")
     near = N.within(own, others, at, far).withColumn("d", d)
     ring = F.coalesce(*[F.when(F.col("d") <= r, r) for r in sorted(radii)])
     kinds = ("building", "green", "industry", "road")
     area = [F.sum(F.when(F.col("kind") == k, F.col("area")).otherwise(0.0)).alias(k) for k in kinds]
-    rings = near.withColumn("radius", ring).where("radius is not null").groupBy("id", "radius").agg(*area, F.sum("length").alias("length"), F.count_if(F.col("kind") == "industry").alias("industries"))
-    each = own.select("id", F.explode(F.array(*map(F.lit, sorted(radii)))).alias("radius")).join(rings, ["id", "radius"], "left")
+    rings = near.withColumn("radius", ring).where("radius is not null").groupBy("lat", "lng", "radius").agg(*area, F.sum("length").alias("length"), F.sum(F.when(F.col("kind") == "industry", F.col("n")).otherwise(0)).alias("industries"))
+    each = stations.select("id", "lat", "lng", F.explode(F.array(*map(F.lit, sorted(radii)))).alias("radius")).join(rings, ["lat", "lng", "radius"], "left")
     to = Window.partitionBy("id").orderBy("radius").rowsBetween(Window.unboundedPreceding, 0)
     sums = each.select("id", "radius", *[F.coalesce(F.sum(c).over(to), F.lit(0.0)).alias(c) for c in (*kinds, "length")], F.coalesce(F.sum("industries").over(to), F.lit(0)).cast("long").alias("industries"))
     base = F.max(F.when(F.col("sample") == 0, F.col("elevation"))).over(Window.partitionBy("id", "radius"))
