@@ -96,6 +96,22 @@ def test_stations_in_one_place_make_no_pairs(crowd, f):
     assert made(f(crowd, ["k"])) < 60_000
 
 
+def test_nearest_and_buffers_of_shared_places(spark, points, crowd):
+    rows = [x for x in stations() if x[0] == "a"]
+    own = points.where("k = 'a'")
+    for k in (1, 3):
+        got = {(x.id, x["rank"]): (x.metres, x.other) for x in nearby.nearest(own, own, k).collect()}
+        for p in rows:
+            want = sorted((round(haversine(p[2:4], q[2:4]), 3), q[1]) for q in rows if q[1] != p[1])[:k]
+            assert [got[p[1], n + 1] for n in range(k)] == want
+    buffers = {(x.id, x.radius): (x.features, x.area) for x in layers.buffers(own, own.withColumn("area", F.col("value")), (1, 30_000)).collect()}
+    for p in rows:
+        for radius in (1, 30_000):
+            near = [q[4] for q in rows if haversine(p[2:4], q[2:4]) <= radius]
+            assert buffers[p[1], radius] == (len(near), pytest.approx(sum(near)))
+    assert made(nearby.nearest(crowd, crowd, 3)) < 60_000 and made(layers.buffers(crowd, crowd.withColumn("area", F.lit(1.0)))) < 60_000
+
+
 def test_repeated_rows_are_not_broadcast(spark, points):
     a, b = (points.where("k = 'a'").select(F.col("id").alias(c), "lat", "lng") for c in "ab")
     for df in (nearby.candidates(a, b, "a", ["lat", "lng"]), nearby.within(a, b, ["lat", "lng"], 1.0), nearby.paired(a, b.select("b"), "a")):

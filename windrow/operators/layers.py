@@ -61,14 +61,7 @@ def radius_samples(points: DataFrame, radius_m: float) -> DataFrame:
 
 def donated(points: DataFrame, references: DataFrame, columns: list[str]) -> DataFrame:
     """points (of different ids) with the columns of the nearest reference; of equally near ones the one with the smaller id."""
-    c = ["_x", "_y", "_z"]
-    own = points.select("id", "lat", "lng", *[x.alias(n) for x, n in zip(N.globe(), c, strict=True)])
-    given = {n: f"_r_{n}" for n in ["id", "lat", "lng", *columns]}
-    others = references.select(*[F.col(n).alias(m) for n, m in given.items()], *[x.alias(n) for x, n in zip(N.globe(), c, strict=True)])
-    pairs = N.candidates(own, others, "id", c, 2).where("id <> _r_id")
-    d = F.round(G.haversine_m("lat", "lng", "_r_lat", "_r_lng"), 3)
-    best = F.min(F.struct(d.alias("metres"), F.col("_r_id").alias("reference"), *[F.col(given[n]).alias(n) for n in columns])).alias("best")
-    return pairs.groupBy("id").agg(best).select("id", "best.*")
+    return N.nearest(points, references, 1, columns).select("id", "metres", F.col("other").alias("reference"), *columns)
 
 
 #: Degrees of the squares in which points meet the areas that reach into them.

@@ -94,11 +94,26 @@ def paired(left: DataFrame, right: DataFrame, key: str, keys: list[str] | None =
     return rows.join(right.withColumn(block, F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).hint("merge"), [*(keys or []), block]).drop(block)
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int = 1) -> DataFrame:
-    """(id, other, metres, rank): the k points of right next to each of left, itself left out; distances of 3 digits, of
-    equal ones the smaller id first."""
-    c = ["_x", "_y", "_z"]
+def smallest(points: DataFrame, at: list[str], k: int, key: str = "id") -> DataFrame:
+    """Of the points in each place the k with the smallest ids."""
+    (rank,) = fresh(points.columns, "rank")
+    return points.withColumn(rank, F.row_number().over(Window.partitionBy(*at).orderBy(key))).where(F.col(rank) <= k).drop(rank)
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int = 1, columns: list[str] | None = None) -> DataFrame:
+    """(id, other, metres, rank, columns of right): the k points of right next to each of left, itself left out; distances of 3
+    digits, of equal ones the smaller id first. left's ids are different.
+
+    Points in one place have the same distances, so each place is looked from once, for one more, and in each only the k + 1
+    points of right with the smallest ids can be among the results."""
+    c, columns = ["_x", "_y", "_z"], columns or []
     placed = lambda df, *own: df.select(*own, *[x.alias(n) for x, n in zip(globe(), c, strict=True)])
-    pairs = candidates(placed(left, "id", "lat", "lng"), placed(right, F.col("id").alias("other"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng")), "id", c, k + 1)
-    near = pairs.where("id <> other").select("id", "other", F.round(G.haversine_m("lat", "lng", "rlat", "rlng"), 3).alias("metres"))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("metres", "other"))).where(F.col("rank") <= k)
+    given = {n: f"_r_{n}" for n in columns}
+    others = smallest(right.select(F.col("id").alias("other"), "lat", "lng", *[F.col(n).alias(m) for n, m in given.items()]).where("lat is not null and lng is not null"), ["lat", "lng"], k + 1, "other")
+    seen = left.where("lat is not null and lng is not null").groupBy("lat", "lng").agg(F.min("id").alias("_place"))
+    pairs = candidates(placed(seen, "_place", "lat", "lng"), placed(others, "other", F.col("lat").alias("rlat"), F.col("lng").alias("rlng"), *given.values()), "_place", c, k + 1)
+    far = pairs.select("lat", "lng", "other", F.round(G.haversine_m("lat", "lng", "rlat", "rlng"), 3).alias("metres"), *given.values())
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("metres", "other"))
+    best = far.withColumn("rank", rank("lat", "lng")).where(F.col("rank") <= k + 1).drop("rank")
+    own = left.select("id", "lat", "lng").join(best, ["lat", "lng"]).where("id <> other")
+    return own.withColumn("rank", rank("id")).where(F.col("rank") <= k).select("id", "other", "metres", "rank", *[F.col(m).alias(n) for n, m in given.items()])
