@@ -308,6 +308,18 @@ def test_line_templates(spark):
     assert got[200].kept_text is None and got[201].kept_text == "" and got[200].n_lines == 0
 
 
+def test_a_leaf_learns_several_line_templates(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    around = lambda line: f"{word()} {word()}\n{line}\n{word()} {word()} {word()}"
+    forms = ("we at home {} one two three four", "we at home five six {} seven eight", "we at home nine ten red {} blue")
+    lines = [f.format("fixed") for f in forms for _ in range(3)] + [f.format(word()) for f in forms for _ in range(30)]
+    r.shuffle(lines)
+    rows = [(i, around(line), "", "", 0) for i, line in enumerate(lines)]
+    got = line_templates.without_templates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(x.n_dropped for x in got) == len(lines) - 3  # all three forms recur in one leaf, and one line of each stays
+
+
 def test_factorisation_machine(spark):
     r = np.random.default_rng(0)
     machine = factorisation_machine.Machine(0.3, r.normal(size=20), r.normal(size=(20, 3)))

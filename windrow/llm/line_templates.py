@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table, written
+from .common import forget, fresh, table, written
 
 #: Leading tokens on the way from the token count to a leaf.
 DEPTH = 3
@@ -61,21 +61,58 @@ def parsed(docs: DataFrame) -> DataFrame:
     return near.select("doc_id", "th", "s.i", "s.leaf", "s.sig", ctx.alias("ctx"))
 
 
-def _met(lines: DataFrame, per_key: DataFrame, *key: str) -> DataFrame:
+def _met(lines: DataFrame, per_key: DataFrame, *key: str, how: str = "inner") -> DataFrame:
     """lines with the columns of their key's row (if there is one), which is repeated under each salt."""
     rows = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return lines.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "th", "i"), F.lit(SALTS)).cast("int")).join(rows, [*key, "_salt"]).drop("_salt")
+    return lines.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "th", "i"), F.lit(SALTS)).cast("int")).join(rows, [*key, "_salt"], how).drop("_salt")
+
+
+def _listed(kinds: DataFrame, heads: DataFrame) -> DataFrame | None:
+    """(leaf, all, template): the sequences that join a template of their leaf's list other than its head; None if none do.
+
+    What the head leaves is gone through by falling number of lines, of equals by hash: a sequence joins the first template
+    that is alike, or else is the list's next one. Alike sequences share the hash of all runs but one, so only sequences
+    that share such a key are compared. In each turn those before all their neighbours are templates, and their neighbours
+    are not; who joins which is settled when all templates are known."""
+    rest = _met(kinds.where("sig.r0 is not null").select("leaf", "sig", "n", "first.*"), heads, "leaf").where(_equal_runs("sig", "head") < ALIKE)
+    runs = [h for j in range(RUNS // 2) for h in (F.col(f"sig.r{j}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"sig.r{j}", 32))]
+    keys = F.array(*[F.xxhash64(F.lit(j), "leaf", *[r for k, r in enumerate(runs) if k != j]) for j in range(RUNS)])
+    own = F.struct((-F.col("n")).alias("n"), F.xxhash64("sig").alias("h"), F.col("sig.all").alias("all"))
+    keyed = rest.select("leaf", own.alias("own"), F.explode(keys).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    near = written(keyed.join(shared, "key"), "near")
+    left, templates = near, []
+    while not left.isEmpty():
+        led = left.join(left.groupBy("key").agg(F.min("own").alias("lead")), "key")
+        first = written(led.groupBy("leaf", "own").agg(F.min((F.col("own") == F.col("lead")).cast("int")).alias("m")).where("m = 1").select("leaf", "own"), "first")
+        reached = left.join(first, ["leaf", "own"]).select("key").distinct()
+        gone = left.join(reached, "key").select("leaf", "own").distinct()
+        left = written(left.join(gone, ["leaf", "own"], "left_anti"), "left", instead_of=None if left is near else left)
+        templates.append(first)
+    if not templates:
+        return None
+    chosen = templates[0]
+    for more in templates[1:]:
+        chosen = chosen.unionByName(more)
+    by_key = near.join(chosen, ["leaf", "own"]).groupBy("key").agg(F.min("own").alias("lead"))
+    joined = near.join(by_key, "key").groupBy("leaf", "own").agg(F.min("lead").alias("lead"))
+    own_list = joined.join(chosen, ["leaf", "own"], "left_anti")  # a template stays its own
+    return written(own_list.select("leaf", F.col("own.all").alias("all"), F.col("lead.all").alias("template")), "listed")
 
 
 def _dropped(lines: DataFrame, min_docs: int, surroundings: bool) -> DataFrame:
     """(doc_id, th, dropped): numbers of the lines to drop, for documents that have any."""
     busy = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     some = written(_met(lines, busy, "leaf"), "lines", instead_of=lines)
-    kinds = some.groupBy("leaf", "sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "i")).alias("first"))
-    # the leaf's template: the sequence with the most lines, of equals the one met first
+    kinds = written(some.groupBy("leaf", "sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "i")).alias("first")), "kinds")
+    # the leaf's first template: the sequence with the most lines, of equals the one met first
     heads = kinds.groupBy("leaf").agg(F.min_by("sig", F.struct((-F.col("n")).alias("n"), "first")).alias("head"))
-    template = F.when(_equal_runs("sig", "head") >= ALIKE, F.col("head.all")).otherwise(F.col("sig.all"))
-    named = written(_met(some, heads, "leaf").select("doc_id", "th", "i", "ctx", "leaf", template.alias("sig")), "templates", instead_of=some)
+    listed = _listed(kinds, heads)
+    met = _met(some, heads, "leaf").withColumn("all", F.col("sig.all"))
+    met = met.withColumn("template", F.col("all")) if listed is None else _met(met, listed, "leaf", "all", how="left")
+    template = F.when(_equal_runs("sig", "head") >= ALIKE, F.col("head.all")).otherwise(F.coalesce("template", "all"))
+    named = written(met.select("doc_id", "th", "i", "ctx", "leaf", template.alias("sig")), "templates", instead_of=some)
+    forget(kinds)
     key = ["leaf", "sig"]
     first = F.min(F.struct("doc_id", "th", "i"))
     if surroundings:
@@ -93,8 +130,9 @@ def without_templates(docs: DataFrame, min_docs: int = MIN_DOCS, surroundings: b
     """docs with `kept_text`, `n_lines` (not blank) and `n_dropped`.
 
     The tree is of fixed depth: token count, then DEPTH leading tokens, tokens with a digit being variable fields. A
-    line of RUNS tokens or more joins its leaf's template if at least ALIKE of RUNS parts of its tokens are equal, so the
-    parts that vary are generalised too; else it is a template of its own. A template recurs if it is in min_docs documents and has min_docs
+    line of RUNS tokens or more joins the first template in its leaf's list of which at least ALIKE of RUNS parts are equal
+    to its own, so the parts that vary are generalised too; else its sequence is the list's next template. The list begins
+    with the leaf's most frequent sequence. A template recurs if it is in min_docs documents and has min_docs
     different surroundings, at least half as many as documents: one with the same lines around it everywhere is a copied
     document, which is for near-duplicate stages to judge. Without `surroundings` it recurs if it is in min_docs different
     texts, so whole copies count once and the lines inside a block of boilerplate go too. Of a recurring template the first line (by doc_id) stays and
