@@ -394,6 +394,21 @@ def test_edited_copies_of_images_against_all_pairs(spark):
     assert len({got[8 * i] for i in range(25)}) == 25
 
 
+def test_matches_are_counted_before_they_vote(spark):
+    most = image_copies.CONSENSUS
+    rows = [(1, 2, k, k) for k in range(most)] + [(1, 3, k % (most - 1), 0) for k in range(40)]  # a pair's match in four tables is one
+    got = image_copies._enough(spark.createDataFrame(rows, "a long, b long, ap long, bp long")).collect()
+    assert sorted(map(tuple, got)) == rows[:most]
+
+
+def test_pictures_are_described_alike_alone_and_together():
+    images = np.stack([image_copies.picture(f"picture {i}") for i in range(5)])
+    number, place, words = image_copies.descriptors(images)
+    for i in range(5):
+        _, p, w = image_copies.descriptors(images[i : i + 1])
+        assert (p == place[number == i]).all() and (w == words[number == i]).all() and len(p) >= 20
+
+
 def test_png():
     import struct
 
