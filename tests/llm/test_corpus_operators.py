@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -221,6 +222,27 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 130)}
 
 
+def test_words_of_known_parts_need_no_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    r = random.Random(8)
+    odd = ["don't", "İx", "ΑΣ", "ΑΣ,", "e\u0301t", "<|endoftext|>", "a1b,", "...", ",", "it's.", "x'", "ª", "µ.", "ÀÿßÉ!?", "Ǆ", "中文,", "word\u0301.", "a\u00a0b", "x" * 3000]
+    odd += ["".join(r.choice("abÉßyZ.,;1'é#\u0301-") for _ in range(r.randint(1, 9))) for _ in range(4000)]
+    vocab = list(dict.fromkeys([*odd, "Strangely", "x."]))
+    for part in (vocab, vocab[::-1]):
+        ids, starts, sizes = packing._ids(part, path)
+        assert [ids[a : a + n].tolist() for a, n in zip(starts, sizes, strict=True)] == [plain.encode(w, add_special_tokens=False).ids for w in part]
+    kept = packing._known[path].tokenizer
+    packing._known[path].tokenizer = SimpleNamespace(encode_batch_fast=lambda strings, **_: [1 / 0 for _ in strings])
+    try:
+        ids, starts, sizes = packing._ids(["STRANGELY.", "strangely"], path)
+    finally:
+        packing._known[path].tokenizer = kept
+    assert ids[starts[0] : starts[0] + sizes[0]].tolist() == plain.encode("strangely.", add_special_tokens=False).ids
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

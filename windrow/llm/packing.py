@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from itertools import chain, repeat
 
 import numpy as np
@@ -22,23 +22,50 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: A piece may be short of its class's length by a SLACK-th of it; what is shorter is cut.
 SLACK = 128
-#: Words whose ids a Python worker remembers.
+#: Words whose ids a Python worker remembers, and parts of words beside them.
 REMEMBERED = 250_000
+#: Marks at a word's end that the tokenizer splits off as one run, and letters' runs that are encoded at a time.
+MARKS, RUN = ".,;:!?", 2000
 #: Sequence ids of the tail start here; those of task p at p * 2^32.
 TAIL = 1 << 60
 
 
 @dataclass
 class Memory:
-    """Ids of the words that a Python worker has met: word number k has ids[starts[k]:starts[k + 1]]."""
+    """Ids of strings that a Python worker has met: string number k has ids[starts[k]:starts[k + 1]]."""
+
+    number: dict[str, int] = field(default_factory=dict)
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+
+    def found(self, strings: list[str], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, sizes) of different strings; `encode` gives ids and sizes of those not met before."""
+        number = np.fromiter(map(self.number.get, strings, repeat(-1)), np.int64, len(strings))
+        ids, starts, unmet = self.ids, self.starts, np.flatnonzero(number < 0)
+        if len(unmet):
+            new = [strings[i] for i in unmet.tolist()]
+            got, sizes = encode(new)
+            first = len(starts) - 1
+            number[unmet] = first + np.arange(len(new))
+            ids = np.concatenate([ids, got])
+            starts = np.concatenate([starts, starts[-1] + np.cumsum(sizes)])
+            if len(self.number) < REMEMBERED:
+                self.number.update(zip(new, range(first, first + len(new)), strict=True))
+                self.ids, self.starts = ids, starts
+        return ids, starts[number], starts[number + 1] - starts[number]
+
+
+@dataclass
+class Known:
+    """A tokenizer with its vocabulary's marks of a word's end, and what a worker has met of it."""
 
     tokenizer: object
-    number: dict[str, int]
-    ids: np.ndarray
-    starts: np.ndarray
+    ends: np.ndarray
+    words: Memory = field(default_factory=Memory)
+    parts: Memory = field(default_factory=Memory)
 
 
-_known: dict[str, Memory] = {}
+_known: dict[str, Known] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -47,29 +74,66 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _parts(word: str) -> tuple[str, str]:
+    """A word of Latin-1 letters in lower case, and the marks after it; the whole of any other word."""
+    core = word.rstrip(MARKS)
+    return (core.lower(), word[len(core) :]) if core.isalpha() and (core.isascii() or max(core) <= "\xff") else (word, "")
+
+
+def _gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _encoded(known: Known, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes) of strings. Letters alone are one word to the tokenizer, whose last id alone marks the end of a word, so
+    many are encoded at a time."""
+    letters = [s.isalpha() and (s.isascii() or max(s) <= "\xff") for s in strings]
+    runs, rest = [s for s, one in zip(strings, letters, strict=True) if one], [s for s, one in zip(strings, letters, strict=True) if not one]
+    joined = [" ".join(runs[i : i + RUN]) for i in range(0, len(runs), RUN)]
+    got = [np.array(e.ids, np.uint32) for e in known.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+    flat = np.concatenate([np.zeros(0, np.uint32), *got])
+    sizes = np.diff(np.flatnonzero(known.ends[flat]), prepend=-1)
+    if len(sizes) != len(runs) or sizes.sum() != len(flat):  # a vocabulary without such marks
+        flat, sizes = _singly(known, runs)
+    other, lengths = _singly(known, rest)
+    mask = np.array(letters, bool)
+    starts, size = np.empty(len(strings), np.int64), np.empty(len(strings), np.int64)
+    size[mask], size[~mask] = sizes, lengths
+    starts[mask], starts[~mask] = np.cumsum(sizes) - sizes, len(flat) + np.cumsum(lengths) - lengths
+    return _gathered(np.concatenate([flat, other]), starts, size), size
+
+
+def _singly(known: Known, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    got = [e.ids for e in known.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+    sizes = np.fromiter(map(len, got), np.int64, len(got))
+    return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+
+
 def _ids(vocab: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, starts, sizes) of single words. The tokenizer drops white space and never joins across it, so a text's ids
-    are its words'."""
+    are its words'; it lowers letters and splits marks from them, so a word's ids are its parts'."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if path not in _known:
-        _known[path] = Memory(Tokenizer.from_file(path), {}, np.zeros(0, np.uint32), np.zeros(1, np.int64))
-    m = _known[path]
-    number = np.fromiter(map(m.number.get, vocab, repeat(-1)), np.int64, len(vocab))
-    ids, starts, unmet = m.ids, m.starts, np.flatnonzero(number < 0)
-    if len(unmet):
-        new = [vocab[i] for i in unmet.tolist()]
-        got = [e.ids for e in m.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        first = len(starts) - 1
-        number[unmet] = first + np.arange(len(new))
-        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
-        starts = np.concatenate([starts, starts[-1] + np.cumsum(sizes)])
-        if len(m.number) < REMEMBERED:
-            m.number.update(zip(new, range(first, first + len(new)), strict=True))
-            m.ids, m.starts = ids, starts
-    return ids, starts[number], starts[number + 1] - starts[number]
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        _known[path] = Known(tokenizer, ends)
+    known = _known[path]
+
+    def by_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [p for w in words for p in (_parts(w) if plain else (w, ""))]
+        different = list(dict.fromkeys(parts))
+        place = dict(zip(different, range(len(different)), strict=True))
+        ids, starts, sizes = known.parts.found(different, lambda new: _encoded(known, new))
+        at = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
+        return _gathered(ids, starts[at], sizes[at]), sizes[at].reshape(-1, 2).sum(axis=1)
+
+    plain = bool(known.ends.any())
+    return known.words.found(vocab, by_parts)
 
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
