@@ -423,6 +423,60 @@ def test_matches_are_counted_before_they_vote(spark):
     assert sorted(map(tuple, got)) == rows[:most]
 
 
+def test_blocks_link_what_all_matches_agree_on(spark):
+    turned = lambda i, k: np.rot90(image_copies.picture(f"picture {i}"), k)[k:, 2 * k :]
+    images = [turned(i, k) for i in range(30) for k in range(3)] + [image_copies._scaled(turned(i, 1), 0.75) for i in range(10)]
+    images = [np.rint(a) for a in images] + [np.tile(image_copies.picture("tile")[:20, :20], (4, 4))] * 2  # corners of equal words in one image
+    p, d = zip(*[image_copies.descriptors(a[None])[1:] for a in images], strict=True)
+    rows = []
+    for b in range(len(images)):
+        for a in range(b):
+            bits = np.bitwise_count((d[a][:, None] ^ d[b][None]).view(np.uint64)).sum(2)
+            words = d[a].view(np.uint32)[:, None] == d[b].view(np.uint32)[None]
+            rows += [(a, b, int(p[a][x]), int(p[b][y])) for x, y in zip(*np.nonzero((bits <= image_copies.MATCH) & words.any(2)), strict=True)]
+    want = {(r.a, r.b) for r in image_copies._agreed(spark.createDataFrame(rows, "a long, b long, ap long, bp long")).collect()}
+
+    def block(lo, hi):
+        flat = [np.concatenate(x).tobytes() for x in (p[lo:hi], [x[:, 0] for x in d[lo:hi]], [x[:, 1] for x in d[lo:hi]])]
+        return image_copies.Block(np.arange(lo, hi).tobytes(), np.array([len(x) for x in p[lo:hi]], np.int32).tobytes(), *flat)
+
+    ends = [0, 1, 40, len(images)]
+    blocks = [block(lo, hi) for lo, hi in zip(ends, ends[1:], strict=False)]
+    got = Counter((int(a.ids[x]), int(b.ids[y])) for i, a in enumerate(blocks) for b in blocks[i:] for x, y in zip(*image_copies.linked(a, b), strict=True))
+    assert set(got) == want and set(got.values()) == {1} and len(want) > 80
+    few = pytest.MonkeyPatch()
+    few.setattr(image_copies, "MATCHES", 50)
+    few.setattr(image_copies, "SLOTS", 4)
+    one = block(0, len(images))
+    assert set(zip(*(x.tolist() for x in image_copies.linked(one, one)), strict=True)) == want
+    few.undo()
+
+
+def test_matches_of_images_are_not_dealt(spark):
+    """Different pictures share most of their words, so their matches grow with the square of the pictures."""
+    pages = [(i, f"http://h{i}", f"<h1>title {i}</h1>") for i in range(300)]
+    images = image_copies.page_images(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    dealt = lambda: sum(x.totalShuffleWrite() for x in [spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0)])
+    before = dealt()
+    got = image_copies.copies(images).collect()
+    assert all(r.class_id == r.image_id and not r.n_links for r in got) and len(got) == 300
+    assert dealt() - before < 300 * 3000
+
+
+def test_links_of_a_task_are_merged():
+    rows = [(np.array([5, 3, 9]), np.array([3, 3, 9]), np.array([1, 1, 0])), (np.array([7, 5]), np.array([5, 5]), np.array([2, 2]))]
+    got = list(zip(*(x.tolist() for x in image_copies._merged(rows)), strict=True))
+    assert got == [(3, 3, 1), (5, 3, 3), (7, 3, 2), (9, 9, 0)]
+
+
+def test_links_of_copies_are_counted_whole(spark):
+    """Three copies have three links, two of each, and equal contents share theirs."""
+    a = image_copies.picture("some picture")
+    rows = [(1, pgm(a)), (2, pgm(a[4:, 2:])), (3, pgm(a[:-6, 4:])), (4, pgm(a)), (5, pgm(image_copies.picture("another")))]
+    got = image_copies.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 1, 2), (5, 5, 0)]
+
+
 def test_pictures_are_described_alike_alone_and_together():
     images = np.stack([image_copies.picture(f"picture {i}") for i in range(5)])
     number, place, words = image_copies.descriptors(images)
