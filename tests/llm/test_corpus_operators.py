@@ -452,6 +452,49 @@ def test_blocks_link_what_all_matches_agree_on(spark):
     few.undo()
 
 
+def test_few_corners_that_share_words_are_compared(spark, monkeypatch):
+    """Links are those that all matches vote for, whatever turns they have, but of corners that share words only those are compared
+    that CONSENSUS others agree with on scale and turn."""
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, (40, 2))
+    sizes = r.integers(12, 30, 60)
+    p, d = [], []
+    for n in sizes:
+        turn, (x, y) = r.integers(0, 256, n), r.integers(-160, 160, (2, n)) + image_copies.HALF
+        p.append(r.integers(0, 3, n) << 48 | turn << 40 | x << 20 | y)
+        d.append(base[np.minimum(r.zipf(1.4, n) - 1, 39)] ^ np.where(r.random((n, 2)) < 0.3, 1 << r.integers(0, 63, (n, 2)), 0))
+    for k in range(1, 30):  # copies of the first picture, turned and moved, in part
+        some = r.permutation(sizes[0])[: sizes[k]]
+        to, moved = 9 * k, np.exp(2j * np.pi * 9 * k / 256)
+        at = ((p[0] >> 20 & (1 << 20) - 1) - image_copies.HALF + 1j * ((p[0] & (1 << 20) - 1) - image_copies.HALF))[some] * moved + 3 * k
+        p[k][: len(some)] = (p[0][some] >> 48 << 48) | ((p[0][some] >> 40 & 255) + to & 255) << 40 | (np.rint(at.real).astype(int) + image_copies.HALF) << 20 | np.rint(at.imag).astype(int) + image_copies.HALF
+        d[k][: len(some)] = d[0][some]
+    rows = []
+    for b in range(len(sizes)):
+        for a in range(b):
+            bits = np.bitwise_count((d[a][:, None] ^ d[b][None]).view(np.uint64)).sum(2)
+            words = d[a].view(np.uint32)[:, None] == d[b].view(np.uint32)[None]
+            rows += [(a, b, int(p[a][x]), int(p[b][y])) for x, y in zip(*np.nonzero((bits <= image_copies.MATCH) & words.any(2)), strict=True)]
+    want = {(x.a, x.b) for x in image_copies._agreed(spark.createDataFrame(rows, "a long, b long, ap long, bp long")).collect()}
+    flat = [np.concatenate(x).tobytes() for x in (p, [x[:, 0] for x in d], [x[:, 1] for x in d])]
+    block = image_copies.Block(np.arange(len(sizes)).tobytes(), sizes.astype(np.int32).tobytes(), *flat)
+    compared, near = [], image_copies._near
+    monkeypatch.setattr(image_copies, "_near", lambda a, b, ca, cb, t: compared.append(len(ca)) or near(a, b, ca, cb, t))
+    links = lambda: set(zip(*(x.tolist() for x in image_copies.linked(block, block)), strict=True))
+    assert links() == want and len(want) > 100
+    monkeypatch.setattr(image_copies, "MANY", 4)
+    monkeypatch.setattr(image_copies, "MATCHES", 20_000)
+    assert links() == want
+    compared.clear()
+    images = [np.rint(image_copies.picture(f"picture {i}")) for i in range(60)]
+    _, places, words = zip(*[image_copies.descriptors(a[None]) for a in images], strict=True)
+    half = lambda lo: image_copies.Block(np.arange(lo, lo + 30).tobytes(), np.array([len(x) for x in places[lo : lo + 30]], np.int32).tobytes(), *[np.concatenate(x).tobytes() for x in (places[lo : lo + 30], [x[:, 0] for x in words[lo : lo + 30]], [x[:, 1] for x in words[lo : lo + 30]])])
+    a, b = half(0), half(30)
+    met = sum(int((x[:, None] == y[None]).sum()) for x, y in zip(a.words, b.words, strict=True))
+    image_copies.linked(a, b)
+    assert 10 * sum(compared) < met and met > 3000
+
+
 def test_matches_of_images_are_not_dealt(spark):
     """Different pictures share most of their words, so their matches grow with the square of the pictures."""
     pages = [(i, f"http://h{i}", f"<h1>title {i}</h1>") for i in range(300)]
